@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huemill.llm import sharding, token_counts
+from huemill.llm import quality, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +27,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, SHARDS, F.col("doc_id"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = quality.judge(_documents(spark, sf_dir), labels)
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("score", 6).alias("score"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op4_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op4_sharding, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
