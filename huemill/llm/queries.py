@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huemill.llm import decontaminate, quality, sharding, token_counts
+from huemill.llm import decontaminate, packing, quality, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_hits(_documents(spark, sf_dir), benchmark, window=10))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), length=1024)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = quality.judge(_documents(spark, sf_dir), labels)
@@ -39,7 +43,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op4_sharding, op5_decontamination, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op4_sharding, op5_decontamination, op7_packing, op9_quality_rules)}
 
 
 OP5_SQL = r"""
