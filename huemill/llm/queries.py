@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huemill.llm import decontaminate, packing, quality, sharding, token_counts
+from huemill.llm import decontaminate, packing, passage_dedup, quality, sharding, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), limit=4096)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_documents(spark, sf_dir), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passage_dedup.remove_repeats(_documents(spark, sf_dir), size=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     return sharding.assign_shards(docs, SHARDS, F.col("doc_id"))
@@ -43,7 +53,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op4_sharding, op5_decontamination, op7_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_sharding, op5_decontamination, op7_packing, op9_quality_rules)}
 
 
 OP5_SQL = r"""
@@ -62,5 +72,34 @@ FROM folded LEFT JOIN cover USING (doc_id) LEFT JOIN met USING (doc_id)
 """
 
 
+OP2_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+wins AS (SELECT doc_id, i, md5_number(substr(h, 2 * i::INT + 1, 100)) AS w FROM t, unnest(range(greatest(0, len(h) // 2 - 49))) AS g(i)),
+first AS (SELECT w, min(doc_id) AS first_doc FROM wins GROUP BY w HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, i FROM wins JOIN first USING (w) WHERE first_doc < doc_id),
+edges AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hits),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM
+          (SELECT *, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM edges) GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans),
+kept AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+         string_agg(substr(h, 2 * before::INT + 1, 2 * (a - before)::INT), '' ORDER BY a) AS k FROM gaps JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(last, 0)::INT + 1))) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+OP3_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS w FROM t, unnest(generate_series(1, len(ws) - 19)) AS g(i)),
+later AS (SELECT doc_id, i FROM wins QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM later, unnest(generate_series(i, i + 19)) AS g(p)),
+words AS (SELECT doc_id, p, ws[p] AS word FROM t, unnest(generate_series(1, len(ws))) AS g(p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+cut AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
