@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huemill.llm import decontaminate, packing, passage_dedup, quality, sharding, suffix_dedup, token_counts
+from huemill.llm import decontaminate, packing, passage_dedup, quality, sharding, similarity, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,8 +52,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("score", 6).alias("score"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.groups(_documents(spark, sf_dir), size=5, percent=75)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_sharding, op5_decontamination, op7_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_sharding, op5_decontamination, op7_packing, op9_quality_rules, op10_ngram_jaccard_join)}
 
 
 OP5_SQL = r"""
@@ -101,5 +105,17 @@ FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
 """
 
 
+OP10_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') AS g FROM t, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS x(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT reach.a, both.b FROM reach JOIN both ON both.a = reach.b)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op10_ngram_jaccard_join": OP10_SQL}
