@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huemill.llm import decontaminate, packing, passage_dedup, quality, sharding, similarity, suffix_dedup, token_counts
+from huemill.llm import decontaminate, packing, passage_dedup, pii, quality, sharding, similarity, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_hits(_documents(spark, sf_dir), benchmark, window=10))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_documents(spark, sf_dir)))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), length=1024)
 
@@ -57,7 +61,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_sharding, op5_decontamination, op7_packing, op9_quality_rules, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_sharding, op5_decontamination, op6_pii, op7_packing, op9_quality_rules, op10_ngram_jaccard_join)}
 
 
 OP5_SQL = r"""
