@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huemill.llm import decontaminate, packing, passage_dedup, pii, quality, sharding, similarity, suffix_dedup, token_counts
+from huemill.llm import decontaminate, packing, passage_dedup, pii, pseudo_likelihood, quality, sharding, similarity, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), length=1024)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    scored = pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs))
+    return scored.select("doc_id", "n_words", "n_known", F.round("log_likelihood", 4).alias("log_likelihood"), F.round("mean_log_likelihood", 6).alias("mean_log_likelihood"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = quality.judge(_documents(spark, sf_dir), labels)
@@ -61,7 +67,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_sharding, op5_decontamination, op6_pii, op7_packing, op9_quality_rules, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_sharding, op5_decontamination, op6_pii, op7_packing, op8_lm_scoring, op9_quality_rules, op10_ngram_jaccard_join)}
 
 
 OP5_SQL = r"""
