@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 from huemill.llm import packing as pk
 
 TOKENIZER = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-CHUNKS = pk.ChunkIds(TOKENIZER)
+with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as ranks:
+    CHUNKS = pk.ChunkIds(TOKENIZER, ranks.read())
 
 
 def ids(text):
@@ -24,6 +25,14 @@ def test_chunks_give_the_library_ids(text):
     assert np.frombuffer(CHUNKS.of(text), "<u4").tolist() == ids(text)
 
 
+def test_latin_chunks_by_ranks():
+    r = random.Random(4)
+    letters = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x250)]]
+    for _ in range(3000):
+        text = "a " + " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 9))) for _ in range(4)) + " it's we'll I'VE"
+        assert np.frombuffer(CHUNKS.of(text), "<u4").tolist() == ids(text)
+
+
 def test_every_space_character():
     for code in [*range(0x21), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]:
         c = chr(code)
