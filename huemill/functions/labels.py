@@ -118,7 +118,7 @@ def split_codes(raw: Column) -> Column:
 def note_text(raw: Column) -> Column:
     """The parts after each ※, joined; null without one."""
     parts = F.split(raw, "※")
-    return F.when(F.size(parts) > 1, F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), F.trim), "；"))
+    return F.when(F.size(parts) > 1, F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.trim(p)), "；"))
 
 
 def clean_variation(name: Column) -> Column:
