@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from huemill.llm import superkmers as sk
-from huemill.llm.common import ragged
+from huemill.llm.common import gather, ragged
 
 SIZE = 20
 GRAM = 3
@@ -76,7 +76,7 @@ def _compare(size: int):
                 if not len(which):
                     return []
         # windows as rows of word numbers, sorted
-        words = sk.classes(s.data[ragged(first, last - first)], last - first)
+        words = sk.classes(gather(s.data, first, last - first), last - first)
         rows = words[at[:, None] + np.arange(size)]
         window = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, 8 * size))).reshape(-1), return_inverse=True)[1].reshape(-1)
         # every open occurrence of every window

@@ -22,7 +22,7 @@ from huemill.llm import superkmers as sk
 from huemill.llm.common import ragged
 
 LENGTH = 50
-GRAM = 12
+GRAM = 8
 #: Bytes of the first buckets.
 Q = 8
 
@@ -72,7 +72,7 @@ def suffix_array(text: bytes) -> np.ndarray:
 def _bytes(data: np.ndarray, bounds: np.ndarray):
     wide = load(data)
     n = max(0, len(data) - GRAM + 1)
-    grams = sk.mixed(wide[:n] * sk.C1 ^ wide[GRAM - 8 : GRAM - 8 + n] * sk.C3) if n else np.zeros(0, np.uint64)
+    grams = sk.mixed(wide[:n] * sk.C1)
     place = np.arange(len(data) + 1, dtype=np.int64)
     return data, bounds, place[:-1], place[1:], grams
 

@@ -23,14 +23,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from huemill.llm.common import bytes_of, id_array, ids_of, partitions, ragged, slices
+from huemill.llm.common import bytes_of, gather, id_array, ids_of, partitions, ragged, slices
 
 #: Bytes of text hashed at a time, and bytes of text whose strings are exchanged together.
-CHUNK, SLAB = 2 << 20, 24 << 20
+CHUNK, SLAB = 1 << 20, 12 << 20
 #: Windows in one string at most; a longer run is cut.
 LONGEST = 512
 #: Windows, and bytes of their strings, compared at a time in a bucket.
-WINDOWS, BYTES = 1_000_000, 4 << 20
+WINDOWS, BYTES = 600_000, 2 << 20
 
 _u64 = np.uint64
 C1, C2, C3 = _u64(0x9E3779B97F4A7C15), _u64(0xC2B2AE3D27D4EB4F), _u64(0x165667B19E3779F9)
@@ -108,7 +108,17 @@ def runs(grams: np.ndarray, bounds: np.ndarray, span: int, gram: int) -> tuple[n
 
 def pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *(x for a in arrays for x in (len(a), np.dtype(a.dtype).num))], np.int64)
-    return zstandard.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 3)
+    return zstandard.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 6)
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    """Differences of consecutive values modulo 2**32, which compress better than the values."""
+    return np.diff(values.astype(np.uint32), prepend=np.uint32(0))
+
+
+def summed(differences: np.ndarray) -> np.ndarray:
+    """The inverse of steps."""
+    return np.cumsum(differences, dtype=np.uint32).astype(np.int64)
 
 
 _TYPES = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.uint64, np.int64)}
@@ -133,7 +143,7 @@ class Strings:
     data: np.ndarray  # bytes of all strings, one after the other
     sizes: np.ndarray  # bytes of each
     counts: np.ndarray  # windows of each
-    tags: np.ndarray  # 16 bits of the minimiser of each
+    tags: np.ndarray  # 8 bits of the minimiser of each
     of: np.ndarray  # string of each occurrence
     doc: np.ndarray  # document id of each occurrence
     key: np.ndarray  # hash of the document's text
@@ -142,7 +152,7 @@ class Strings:
     def take(self, which: np.ndarray) -> Strings:
         """Some strings, in order of which, with their occurrences."""
         starts = np.cumsum(self.sizes) - self.sizes
-        data = self.data[ragged(starts[which], self.sizes[which])]
+        data = gather(self.data, starts[which], self.sizes[which])
         new = np.full(len(self.sizes), -1, np.int64)
         new[which] = np.arange(len(which))
         mine = np.flatnonzero(new[self.of] >= 0)
@@ -175,7 +185,7 @@ def classes(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     same = np.flatnonzero(~odd)
     if len(same):
         n = sizes[mine[same]]
-        differ = data[ragged(starts[mine[same]], n)] != data[ragged(starts[first[same]], n)]
+        differ = gather(data, starts[mine[same]], n) != gather(data, starts[first[same]], n)
         odd[same] = np.logical_or.reduceat(differ, np.cumsum(n) - n)
     found = np.empty(len(h), np.int64)
     found[order] = leader
@@ -254,6 +264,13 @@ def _range_rows(ranges: list[tuple[np.ndarray, ...]], n: int) -> Iterator[pa.Rec
     doc, key, at, size = (np.concatenate(x) for x in zip(*ranges, strict=True))
     bucket = mixed(doc.astype(np.uint64)) % _u64(n)
     order = np.lexsort((at, key, doc, bucket))
+    doc, key, at, end, bucket = doc[order], key[order], at[order], (at + size)[order], bucket[order]
+    if len(doc):  # ranges that meet become one
+        apart = np.ones(len(doc), bool)
+        apart[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (at[1:] > end[:-1])
+        heads = np.flatnonzero(apart)
+        doc, key, at, bucket, end = doc[heads], key[heads], at[heads], bucket[heads], np.maximum.reduceat(end, heads)
+    size, order = end - at, np.arange(len(doc))
     cuts = np.searchsorted(bucket[order], np.arange(n + 1, dtype=np.uint64))
     found = [k for k in range(n) if cuts[k] < cuts[k + 1]]
     blobs = []
@@ -262,7 +279,7 @@ def _range_rows(ranges: list[tuple[np.ndarray, ...]], n: int) -> Iterator[pa.Rec
         new = np.ones(len(i), bool)
         new[1:] = (doc[i][1:] != doc[i][:-1]) | (key[i][1:] != key[i][:-1])
         heads = np.flatnonzero(new)
-        blobs.append(pack(doc[i][heads], key[i][heads], np.diff(np.append(heads, len(i))).astype(np.uint32), at[i].astype(np.uint32), size[i].astype(np.uint32)))
+        blobs.append(pack(doc[i][heads], key[i][heads], np.diff(np.append(heads, len(i))).astype(np.uint32), steps(at[i]), size[i].astype(np.uint32)))
     if found:
         yield _rows(found, 1, blobs)
 
@@ -276,6 +293,7 @@ def text_keys(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def removed(docs: DataFrame, symbols: Symbols, compare: Compare, span: int, gram: int, self_repeats: bool) -> DataFrame:
     """Packed ranges (in symbols) of repeated windows, and the texts, by bucket of the document; kinds 1 and 2."""
     n = partitions(docs.sparkSession)
+    m = 2 * n  # strings take about three times the room of their texts
     docs = docs.select("doc_id", "text")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,24 +305,24 @@ def removed(docs: DataFrame, symbols: Symbols, compare: Compare, span: int, gram
             buckets = np.concatenate([b for _, b in held])
             held.clear()
             # buckets of strings follow their minimisers, which equal strings share
-            s.tags = s.tags.astype(np.uint64) | (buckets.astype(np.uint64) << _u64(16))
+            s.tags = s.tags.astype(np.uint64) | (buckets.astype(np.uint64) << _u64(8))
             s, ranges = settle(s, self_repeats, span)
-            own = (s.tags >> _u64(16)).astype(np.int64)
+            own = (s.tags >> _u64(8)).astype(np.int64)
             order = np.argsort(own, kind="stable")
             s = s.take(order)
             own = own[order]
-            s.tags = (s.tags & _u64(0xFFFF)).astype(np.uint16)
-            cuts = np.searchsorted(own, np.arange(n + 1))
+            s.tags = (s.tags & _u64(0xFF)).astype(np.uint8)
+            cuts = np.searchsorted(own, np.arange(m + 1))
             by = np.argsort(s.of, kind="stable")
             s.of, s.doc, s.key, s.at = s.of[by], s.doc[by], s.key[by], s.at[by]
             marks = np.searchsorted(s.of, cuts)
             ends = np.concatenate([[0], np.cumsum(s.sizes)])
-            found = [k for k in range(n) if cuts[k] < cuts[k + 1]]
+            found = [k for k in range(m) if cuts[k] < cuts[k + 1]]
             blobs = []
             for k in found:
                 a, b, i, j = cuts[k], cuts[k + 1], marks[k], marks[k + 1]
                 ids, place = np.unique(np.stack([s.doc[i:j], s.key[i:j]]), axis=1, return_inverse=True)
-                blobs.append(pack(s.data[ends[a] : ends[b]], s.sizes[a:b].astype(np.uint32), s.counts[a:b].astype(np.uint16), s.tags[a:b], (s.of[i:j] - a).astype(np.uint32), ids[0], ids[1], place.reshape(-1).astype(np.uint32), s.at[i:j].astype(np.uint32)))
+                blobs.append(pack(s.data[ends[a] : ends[b]], (s.sizes[a:b] - s.counts[a:b]).astype(np.uint32), s.counts[a:b].astype(np.uint16), s.tags[a:b], steps(s.of[i:j] - a), ids[0], ids[1], steps(place.reshape(-1)), steps(s.at[i:j])))
             if found:
                 yield _rows(found, 0, blobs)
             yield from _range_rows([ranges], n)
@@ -319,8 +337,8 @@ def removed(docs: DataFrame, symbols: Symbols, compare: Compare, span: int, gram
             if not len(starts):
                 continue
             a, b = first[starts], last[starts + counts + span - 2]
-            strings = Strings(body[ragged(a, b - a)], b - a, counts, (least & _u64(0xFFFF)).astype(np.uint16), np.arange(len(starts)), ids[owner], keys[owner], starts - doc_bounds[owner])
-            held.append((strings, (mixed(least >> _u64(16)) % _u64(n)).astype(np.int64)))
+            strings = Strings(gather(body, a, b - a), b - a, counts, (least & _u64(0xFF)).astype(np.uint8), np.arange(len(starts)), ids[owner], keys[owner], starts - doc_bounds[owner])
+            held.append((strings, (mixed(least >> _u64(8)) % _u64(m)).astype(np.int64)))
             size += len(data)
             if size >= SLAB:
                 yield from flush()
@@ -334,10 +352,11 @@ def removed(docs: DataFrame, symbols: Symbols, compare: Compare, span: int, gram
             for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if kind == 1:  # ranges that a slab has decided travel on
                     doc, key, many, at, size = unpack(blob.as_buffer())
-                    yield from _range_rows([(np.repeat(doc, many), np.repeat(key, many), at.astype(np.int64), size.astype(np.int64))], n)
+                    yield from _range_rows([(np.repeat(doc, many), np.repeat(key, many), summed(at), size.astype(np.int64))], n)
                     continue
                 data, sizes, counts, tags, of, doc, key, place, at = unpack(blob.as_buffer())
-                parts.append(Strings(data, sizes.astype(np.int64), counts.astype(np.int64), tags, of.astype(np.int64), doc[place], key[place], at.astype(np.int64)))
+                counts, place = counts.astype(np.int64), summed(place)
+                parts.append(Strings(data, sizes.astype(np.int64) + counts, counts, tags, summed(of), doc[place], key[place], summed(at)))
         if not parts:
             return
         s = joined(parts)
@@ -365,10 +384,10 @@ def removed(docs: DataFrame, symbols: Symbols, compare: Compare, span: int, gram
             blobs = []
             for k in found:
                 i = order[cuts[k] : cuts[k + 1]]
-                blobs.append(pack(ids[i], keys[i], size[i], data[ragged(bounds[:-1][i], size[i])]))
+                blobs.append(pack(ids[i], keys[i], size[i], gather(data, bounds[:-1][i], size[i])))
             yield _rows(found, 2, blobs)
 
-    met = docs.mapInArrow(send, ROWS).repartition(n, "bucket").mapInArrow(solve, ROWS)
+    met = docs.mapInArrow(send, ROWS).repartition(m, "bucket").mapInArrow(solve, ROWS)
     return met.unionByName(docs.mapInArrow(texts, ROWS)).repartition(n, "bucket")
 
 
@@ -386,7 +405,7 @@ def finished(packed: DataFrame, schema: str, finish: Callable[[bytes, list[tuple
             for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if kind == 1:
                     doc, key, many, at, size = unpack(blob.as_buffer())
-                    spans.append((np.repeat(doc, many), np.repeat(key, many), at.astype(np.int64), size.astype(np.int64)))
+                    spans.append((np.repeat(doc, many), np.repeat(key, many), summed(at), size.astype(np.int64)))
                 else:
                     waiting.append(blob.as_py())
         place: dict[tuple[int, int], tuple[int, int]] = {}
