@@ -76,9 +76,8 @@ items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 wins AS (SELECT DISTINCT item_id, least(len(ws), 10) AS k, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS w
          FROM items, unnest(generate_series(1, greatest(1, len(ws) - 9))) AS g(i) WHERE len(ws) > 0),
 sizes AS (SELECT DISTINCT k FROM wins),
-hits AS (SELECT d.doc_id, i, k, item_id
-         FROM folded d, sizes s, unnest(generate_series(1, greatest(0, len(ws) - s.k + 1))) AS g(i)
-         JOIN wins USING (k) WHERE array_to_string(d.ws[i:i + s.k - 1], ' ') = wins.w),
+runs AS (SELECT d.doc_id, i, s.k, array_to_string(d.ws[i:i + s.k - 1], ' ') AS w FROM folded d, sizes s, unnest(generate_series(1, len(d.ws) - s.k + 1)) AS g(i)),
+hits AS (SELECT doc_id, i, k, item_id FROM runs JOIN wins USING (k, w)),
 cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(generate_series(i, i + k - 1)) AS g(p) GROUP BY doc_id),
 met AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
@@ -121,8 +120,8 @@ s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(5, len(ws)) - 1], '
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT reach.a, both.b FROM reach JOIN both ON both.a = reach.b)
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT reach.a, sides.b FROM reach JOIN sides ON sides.a = reach.b)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
