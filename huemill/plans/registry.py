@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from huemill.session import reachable
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -29,7 +31,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def queries() -> dict[str, Query]:
     from huemill.plans import catalogue_queries  # noqa: F401  registers on import
 
-    return dict(_QUERIES)
+    return {name: (lambda spark, sf_dir, f=f: f(reachable(spark), sf_dir)) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

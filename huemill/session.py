@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +21,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package where it isn't installed: its folder joins their search path."""
+    folder = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if folder not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, folder])
+    return spark
