@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huemill.llm import decontaminate, packing, passage_dedup, pii, pseudo_likelihood, quality, sharding, similarity, suffix_dedup, token_counts
+from huemill.session import reachable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,7 +68,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_sharding, op5_decontamination, op6_pii, op7_packing, op8_lm_scoring, op9_quality_rules, op10_ngram_jaccard_join)}
+    found = (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_sharding, op5_decontamination, op6_pii, op7_packing, op8_lm_scoring, op9_quality_rules, op10_ngram_jaccard_join)
+    return {f.__name__: (lambda spark, sf_dir, f=f: f(reachable(spark), sf_dir)) for f in found}
 
 
 OP5_SQL = r"""
