@@ -12,14 +12,14 @@ sets of sizes a and b bound by D = (a + b)(1 - t) / (1 + t). Sizes fall into ban
 sets are in one band or adjacent ones, and a document joins under the k of its own band and of the
 next. With k > D cells some cell agrees (pigeonhole), and the join is an equality of cells.
 
-Cells that hold nothing don't join. A set with k - D empty cells or more could lose a link by that,
-and then only with another such set; these go on to a next level under another hash, and at the
+Cells that hold nothing don't join. A set with k - D empty cells or more, D for its largest partner,
+could lose a link by that, and then only with another such set; these go on to a next level under another hash, and at the
 last to a prefix of their least hashes. The first level leaves out shingles that are frequent
 somewhere (a bounded list), which can't raise the symmetric difference; so a passage that many
 documents share doesn't bring them together. Equal sets of a slab are sketched once.
 
-Candidates. Cells shared by few documents give all their pairs; a cell shared by more gives a star
-around its least document, and stays on record. Each document's best candidate is verified first;
+Candidates. Documents that share too few cells for their sizes are ruled out by the same bound. Cells shared by few documents give all their pairs; a cell shared by more gives a star
+around the one that most such cells have, and stays on record. Each document's best candidate is verified first;
 then the other candidates between different components; then, for cells on record, the pairs that
 are still in different components. No link between different components is left out.
 
@@ -33,7 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huemill.llm import superkmers as sk
@@ -42,12 +43,14 @@ from huemill.llm.components import components
 from huemill.llm.superkmers import mixed, pack, unpack
 
 SIZE, PERCENT = 5, 75
-#: A shingle in this share of a slab's documents is frequent; so many are left out at most.
-HOT_SHARE, HOT_LIST = 1 / 200, 100_000
+#: A shingle in this share of a slab's documents, and in so many at least, is frequent; so many are left out at most.
+HOT_SHARE, HOT_LEAST, HOT_LIST = 1 / 500, 4, 100_000
 #: Documents that share a cell give all their pairs up to so many of them.
 FEW = 16
 LEVELS = 4
-SLACK = 0.12
+SLACK = 0.08
+#: Bytes of text in one slab.
+SLAB = 6 << 20
 _u64 = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -99,19 +102,22 @@ def _ranges(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
 
 
-def sketch(sets: list[np.ndarray], hot: np.ndarray, percent: int = PERCENT, sizes: np.ndarray = BANDS) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of some non-empty sets: (set, key)."""
+def sketch(sets: list[np.ndarray], hot: np.ndarray, percent: int = PERCENT, sizes: np.ndarray = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Join keys of some non-empty sets: (set, key); and the cells that each set fills at the first level, in the band where they are fewer."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     n_all = np.array([len(s) for s in sets], np.int64)
     if not len(n_all):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    fewest = np.full(len(n_all), np.iinfo(np.int64).max)
     home = np.searchsorted(sizes, n_all, side="right") - 1
     flat = np.concatenate(sets)
     cold = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] != flat if len(hot) else np.ones(len(flat), bool)
     owner = np.repeat(np.arange(len(sets)), n_all)
     for up in (0, 1):
         band = home + up
-        k, most = cells_of(band, percent, sizes)
+        k, _ = cells_of(band, percent, sizes)
+        # the symmetric difference from the largest partner that a set can have in this band
+        reach = (n_all + np.minimum(n_all * 100 // percent, sizes[band + 1] - 1)) * (100 - percent) // (100 + percent)
         who = np.ones(len(sets), bool)
         for level in range(LEVELS):
             use = np.flatnonzero(who[owner] & cold) if level == 0 else np.flatnonzero(who[owner])
@@ -129,7 +135,9 @@ def sketch(sets: list[np.ndarray], hot: np.ndarray, percent: int = PERCENT, size
             tag = mixed((band[doc].astype(np.uint64) << _u64(8)) + _u64(level) + place * sk.C1)
             found.append((doc, mixed(value ^ tag)))
             filled = np.bincount(doc, minlength=len(sets))
-            who &= k - filled >= k - most
+            if level == 0:
+                fewest = np.minimum(fewest, filled)
+            who &= k - filled >= k - reach
             if not who.any():
                 break
         else:
@@ -138,7 +146,7 @@ def sketch(sets: list[np.ndarray], hot: np.ndarray, percent: int = PERCENT, size
             at = ragged(_ranges(n_all)[left], prefix)
             doc = np.repeat(left, prefix)
             found.append((doc, mixed(flat[at] ^ mixed(band[doc].astype(np.uint64) * sk.C2 + _u64(99)))))
-    return np.concatenate([d for d, _ in found]), np.concatenate([x for _, x in found])
+    return np.concatenate([d for d, _ in found]), np.concatenate([x for _, x in found]), fewest
 
 
 def _slabs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -149,7 +157,7 @@ def _slabs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.nd
         ids.append(ids_of(batch.column(0)))
         sets += shingles(data, bounds, size)
         held += len(data) + 64 * len(bounds)
-        if held >= sk.SLAB:
+        if held >= SLAB:
             yield np.concatenate(ids), sets
             ids, sets, held = [], [], 0
     if ids:
@@ -162,7 +170,7 @@ def frequent(docs: DataFrame, size: int = SIZE) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _slabs(batches, size):
             values, counts = np.unique(np.concatenate(sets), return_counts=True)
-            many = counts >= max(8, HOT_SHARE * len(ids))
+            many = counts >= max(HOT_LEAST, HOT_SHARE * len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], ["h", "n"])
 
     found = docs.select("doc_id", "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -176,8 +184,8 @@ PAIR, EQUAL, SHARED, SET = 0, 1, 2, 3
 
 
 def _candidates(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> DataFrame:
-    """PAIR: a < b share n cells; EQUAL: a, b have equal sets; SHARED: cell a has document b of n elements; SET: document a has n elements."""
-    n = partitions(docs.sparkSession)
+    """PAIR: a < b share n cells; EQUAL: a, b have equal sets; SHARED: cell a has document b of n elements; SET: document a has n elements and fills b cells."""
+    n = 2 * partitions(docs.sparkSession)  # sketches take about as much room as their texts, and more in the making
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_LIST numbers at most
     sizes = bands(percent)
 
@@ -193,7 +201,7 @@ def _candidates(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> Da
             lead = order[np.flatnonzero(head)][np.cumsum(head) - 1]
             same = np.stack([ids[full[lead[~head]]], ids[full[order[~head]]]])
             mine = order[head]
-            doc, key = sketch([sets[k] for k in full[mine].tolist()], shared.value, percent, sizes)
+            doc, key, filled = sketch([sets[k] for k in full[mine].tolist()], shared.value, percent, sizes)
             bucket = (key % _u64(n)).astype(np.int64)
             by = np.lexsort((doc, bucket))
             doc, rest, bucket = doc[by], (key // _u64(n))[by], bucket[by]
@@ -208,7 +216,7 @@ def _candidates(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> Da
                     continue
                 who, many = np.unique(doc[i], return_counts=True)
                 buckets.append(k)
-                blobs.append(pack(ids[full[mine[who]]], counts[who], many.astype(np.uint32), rest[i].astype(np.uint32), (rest[i] >> _u64(32)).astype(np.uint8), prints[mine[e], 0], prints[mine[e], 1], ids[full[mine[e]]], s[0], s[1]))
+                blobs.append(pack(ids[full[mine[who]]], counts[who], many.astype(np.uint32), rest[i].astype(np.uint32), (rest[i] >> _u64(32)).astype(np.uint8), prints[mine[e], 0], prints[mine[e], 1], ids[full[mine[e]]], s[0], s[1], filled[e], counts[e]))
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -216,16 +224,19 @@ def _candidates(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(m.astype(np.int64))], ["kind", "a", "b", "n"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts, keys, equal, bucket = [], [], [], [], 0
+        ids, counts, of, keys, equal, bucket, seen = [], [], [], [], [], 0, 0
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # noqa: B007
-                x, c, many, low, high, e0, e1, e_ids, s0, s1 = unpack(blob.as_buffer())
-                ids.append(np.repeat(x, many))
-                counts.append(np.repeat(c, many))
+                x, c, many, low, high, e0, e1, e_ids, s0, s1, filled, set_sizes = unpack(blob.as_buffer())
+                ids.append(x)
+                counts.append(c.astype(np.int64))
+                of.append(np.repeat(np.arange(seen, seen + len(x), dtype=np.int32), many))
+                seen += len(x)
                 # buckets may share a partition
                 keys.append((low.astype(np.uint64) | high.astype(np.uint64) << _u64(32)) ^ (_u64(bucket) << _u64(40)))
                 equal.append((e0, e1, e_ids))
                 yield from rows(EQUAL, s0, s1, np.zeros(len(s0)))
+                yield from rows(SET, e_ids, filled, set_sizes)
         if not ids:
             return
         e0, e1, e_ids = (np.concatenate(v) for v in zip(*equal, strict=True))
@@ -234,22 +245,26 @@ def _candidates(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> Da
             head = np.append(True, (e0[order][1:] != e0[order][:-1]) | (e1[order][1:] != e1[order][:-1]))
             lead = e_ids[order[np.flatnonzero(head)]][np.cumsum(head) - 1]
             yield from rows(EQUAL, lead[~head], e_ids[order[~head]], np.zeros((~head).sum()))
-        doc, count, key = np.concatenate(ids), np.concatenate(counts).astype(np.int64), np.concatenate(keys)
-        order = np.argsort(key, kind="stable")
-        k = key[order]
+        doc, count, of, key = np.concatenate(ids), np.concatenate(counts), np.concatenate(of), np.concatenate(keys)
+        del ids, counts, keys, equal
+        order = np.argsort(key)
+        k, member = key[order], of[order]  # documents of the keys in order
+        del key, of, order
         heads = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
         size = np.diff(np.append(heads, len(k)))
         sides = []
         for m in range(2, FEW + 1):
             group = heads[size == m]
             i, j = np.triu_indices(m, 1)
-            sides.append((order[(group[:, None] + i).reshape(-1)], order[(group[:, None] + j).reshape(-1)]))
+            sides.append((member[(group[:, None] + i).reshape(-1)], member[(group[:, None] + j).reshape(-1)]))
         big = np.flatnonzero(size > FEW)
         if len(big):
             at = ragged(heads[big], size[big])
             owner = np.repeat(np.arange(len(big)), size[big])
-            members = order[at]
-            by = np.lexsort((doc[members], owner))
+            members = member[at]
+            # the document in most of these cells comes first: copies of one text share more with it than with each other
+            degree = np.bincount(members, minlength=len(doc))
+            by = np.lexsort((doc[members], -degree[members], owner))
             members = members[by]
             first = np.cumsum(size[big]) - size[big]
             sides.append((members[first][owner], members))
@@ -258,6 +273,7 @@ def _candidates(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> Da
         near = (doc[a] != doc[b]) & (np.minimum(count[a], count[b]) * 100 >= percent * np.maximum(count[a], count[b]))
         a, b = a[near], b[near]
         names, number = np.unique(doc, return_inverse=True)
+        number = number.reshape(-1)
         lo, hi = np.minimum(number[a], number[b]), np.maximum(number[a], number[b])
         pair, many = np.unique(lo * len(names) + hi, return_counts=True)
         yield from rows(PAIR, names[pair // len(names)], names[pair % len(names)], many)
@@ -265,12 +281,29 @@ def _candidates(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> Da
     return docs.select("doc_id", "text").mapInArrow(send, PACKED).repartition(n, "bucket").mapInArrow(meet, FOUND)
 
 
+def zipped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the texts compressed, as they are written and shuffled several times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for batch in slices(batches, 1, sk.CHUNK):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zip_.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text binary")
+
+
+def _unzipped(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    unzip = zstandard.ZstdDecompressor()
+    texts = [unzip.decompress(z.as_buffer()) for z in column]
+    return np.frombuffer(b"".join(texts), np.uint8), _ranges(np.array([len(t) for t in texts], np.int64))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
+    """The pairs (a, b) that link, by their whole sets; texts are compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 3, sk.CHUNK):
-            left, right = (shingles(*bytes_of(batch.column(k)), size) for k in (2, 3))
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            left, right = (shingles(*_unzipped(batch.column(k)), size) for k in (2, 3))
             keep = []
             for x, y in zip(left, right, strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -290,14 +323,28 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _possible(percent: int, shared_cells: Column) -> Column:
+    """Whether two documents (na, nb elements; fa, fb filled cells) can link if they share so many cells at most.
+
+    Of the cells that the fuller one fills, only as many as the symmetric difference can differ."""
+    most = F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
+    return shared_cells >= F.greatest("fa", "fb") - most
+
+
 def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(node, component) of each document that is linked with another."""
     docs = docs.select("doc_id", "text")
     found = shared_checkpoint(_candidates(docs, frequent(docs, size), size, percent))
     pairs = shared_checkpoint(found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n")))
-    shared = found.where(F.col("kind") == SHARED).select(F.col("a").alias("cell"), F.col("b").alias("doc"), "n")
+    shared = found.where(F.col("kind") == SHARED).select(F.col("a").alias("cell"), F.col("b").alias("doc"))
+    # per document: elements, filled cells, cells on record; of rows with one id what rules out least
+    sets = found.where(F.col("kind") == SET).groupBy(F.col("a").alias("doc")).agg(F.max("n").alias("n"), F.min("b").alias("f"))
+    sets = shared_checkpoint(sets.join(shared.groupBy("doc").agg(F.count("*").alias("big")), "doc", "left").withColumn("big", F.coalesce("big", F.lit(0))))
+    side = lambda x: sets.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("f").alias(f"f{x}"), F.col("big").alias(f"big{x}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b")
+    pairs = shared_checkpoint(sized.where(_possible(percent, F.col("n") + F.least("biga", "bigb"))).select("a", "b", "n"))
     names = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(shared.select("doc")).distinct()
-    texts = shared_checkpoint(docs.join(names, "doc_id", "left_semi"))
+    texts = shared_checkpoint(zipped(docs.join(names, "doc_id", "left_semi")))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     equal = found.where(F.col("kind") == EQUAL).select("a", "b")
     first = shared_checkpoint(verified(best, texts, size, percent))
@@ -307,12 +354,13 @@ def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     edges = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
     labels = components(edges.unionByName(second))
     # cells on record whose documents are in several components
-    known = shared.join(labels, F.col("doc") == F.col("node"), "left").select("cell", "doc", "n", F.coalesce("component", "doc").alias("c"))
+    known = shared.join(labels, F.col("doc") == F.col("node"), "left").select("cell", "doc", F.coalesce("component", "doc").alias("c"))
     mixed_cells = known.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("cell")
-    open_cells = shared_checkpoint(known.join(mixed_cells, "cell", "left_semi"))
-    x, y = (open_cells.select("cell", F.col("doc").alias(d), F.col("n").alias(f"n{d}"), F.col("c").alias(f"c{d}")) for d in ("a", "b"))
+    open_cells = shared_checkpoint(known.join(mixed_cells, "cell", "left_semi").join(sets, "doc"))
+    x, y = (open_cells.select("cell", F.col("doc").alias(d), *(F.col(c).alias(f"{c}{d}") for c in ("n", "f", "big", "c"))) for d in ("a", "b"))
     near = F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")
-    last = x.join(y, "cell").where((F.col("ca") < F.col("cb")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # pairs that share no other cells
+    last = x.join(y, "cell").where((F.col("ca") < F.col("cb")) & near & _possible(percent, F.least("biga", "bigb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     last = shared_checkpoint(verified(last.join(pairs, ["a", "b"], "left_anti"), texts, size, percent))
     edges = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
     return components(edges.unionByName(last))

@@ -92,8 +92,10 @@ def test_linked_sets_share_a_key(n, seed, cut, hot_share):
     both = len(np.intersect1d(a, b))
     hot = np.sort(r.choice(a, int(hot_share * len(a)), replace=False))
     if 100 * both >= 75 * (len(a) + len(b) - both):
-        who, key = sim.sketch([a, b], hot)
+        who, key, filled = sim.sketch([a, b], hot)
         assert set(key[who == 0].tolist()) & set(key[who == 1].tolist())
+        shared = len(set(key[who == 0].tolist()) & set(key[who == 1].tolist()))
+        assert shared >= max(filled) - (len(a) + len(b)) // 7
 
 
 @settings(max_examples=6, deadline=None)
