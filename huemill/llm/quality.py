@@ -5,12 +5,18 @@ unigrams and bigrams are hashed into a fixed number of cells. Two smoothed multi
 cells are counted: one over a trusted target (labelled documents of good quality, at most
 target_rows of them in expectation, picked by a hash of their id), one over all raw documents.
 A document's score is the mean over its n-grams of log p_target(cell) - log p_raw(cell); it is
-kept where the score reaches the threshold and the simple counts don't rule it out.
+kept where the score reaches the threshold and neither the simple counts nor its words rule it out.
+
+Toxic documents. Over labelled toxic and clean documents (at most target_rows of each in
+expectation) the documents with each lower-cased run are counted. A run whose log-likelihood ratio
+of toxic against clean reaches TOXIC_RATIO, by counts that chance does not explain (TOXIC_SURE),
+gives a document away. A document is as toxic as its worst run, so length dilutes nothing. Labelled
+toxic documents are no part of the trusted target.
 
 Only DataFrame functions run. Raw counts are summed in each task before the shuffle, whose size
 is cells x tasks, and the ratio table goes out as one array of fixed length; texts are never
 shuffled. Null and empty texts have no words and fail. Repeated rows are judged alike. With no
-trusted documents every ratio is 0. Columns of the input are kept; result columns of the same
+trusted documents every ratio is 0, and with no toxic ones (or no column toxic) no word is toxic. Columns of the input are kept; result columns of the same
 names are replaced. The 3-word windows of a text are compared by 64-bit hashes.
 """
 
@@ -26,6 +32,8 @@ CELLS = 16_384
 THRESHOLD = -0.35
 #: Bound on the labelled rows that make the target, in expectation.
 TARGET_ROWS = 20_000
+#: Least log ratio of a toxic word, and least G statistic of its counts.
+TOXIC_RATIO, TOXIC_SURE = 3.0, 25.0
 SPACES = r"[\x20\x09-\x0D]+"
 RUNS = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -80,46 +88,92 @@ def base_counts(text: Column) -> Column:
     )
 
 
+def runs(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUNS), F.lit(0))
+
+
+def _cells_of(ws: Column, n: int) -> Column:
+    one = lambda w: F.pmod(F.xxhash64(w), F.lit(n)).cast("int")
+    two = F.transform(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: F.pmod(F.xxhash64(F.get(ws, i - 1), F.get(ws, i)), F.lit(n)).cast("int"))
+    return F.concat(F.transform(ws, one), F.when(F.size(ws) > 1, two).otherwise(F.array().cast("array<int>")))
+
+
 def cells(text: Column, n: int = CELLS) -> Column:
     """Hashed unigrams and bigrams of a text, in order, as numbers of cells."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUNS), F.lit(0))
-    one = lambda w: F.pmod(F.xxhash64(w), F.lit(n)).cast("int")
-    two = lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: F.pmod(F.xxhash64(F.get(ws, i - 1), F.get(ws, i)), F.lit(n)).cast("int"))
-    return _let(runs, lambda ws: F.concat(F.transform(ws, one), F.when(F.size(ws) > 1, two(ws)).otherwise(F.array().cast("array<int>"))))
+    return _let(runs(text), lambda ws: _cells_of(ws, n))
+
+
+def _word(w: Column) -> Column:
+    return F.xxhash64(F.lower(w))
+
+
+def labelled(labels: DataFrame) -> DataFrame:
+    """One row per labelled id: trusted (good quality and not toxic) and toxic; an id with several rows is good, or toxic, where one of them is."""
+    toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(None)
+    said = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("_good"), F.coalesce(F.bool_or(toxic == 1), F.lit(False)).alias("_toxic")
+    )
+    return said.select("_id", (F.col("_good") & ~F.col("_toxic")).alias("_trusted"), "_toxic")
 
 
-def _multinomial(texts: DataFrame, n: int) -> list[float]:
-    """Smoothed log-probabilities of the cells; n rows reach the driver at most."""
-    counts = dict(map(tuple, texts.select(F.explode("_cells").alias("c")).groupBy("c").count().collect()))
-    total = sum(counts.values()) + n
-    return [math.log((counts.get(c, 0) + 1) / total) for c in range(n)]
+def _sample(said: DataFrame, n: int, target_rows: int) -> DataFrame:
+    """At most target_rows of the n ids in expectation, whatever the input."""
+    return said.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(min(1.0, target_rows / max(1, n)) * 1_000_000))
 
 
 def ratios(docs: DataFrame, labels: DataFrame, n: int = CELLS, target_rows: int = TARGET_ROWS, text_col: str = "text", id_col: str = "doc_id") -> list[float]:
-    """log p_target - log p_raw of each cell."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
+    """log p_target - log p_raw of each cell; n rows reach the driver at most."""
+    good = labelled(labels).where("_trusted").select("_id")
     n_good = good.count()
     if not n_good:
         return [0.0] * n
-    share = min(1.0, target_rows / n_good)
-    picked = good.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    # at most target_rows ids in expectation, whatever the input
-    target = docs.select(id_col, text_col).join(F.broadcast(picked), F.col(id_col) == F.col("_id"), "left_semi")
-    p = _multinomial(target.select(cells(F.col(text_col), n).alias("_cells")), n)
-    q = _multinomial(docs.select(cells(F.col(text_col), n).alias("_cells")), n)
-    return [a - b for a, b in zip(p, q, strict=True)]
+    target = _sample(good, n_good, target_rows).select("_id", F.lit(True).alias("_target"))
+    both = docs.select(id_col, text_col).join(F.broadcast(target), F.col(id_col) == F.col("_id"), "left")
+    # the outer form, as the other one has the cells computed once more for a filter
+    found = both.select("_target", F.explode_outer(cells(F.col(text_col), n)).alias("c"))
+    rows = found.groupBy("c").agg(F.count("_target"), F.count(F.lit(1))).where("c is not null").collect()
+    logs = []
+    for k in (1, 2):
+        counts = {r[0]: r[k] for r in rows}
+        total = sum(counts.values()) + n
+        logs.append([math.log((counts.get(c, 0) + 1) / total) for c in range(n)])
+    return [a - b for a, b in zip(*logs, strict=True)]
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS, text_col: str = "text", id_col: str = "doc_id") -> list[int]:
+    """Hashes of the words that give a document away as toxic: their log-likelihood ratio of labelled toxic against clean documents."""
+    said = labelled(labels)
+    n = {r["_toxic"]: r["count"] for r in said.groupBy("_toxic").count().collect()}
+    if not n.get(True) or not n.get(False):
+        return []
+    picked = _sample(said.where("_toxic"), n[True], target_rows).unionByName(_sample(said.where("not _toxic"), n[False], target_rows))
+    read = docs.select(id_col, text_col).join(F.broadcast(picked.select("_id", "_toxic")), F.col(id_col) == F.col("_id"))
+    words_of = F.array_distinct(F.transform(runs(F.col(text_col)), _word))
+    sizes = {r["_toxic"]: r["count"] for r in read.groupBy("_toxic").count().collect()}
+    bad, fine = sizes.get(True, 0), sizes.get(False, 0)
+    if not bad or not fine:
+        return []
+    found = read.select("_toxic", F.explode_outer(words_of).alias("w")).groupBy("w").agg(F.count_if("_toxic").alias("a"), F.count_if(~F.col("_toxic")).alias("b")).where("w is not null and a > 0")
+    both = F.col("a") + F.col("b")
+    term = lambda x, size: F.when(x > 0, x * F.log(x * (bad + fine) / (both * size))).otherwise(F.lit(0.0))
+    ratio = F.log((F.col("a") + 0.5) / (bad + 1)) - F.log((F.col("b") + 0.5) / (fine + 1))
+    sure = 2 * (term(F.col("a"), F.lit(bad)) + term(F.col("b"), F.lit(fine)))
+    return sorted(r["w"] for r in found.where((ratio >= TOXIC_RATIO) & (sure >= TOXIC_SURE)).select("w").collect())
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n: int = CELLS, target_rows: int = TARGET_ROWS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with the simple counts, base_failed, score and kept."""
+    """docs with the simple counts, base_failed, toxic, score and kept."""
     table = ratios(docs, labels, n, target_rows, text_col, id_col)
+    marks = toxic_words(docs, labels, target_rows, text_col, id_col)
     packed = F.split(F.lit(",".join(f"{x!r}" for x in table)), ",").cast("array<double>")  # folded to one literal
     summed = lambda cs: F.aggregate(cs, F.lit(0.0), lambda a, c: a + F.get(packed, c))
-    score = _let(cells(F.col(text_col), n), lambda cs: F.when(F.size(cs) > 0, summed(cs) / F.size(cs)).otherwise(F.lit(0.0)))
-    out = docs.drop(*(c for c in (*COUNTS, "base_failed", "score", "kept") if c in docs.columns))
+    mean = lambda cs: F.when(F.size(cs) > 0, summed(cs) / F.size(cs)).otherwise(F.lit(0.0))
+    worst = lambda ws: F.exists(ws, lambda w: _word(w).isin(marks)) if marks else F.lit(False)
+    judged = _let(runs(F.col(text_col)), lambda ws: F.struct(_let(_cells_of(ws, n), mean).alias("score"), worst(ws).alias("toxic")))
+    out = docs.drop(*(c for c in (*COUNTS, "base_failed", "toxic", "score", "kept") if c in docs.columns))
     names = out.columns
-    out = out.select("*", base_counts(F.col(text_col)).alias("_counts"), score.alias("score"))
-    out = out.select(*names, *(F.col(f"_counts.{c}").alias(c) for c in COUNTS), "score")
+    out = out.select("*", base_counts(F.col(text_col)).alias("_counts"), judged.alias("_judged"))
+    out = out.select(*names, *(F.col(f"_counts.{c}").alias(c) for c in COUNTS), "_judged.toxic", "_judged.score")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("toxic") & (F.col("score") >= threshold))

@@ -60,7 +60,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = quality.judge(_documents(spark, sf_dir), labels)
-    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("score", 6).alias("score"))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "toxic", "kept", F.round("score", 6).alias("score"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

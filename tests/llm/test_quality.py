@@ -67,6 +67,27 @@ def test_against_definition(spark):
     assert got(df.limit(0), lab, -0.1) == []
 
 
+def test_toxic_documents_go_whatever_their_length(spark):
+    prose = lambda k, size: " ".join(f"w{k}x{i}" for i in range(size))
+    docs, labels = [], []
+    for k in range(120):
+        bad = k % 6 == 0
+        docs.append((k, prose(k, 120) + (" you Idiot, " if bad else " you friend, ") + prose(k + 1, 60)))
+        labels.append((k, 1, int(bad)))
+    docs += [(500, prose(500, 60) + " idiot. " + prose(501, 5000)), (501, prose(502, 5000)), (502, prose(503, 80) + " idiotic")]
+    df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, toxic string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in q.judge(df, lab, -9.0).collect()}
+    assert {d for d, r in rows.items() if r.toxic} == {d for d in range(0, 120, 6)} | {500}
+    assert {d for d, r in rows.items() if not r.kept} == {d for d in range(0, 120, 6)} | {500}
+    assert not any(r.toxic for r in q.judge(df, lab.drop("toxic"), -9.0).collect())
+    # toxic documents are no part of the target: the score is that of labels without them
+    trusted = [(d, v) for d, v, bad in labels if not bad]
+    want = {r[0]: r[7] for r in brute(docs, trusted, -9.0)}
+    got = {r.doc_id: r.score for r in q.judge(df, lab, -9.0, N).collect()}
+    assert all(abs(got[d] - want[d]) < 1e-8 for d in want)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n\t#|é", max_size=30), min_size=10, max_size=40))
 def test_base_counts(spark, texts):
