@@ -6,15 +6,19 @@ numpy: the embeddings of the left and the right neighbour pass a tanh layer to a
 vocabulary. It sees all documents: with one neighbour on each side, the counts of (left, word,
 right) over the whole corpus are all that the likelihood depends on, so these are counted where
 the data are, summed by Spark, and the network is fitted to the counts by full-batch Adam. A
-document's score is the sum of the log-probabilities of its words, each masked in turn.
+document's score is the sum of the log-probabilities of its words, each masked in turn. The words
+of a shared class have their own share of it: the corpus count of each plus one over that of the
+class, whose last part is left to all unseen words; so no word loses its identity.
 
-What reaches the driver is bounded by the vocabulary (size**3 counts), and so is the table of
-log-probabilities that goes out. Null and empty texts have no words and score 0 (mean null).
+What reaches the driver is bounded by the vocabulary (size**3 counts) and the HEAD most frequent
+words of shared classes. The counts of all other words, which grow with the corpus, stay where they
+are and are joined to the words of each text (texts and words by 64-bit hashes). Null and empty texts have no words and score 0 (mean null).
 Repeated rows score alike. An empty corpus gives a uniform model. Other columns don't matter.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huemill.llm.common import id_array, ids_of, texts_of
+from huemill.llm.common import shared_checkpoint, texts_of
 
 #: Classes in all, those of words outside the vocabulary, words counted by a task before it passes them on.
 SIZE, REST, HELD = 128, 31, 300_000
 BOUND = 0
 KEPT = 300_000
+#: Words of shared classes whose counts go out to all tasks; those of all others are joined. Units of a summed logarithm, whole so that order doesn't matter.
+HEAD, ONE = 50_000, 1 << 32
 
 
 class Classes(dict):
@@ -66,10 +72,13 @@ class Model:
     size: int
     rest: int
     log_p: np.ndarray  # [left, word, right]
+    counts: DataFrame | None = None  # word, n: every word of the corpus
+    head: dict[str, float] | None = None  # log(n + 1) of the most frequent words of shared classes, in units of 1 / ONE
+    sizes: np.ndarray | None = None  # log of the smoothed number of words by class
 
 
-def vocabulary(docs: DataFrame, size: int = SIZE, rest: int = REST) -> list[str]:
-    """The most frequent lower-case words of all documents."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of every lower-case word of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -86,10 +95,32 @@ def vocabulary(docs: DataFrame, size: int = SIZE, rest: int = REST) -> list[str]
                     yield flush()
         yield flush()
 
-    counted = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame, size: int = SIZE, rest: int = REST, counted: DataFrame | None = None) -> list[str]:
+    """The most frequent lower-case words of all documents."""
+    counted = word_counts(docs) if counted is None else counted
     return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(size - rest - 1).collect()]
 
 
+def class_sizes(counted: DataFrame, words: list[str], size: int = SIZE, rest: int = REST) -> np.ndarray:
+    """Log of tokens + words + 1 of each shared class, whose words share it by their counts plus one; 0 for the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, total = Classes(words, size, rest), np.zeros(size, np.int64)
+        for b in batches:
+            of = np.array([classes[w] for w in b.column(0).to_pylist()], np.int64)
+            np.add.at(total, of, b.column(1).to_numpy() + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["class", "n"])
+
+    out = np.zeros(size)
+    for r in counted.mapInArrow(run, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        if r["class"] >= size - rest:
+            out[r["class"]] = np.log(r.n + 1)
+    return out
+
+
 def neighbour_counts(docs: DataFrame, words: list[str], size: int = SIZE, rest: int = REST) -> np.ndarray:
     """Counts of (left, word, right) over all documents."""
 
@@ -146,22 +177,68 @@ def train(counts: np.ndarray, width: int = 24, hidden: int = 64, steps: int = 15
     return np.ascontiguousarray(forward(np.arange(v * v))[1].reshape(v, v, v).transpose(0, 2, 1)).astype(np.float32)
 
 
-def fit(docs: DataFrame, size: int = SIZE, rest: int = REST, **options) -> Model:
-    words = vocabulary(docs, size, rest)
-    return Model(words, size, rest, train(neighbour_counts(docs, words, size, rest), **options))
+def fit(docs: DataFrame, size: int = SIZE, rest: int = REST, head: int = HEAD, **options) -> Model:
+    counted = shared_checkpoint(word_counts(docs))
+    words = vocabulary(docs, size, rest, counted)
+    # chosen on an executor: a plain collect() sends that many words of each partition to the driver
+    most = shared_checkpoint(counted.orderBy(F.desc("n"), "word").limit(head + len(words)))
+    table = {r.word: round(math.log(r.n + 1) * ONE) for r in most.collect()}
+    for w in words:
+        table.pop(w, None)
+    log_p = train(neighbour_counts(docs, words, size, rest), **options)
+    return Model(words, size, rest, log_p, counted, table, class_sizes(counted, words, size, rest))
+
+
+def _tail(docs: DataFrame, model: Model, head) -> DataFrame:
+    """text_hash and the sum of log(n + 1) over the text's words outside the vocabulary and the head, in units of 1 / ONE."""
+    words = model.words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {*words, *head.value}
+        for b in batches:
+            hashes, texts = b.column(0).to_numpy(), texts_of(b.column(1))
+            rows, found, times = [], [], []
+
+            def flush() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.string()), pa.array(times, pa.int32())], ["text_hash", "word", "times"])
+                rows.clear(), found.clear(), times.clear()
+                return out
+
+            for h, t in zip(hashes, texts, strict=True):
+                c = Counter(w for w in t.lower().split() if w not in known)
+                rows += [h] * len(c)
+                found += c.keys()
+                times += c.values()
+                if len(found) > 100_000:
+                    yield flush()
+            yield flush()
+
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    met = docs.select(text_hash, "text").mapInArrow(run, "text_hash long, word string, times int")
+    met = met.select("text_hash", F.xxhash64("word").alias("w"), "times")
+    # words by 64-bit hashes; never broadcast, as the words grow with the corpus
+    logs = model.counts.select(F.xxhash64("word").alias("w"), F.round(F.log(F.col("n") + 1) * ONE).cast("long").alias("log_n"))
+    summed = met.join(logs.hint("shuffle_merge"), "w").groupBy("text_hash").agg(F.sum(F.col("times") * F.col("log_n")).alias("sum"))
+    copies = docs.select(text_hash).groupBy("text_hash").agg(F.count("*").alias("copies"))
+    return summed.join(copies, "text_hash").select("text_hash", F.expr("sum div copies").alias("tail"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """A row per row of docs: words, words of the vocabulary, summed and mean log-probability."""
     table = docs.sparkSession.sparkContext.broadcast(model.log_p.reshape(-1))  # size**3 numbers
     words, size, rest = model.words, model.size, model.rest
+    sizes = np.zeros(size) if model.sizes is None else model.sizes
+    head = docs.sparkSession.sparkContext.broadcast(model.head or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, log_p = Classes(words, size, rest), table.value
         for b in batches:
-            flat, n = classes.of(texts_of(b.column(1)))
+            flat, n = classes.of(texts_of(b.column(2)))
             cell = (flat[:-2] * size + flat[1:-1]) * size + flat[2:]
-            each = np.where(flat[1:-1] == BOUND, 0.0, log_p[cell].astype(np.float64))
+            texts = texts_of(b.column(2))
+            each = np.where(flat[1:-1] == BOUND, 0.0, log_p[cell].astype(np.float64) - sizes[flat[1:-1]])
+            get = head.value.get
+            shared = [sum([get(w, 0) for w in t.lower().split()]) for t in texts]
             known = (flat[1:-1] > 0) & (flat[1:-1] < size - rest)
             ends = np.cumsum(n + 1) - 1
             starts = ends - n
@@ -169,7 +246,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             kept = np.concatenate([[0], np.cumsum(known)])
             stop = np.minimum(ends, len(each))
             total = sums[stop] - sums[np.minimum(starts, len(each))]
-            mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([id_array(ids_of(b.column(0))), pa.array(n), pa.array(kept[stop] - kept[np.minimum(starts, len(each))]), pa.array(total), mean], ["doc_id", "n_words", "n_known", "log_likelihood", "mean_log_likelihood"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_known long, log_likelihood double, mean_log_likelihood double")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(kept[stop] - kept[np.minimum(starts, len(each))]), pa.array(total), pa.array(shared, pa.int64())], ["doc_id", "text_hash", "n_words", "n_known", "classes", "head"])
+
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash, "text").mapInArrow(run, "doc_id long, text_hash long, n_words long, n_known long, classes double, head long")
+    tail = F.lit(0)
+    if model.counts is not None:
+        rows, tail = rows.join(_tail(docs, model, head), "text_hash", "left"), F.coalesce("tail", F.lit(0))
+    rows = rows.withColumn("log_likelihood", F.col("classes") + (F.col("head") + tail) / F.lit(float(ONE)))
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return rows.select("doc_id", "n_words", "n_known", "log_likelihood", mean.alias("mean_log_likelihood"))

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -52,6 +54,30 @@ def test_held_out_order_and_sums(spark):
     assert -1.1 < np.mean([by[i].mean_log_likelihood for i in range(40)]) < -0.6
 
 
+def test_words_of_shared_classes_keep_their_identity(spark):
+    texts = ["the cat sat", "the bat sat", "the cat ran", "the rat ran a cat", "the cat sat", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = Counter(w for t in texts for w in (t or "").split())
+    rows = [*enumerate(texts), (10, "the xqat sat"), (11, "the cat sat bat bat xqat"), (11, "the cat sat bat bat xqat")]
+    for head in (0, 2, 100):
+        model = pl.fit(df, 8, 6, head=head)
+        classes = pl.Classes(model.words, 8, 6)
+        of = lambda w, c=classes: c[w]
+        total = Counter()
+        for w, n in seen.items():
+            total[of(w)] += n + 1
+        got = pl.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+        assert len(got) == len(rows)
+        by = {r.doc_id: r.log_likelihood for r in got}
+        for d, t in rows:
+            ws = (t or "").split()
+            ids = [0, *map(of, ws), 0]
+            want = sum(float(model.log_p[x, y, z]) for x, y, z in zip(ids, ids[1:], ids[2:]))
+            want += sum(math.log((seen[w] + 1) / (total[of(w)] + 1)) for w in ws if w not in model.words)
+            assert abs(by[d] - want) < 1e-5
+        assert by[0] > by[1] > by[10]  # cat, bat and the unseen word are of one class
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     model = pl.fit(df, 8, 3)
