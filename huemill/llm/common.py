@@ -27,6 +27,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as tell it from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ids_of(column: pa.Array) -> np.ndarray:
     """Document ids as int64, null as NULL_ID."""
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)

@@ -23,8 +23,8 @@ _WORD = np.ones(256, bool)
 _WORD[[32, *range(9, 14)]] = False
 
 
-def _words(data: np.ndarray, bounds: np.ndarray):
-    """Words of all texts, each followed by one space."""
+def word_ranges(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of each word of all texts, and the bounds of each text in words."""
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = _WORD[data]
     starts = inside[1:] & ~inside[:-1]
@@ -34,6 +34,12 @@ def _words(data: np.ndarray, bounds: np.ndarray):
     starts[touching] = True
     ends[touching] = True
     a, b = np.flatnonzero(starts), np.flatnonzero(ends)
+    return a, b, np.searchsorted(a, bounds)
+
+
+def _words(data: np.ndarray, bounds: np.ndarray):
+    """Words of all texts, each followed by one space."""
+    a, b, word_bounds = word_ranges(data, bounds)
     size = b - a
     ends_at = np.cumsum(size + 1)
     first = ends_at - size - 1
@@ -42,7 +48,7 @@ def _words(data: np.ndarray, bounds: np.ndarray):
     h = sk.range_hashes(body, first, first + size)
     n = max(0, len(a) - GRAM + 1)
     grams = sk.mixed(h[:n] * sk.C1 + h[1 : n + 1] * sk.C2 + h[2 : n + 2] * sk.C3)
-    return body, np.searchsorted(a, bounds), first, first + size, grams
+    return body, word_bounds, first, first + size, grams
 
 
 def _compare(size: int):

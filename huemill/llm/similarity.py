@@ -7,24 +7,30 @@ without words it is empty and linked with nothing. Two documents link when
 
 Sketches. An element is hashed to one of k cells, and each cell holds the XOR of its elements'
 hashes. An element in just one of two sets changes one cell at most, so the number of differing
-cells (the sketches' Hamming distance) is a lower bound of the symmetric difference, which linked
-sets of sizes a and b bound by D = (a + b)(1 - t) / (1 + t). Sizes fall into bands such that linked
-sets are in one band or adjacent ones, and a document joins under the k of its own band and of the
-next. With k > D cells some cell agrees (pigeonhole), and the join is an equality of cells.
-
-Cells that hold nothing don't join. A set with k - D empty cells or more, D for its largest partner,
-could lose a link by that, and then only with another such set; these go on to a next level under another hash, and at the
-last to a prefix of their least hashes. The first level leaves out shingles that are frequent
-somewhere (a bounded list), which can't raise the symmetric difference; so a passage that many
-documents share doesn't bring them together. Equal sets of a slab are sketched once.
-
-Candidates. Documents that share too few cells for their sizes are ruled out by the same bound. Cells shared by few documents give all their pairs; a cell shared by more gives a star
-around the one that most such cells have, and stays on record. Each document's best candidate is verified first;
-then the other candidates between different components; then, for cells on record, the pairs that
-are still in different components. No link between different components is left out.
-
-Rows with one id are one document: its links are those of any of its rows. A row with a null id is
-linked with nothing, and its component is null. Other columns don't matter.
+cells is a lower bound of the symmetric difference, which linked sets of sizes a and b bound by
+D = (a + b)(1 - t) / (1 + t). Sizes fall into bands such that linked sets are in one band or
+adjacent ones, and a document joins under the k of its own band and of the next. There are about
+twice as many cells as D. Of its f filled cells a document sends only the D + 1 rarest, in one
+order for all documents: a partner differs in D cells at most, so the rarest shared cell is among
+them on both sides (pigeonhole). What a group of near copies or a common passage has in common goes
+last in that order: a bounded list of frequent cells, counted over all documents; any order is right.
+
+A set with D filled cells or fewer could lose a link, and then only with another such set; these go
+on to a next level under another hash, and at the last to a prefix of their least hashes.
+
+The same hashes fill a sketch of parity bits, two to four an element. The Hamming distance of two of
+these is a lower bound of the symmetric difference too; it rules out most candidate pairs before a
+text is fetched. A longer sketch folds to the length of a shorter one.
+
+Candidates. Cells that few documents share give all their pairs; a cell that more share gives a star
+around the document with most frequent cells, and stays on record. Each document's best candidate is
+verified first, by the whole sets; then the other candidates between different components. Then the
+documents of a cell on record that are still in different components are compared by their bits, in
+blocks of bounded size, and what these leave is verified. No link between different components is left out.
+
+Equal sets of a slab are sketched once. Rows with one id are one document: its links are those of any
+of its rows. A row with a null id is linked with nothing, and its component is null. Other columns
+don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,51 +40,62 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from huemill.llm import superkmers as sk
-from huemill.llm.common import NULL_ID, bytes_of, id_array, ids_of, partitions, ragged, shared_checkpoint, slices
+from huemill.llm.common import NULL_ID, bytes_of, fresh, id_array, ids_of, partitions, ragged, shared_checkpoint, slices
 from huemill.llm.components import components
+from huemill.llm.passage_dedup import word_ranges
 from huemill.llm.superkmers import mixed, pack, unpack
 
 SIZE, PERCENT = 5, 75
-#: A shingle in this share of a slab's documents, and in so many at least, is frequent; so many are left out at most.
-HOT_SHARE, HOT_LEAST, HOT_LIST = 1 / 500, 4, 100_000
+#: Cells for each element that linked sets may differ in.
+CELLS = 2
+#: Frequent cells on the list that orders cells, and the least number of a slab's documents that share one.
+HOT_LIST, HOT_LEAST = 1 << 18, 2
 #: Documents that share a cell give all their pairs up to so many of them.
 FEW = 16
 LEVELS = 4
-SLACK = 0.08
-#: Bytes of text in one slab.
-SLAB = 6 << 20
+#: Documents of one cell compared at a time with each other, or with as many others.
+BLOCK = 2048
+#: Bytes of text in one slab, where sets are exchanged and where cells are counted.
+SLAB, COUNTED = 6 << 20, 16 << 20
 _u64 = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def shingles(data: np.ndarray, bounds: np.ndarray, size: int = SIZE) -> list[np.ndarray]:
-    """The set of each text, sorted."""
-    from huemill.llm.passage_dedup import _words
+def _ranges(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
 
-    body, word_bounds, first, last, _ = _words(_LOWER[data], bounds)
-    h = sk.range_hashes(body, first, last)
+def shingles(data: np.ndarray, bounds: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of all texts, each sorted, one after the other; and their sizes."""
+    data = _LOWER[data]
+    first, last, at = word_ranges(data, bounds)
+    h = sk.range_hashes(data, first, last)
     n = max(0, len(h) - size + 1)
     s = np.zeros(n, np.uint64)
     for k in range(size):
         s = s * sk.C1 + h[k : k + n]
     s = mixed(s)
-    out = []
-    for a, b in zip(word_bounds[:-1].tolist(), word_bounds[1:].tolist(), strict=True):
-        if b - a >= size:
-            out.append(np.unique(s[a : b - size + 1]))
-        elif b > a:
-            x = _u64(b - a)
-            for w in h[a:b]:
-                x = mixed(np.array([x], np.uint64) * sk.C2 + w)[0]
-            out.append(np.array([x], np.uint64))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+    many = np.diff(at)
+    count = np.where(many >= size, many - size + 1, np.minimum(many, 1))
+    flat = s[np.minimum(ragged(at[:-1], count), n - 1)] if n else np.zeros(int(count.sum()), np.uint64)
+    ends = np.cumsum(count)
+    for k in np.flatnonzero((many > 0) & (many < size)).tolist():
+        x = _u64(many[k])
+        for w in h[at[k] : at[k + 1]]:
+            x = mixed(np.array([x], np.uint64) * sk.C2 + w)[0]
+        flat[ends[k] - 1] = x
+    for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True):
+        if b > a + 1:
+            flat[a:b].sort()
+    owner = np.repeat(np.arange(len(count)), count)
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    return flat[new], np.bincount(owner[new], minlength=len(count))
 
 
 def bands(percent: int = PERCENT, most: int = 1 << 40) -> np.ndarray:
@@ -89,154 +106,245 @@ def bands(percent: int = PERCENT, most: int = 1 << 40) -> np.ndarray:
     return np.array(sizes, np.int64)
 
 
-BANDS = bands()
-
-
-def cells_of(band: np.ndarray, percent: int = PERCENT, sizes: np.ndarray = BANDS) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of a band, and the symmetric difference that linked sets have at most there."""
-    most = 2 * (sizes[band + 1] - 1) * (100 - percent) // (100 + percent)
-    return most + 1 + np.ceil(SLACK * most).astype(np.int64), most
-
-
-def _ranges(sizes: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(sizes)])
+def cells_of(band: np.ndarray, percent: int, sizes: np.ndarray) -> np.ndarray:
+    """Cells of a band."""
+    return CELLS * (2 * (sizes[band + 1] - 1) * (100 - percent) // (100 + percent)) + 1
+
+
+def reach_of(n: np.ndarray, up: int, percent: int, sizes: np.ndarray) -> np.ndarray:
+    """The symmetric difference from the largest partner that a set can have in its own band (up 0) or in the next (up 1)."""
+    band = np.searchsorted(sizes, n, side="right") - 1 + up
+    return (n + np.minimum(n * 100 // percent, sizes[band + 1] - 1)) * (100 - percent) // (100 + percent)
+
+
+def _filled(h: np.ndarray, owner: np.ndarray, place: np.ndarray, band: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) of each filled cell; elements come in the order of their sets and cells."""
+    new = np.ones(len(h), bool)
+    new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
+    heads = np.flatnonzero(new)
+    doc = owner[heads]
+    tag = mixed((band[doc].astype(np.uint64) << _u64(8)) + _u64(level) + place[heads] * sk.C1)
+    return doc, mixed((np.bitwise_xor.reduceat(h, heads) if len(heads) else h) ^ tag)
+
+
+def first_cells(flat: np.ndarray, n: np.ndarray, up: int, percent: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) of each filled cell at the first level. A cell is a range of hashes, and sets are sorted."""
+    band = np.searchsorted(sizes, n, side="right") - 1 + up
+    owner = np.repeat(np.arange(len(n)), n)
+    place = (flat >> _u64(32)) * cells_of(band, percent, sizes).astype(np.uint64)[owner] >> _u64(32)
+    return _filled(mixed(flat * sk.C3), owner, place, band, 0)
+
+
+def later_cells(flat: np.ndarray, n: np.ndarray, who: np.ndarray, up: int, percent: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) at the later levels of the sets that fill too few cells at the first."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    band = np.searchsorted(sizes, n, side="right") - 1 + up
+    k, reach, start = cells_of(band, percent, sizes), reach_of(n, up, percent, sizes), _ranges(n)
+    left = np.flatnonzero(who)
+    for level in range(1, LEVELS):
+        if not len(left):
+            break
+        owner, h = np.repeat(left, n[left]), flat[ragged(start[left], n[left])]
+        h = mixed(h ^ _u64((0x5851F42D4C957F2D * (2 * level + 1)) % 2**64))
+        place = h % k[owner].astype(np.uint64)
+        order = np.lexsort((place, owner))
+        found.append(_filled(mixed(h[order] * sk.C3), owner[order], place[order], band, level))
+        left = left[np.bincount(found[-1][0], minlength=len(n))[left] <= reach[left]]
+    if len(left):
+        prefix = n[left] - -(-percent * n[left] // 100) + 1
+        doc = np.repeat(left, prefix)
+        found.append((doc, mixed(flat[ragged(start[left], prefix)] ^ mixed(band[doc].astype(np.uint64) * sk.C2 + _u64(99)))))
+    return np.concatenate([d for d, _ in found]), np.concatenate([x for _, x in found])
+
+
+class Frequent:
+    """The listed cells, the more frequent the higher their rank."""
+
+    def __init__(self, keys: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.rank = keys[order], order.astype(np.uint64)
+
+    def order(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """44 bits to sort cells by, the rarest first; and whether each is on the list."""
+        if not len(self.keys):
+            return key >> _u64(21), np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        listed = self.keys[at] == key
+        return np.where(listed, self.rank[at] + _u64(1 << 43), key >> _u64(21)), listed
+
+
+def sketch(flat: np.ndarray, n: np.ndarray, frequent: Frequent, percent: int = PERCENT, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Join keys of non-empty sets: (set, up, key), and the share of frequent cells of each set in 255ths."""
+    sizes = bands(percent) if sizes is None else sizes
+    docs, ups, keys, hot, all_ = [], [], [], np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    for up in (0, 1):
+        doc, key = first_cells(flat, n, up, percent, sizes)
+        filled, reach = np.bincount(doc, minlength=len(n)), reach_of(n, up, percent, sizes)
+        order, listed = frequent.order(key)
+        hot += np.bincount(doc[listed], minlength=len(n))
+        all_ += filled
+        order += doc.astype(np.uint64) << _u64(44)
+        last = np.sort(order)[np.cumsum(filled) - filled + np.minimum(filled - 1, reach)] if len(n) else order
+        keep = order <= last[doc]
+        more, late = later_cells(flat, n, filled <= reach, up, percent, sizes)
+        docs += [doc[keep], more]
+        keys += [key[keep], late]
+        ups.append(np.full(int(keep.sum()) + len(more), up, np.int64))
+    return np.concatenate(docs), np.concatenate(ups), np.concatenate(keys), 255 * hot // np.maximum(1, all_)
+
+
+def bits_of(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bits of each set as bytes, one set after the other; and the bytes of each."""
+    size = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(1, 2 * n))).astype(np.int64) >> 3)
+    at = _ranges(8 * size)
+    place = np.repeat(at[:-1], n) + (mixed(flat * sk.C2) & np.repeat(8 * size - 1, n).astype(np.uint64)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=int(at[-1])).astype(np.uint8) & 1, bitorder="little"), size
+
+
+def folded(bits: list[bytes], size: int) -> np.ndarray:
+    """Sketches of one length as rows of 64-bit words, folded to size bytes."""
+    rows = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1, size // 8)
+    return np.bitwise_xor.reduce(rows, axis=1)
+
+
+def distances(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Hamming distances of sketches, pair by pair."""
+    sizes = np.array([(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(sizes), np.int64)
+    for x, y in np.unique(sizes, axis=0).tolist():
+        who = np.flatnonzero((sizes == (x, y)).all(axis=1))
+        one, two = folded([left[k] for k in who], min(x, y)), folded([right[k] for k in who], min(x, y))
+        out[who] = np.bitwise_count(one ^ two).sum(axis=1)
+    return out
 
 
-def sketch(sets: list[np.ndarray], hot: np.ndarray, percent: int = PERCENT, sizes: np.ndarray = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Join keys of some non-empty sets: (set, key); and the cells that each set fills at the first level, in the band where they are fewer."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    n_all = np.array([len(s) for s in sets], np.int64)
-    if not len(n_all):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    fewest = np.full(len(n_all), np.iinfo(np.int64).max)
-    home = np.searchsorted(sizes, n_all, side="right") - 1
-    flat = np.concatenate(sets)
-    cold = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] != flat if len(hot) else np.ones(len(flat), bool)
-    owner = np.repeat(np.arange(len(sets)), n_all)
-    for up in (0, 1):
-        band = home + up
-        k, _ = cells_of(band, percent, sizes)
-        # the symmetric difference from the largest partner that a set can have in this band
-        reach = (n_all + np.minimum(n_all * 100 // percent, sizes[band + 1] - 1)) * (100 - percent) // (100 + percent)
-        who = np.ones(len(sets), bool)
-        for level in range(LEVELS):
-            use = np.flatnonzero(who[owner] & cold) if level == 0 else np.flatnonzero(who[owner])
-            seed = _u64((0x5851F42D4C957F2D * (2 * level + 1)) % 2**64)
-            h = mixed(flat[use] ^ seed)
-            mine = owner[use]
-            base = _ranges(np.where(who, k, 0))
-            cell = base[mine] + (h % k[mine].astype(np.uint64)).astype(np.int64)
-            order = np.argsort(cell, kind="stable")
-            c = cell[order]
-            heads = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
-            value = np.bitwise_xor.reduceat(mixed(h[order] * sk.C3), heads) if len(heads) else np.zeros(0, np.uint64)
-            doc = mine[order][heads]
-            place = (c[heads] - base[doc]).astype(np.uint64)
-            tag = mixed((band[doc].astype(np.uint64) << _u64(8)) + _u64(level) + place * sk.C1)
-            found.append((doc, mixed(value ^ tag)))
-            filled = np.bincount(doc, minlength=len(sets))
-            if level == 0:
-                fewest = np.minimum(fewest, filled)
-            who &= k - filled >= k - reach
-            if not who.any():
-                break
-        else:
-            left = np.flatnonzero(who)
-            prefix = n_all[left] - -(-percent * n_all[left] // 100) + 1
-            at = ragged(_ranges(n_all)[left], prefix)
-            doc = np.repeat(left, prefix)
-            found.append((doc, mixed(flat[at] ^ mixed(band[doc].astype(np.uint64) * sk.C2 + _u64(99)))))
-    return np.concatenate([d for d, _ in found]), np.concatenate([x for _, x in found]), fewest
-
-
-def _slabs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Ids and sets of a slab of documents."""
-    ids, sets, held = [], [], 0
+def _slabs(batches: Iterator[pa.RecordBatch], size: int, room: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, sets and sizes of sets of a slab of documents."""
+    ids, sets, many, held = [], [], [], 0
     for batch in slices(batches, 1, sk.CHUNK):
         data, bounds = bytes_of(batch.column(1))
+        flat, n = shingles(data, bounds, size)
         ids.append(ids_of(batch.column(0)))
-        sets += shingles(data, bounds, size)
+        sets.append(flat)
+        many.append(n)
         held += len(data) + 64 * len(bounds)
-        if held >= SLAB:
-            yield np.concatenate(ids), sets
-            ids, sets, held = [], [], 0
+        if held >= room:
+            yield np.concatenate(ids), np.concatenate(sets), np.concatenate(many)
+            ids, sets, many, held = [], [], [], 0
     if ids:
-        yield np.concatenate(ids), sets
+        yield np.concatenate(ids), np.concatenate(sets), np.concatenate(many)
+
+
+def _only(flat: np.ndarray, n: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return flat[ragged(_ranges(n)[which], n[which])], n[which]
+
 
+def _prints(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """128 bits of each non-empty set."""
+    start = np.cumsum(n) - n
+    return np.stack([np.bitwise_xor.reduceat(mixed(flat * sk.C2), start), np.add.reduceat(mixed(flat * sk.C3), start) + n.astype(np.uint64)], axis=1)
 
-def frequent(docs: DataFrame, size: int = SIZE) -> np.ndarray:
-    """Shingles that are frequent in some slab, the most frequent first, HOT_LIST at most; sorted."""
+
+COUNTS = "doc_id long, n_shingles long, cell long"
+
+
+def counted(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """A row per document with its set's size; and rows with a cell and the number of different sets of a slab that fill it, two or more."""
+    sizes = bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _slabs(batches, size):
-            values, counts = np.unique(np.concatenate(sets), return_counts=True)
-            many = counts >= max(HOT_LEAST, HOT_SHARE * len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], ["h", "n"])
+        for ids, flat, n in _slabs(batches, size, COUNTED):
+            yield pa.RecordBatch.from_arrays([id_array(ids), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.int64())], ["doc_id", "n_shingles", "cell"])
+            flat, n = _only(flat, n, np.flatnonzero(n))
+            if not len(n):
+                continue
+            flat, n = _only(flat, n, np.unique(_prints(flat, n), axis=0, return_index=True)[1])
+            for up in (0, 1):
+                key = np.sort(first_cells(flat, n, up, percent, sizes)[1])
+                twin = np.flatnonzero(np.append(key[1:] == key[:-1], False))
+                values, many = np.unique(key[twin], return_counts=True)
+                frequent = many + 1 >= HOT_LEAST
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(frequent.sum()), pa.int64()), pa.array(many[frequent].astype(np.int64) + 1), pa.array(values[frequent].view(np.int64))], ["doc_id", "n_shingles", "cell"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "h").limit(HOT_LIST).select("h").toArrow()
-    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    return shared_checkpoint(docs.select("doc_id", "text").mapInArrow(run, COUNTS))
+
+
+def frequent_cells(counts: DataFrame) -> np.ndarray:
+    """The most frequent cells, HOT_LIST at most, the most frequent last."""
+    top = counts.where("cell is not null").groupBy("cell").agg(F.sum("n_shingles").alias("n")).orderBy(F.desc("n"), "cell").limit(HOT_LIST).select("cell").toArrow()
+    return top.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 PACKED = "bucket int, blob binary"
-FOUND = "kind byte, a long, b long, n long"
+FOUND = "kind byte, a long, b long, n long, bits binary"
 PAIR, EQUAL, SHARED, SET = 0, 1, 2, 3
 
 
-def _candidates(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> DataFrame:
-    """PAIR: a < b share n cells; EQUAL: a, b have equal sets; SHARED: cell a has document b of n elements; SET: document a has n elements and fills b cells."""
-    n = 2 * partitions(docs.sparkSession)  # sketches take about as much room as their texts, and more in the making
-    shared = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_LIST numbers at most
+def _candidates(docs: DataFrame, listed: np.ndarray, size: int, percent: int) -> DataFrame:
+    """PAIR: a < b share n cells; EQUAL: a, b have equal sets; SHARED: cell a has document b; SET: document a has n elements and these parity bits."""
+    n_buckets = partitions(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(listed)  # HOT_LIST numbers at most
     sizes = bands(percent)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _slabs(batches, size):
-            full = np.array([k for k in range(len(sets)) if len(sets[k]) and ids[k] != NULL_ID], np.int64)
+        frequent = Frequent(shared.value)
+        for ids, flat, n in _slabs(batches, size, SLAB):
+            full = np.flatnonzero((n > 0) & (ids != NULL_ID))
             if not len(full):
                 continue
-            prints = np.array([(np.bitwise_xor.reduce(mixed(sets[k] * sk.C2)), np.add.reduce(mixed(sets[k] * sk.C3)) + _u64(len(sets[k]))) for k in full.tolist()], np.uint64)
-            order = np.lexsort((ids[full], prints[:, 1], prints[:, 0]))
+            (flat, n), ids = _only(flat, n, full), ids[full]
+            prints = _prints(flat, n)
+            order = np.lexsort((ids, prints[:, 1], prints[:, 0]))
             p = prints[order]
             head = np.append(True, (p[1:] != p[:-1]).any(axis=1))
             lead = order[np.flatnonzero(head)][np.cumsum(head) - 1]
-            same = np.stack([ids[full[lead[~head]]], ids[full[order[~head]]]])
-            mine = order[head]
-            doc, key, filled = sketch([sets[k] for k in full[mine].tolist()], shared.value, percent, sizes)
-            bucket = (key % _u64(n)).astype(np.int64)
-            by = np.lexsort((doc, bucket))
-            doc, rest, bucket = doc[by], (key // _u64(n))[by], bucket[by]
-            cuts = np.searchsorted(bucket, np.arange(n + 1))
-            equal_bucket = (prints[mine, 0] % _u64(n)).astype(np.int64)
-            counts = np.array([len(sets[k]) for k in full[mine].tolist()], np.uint32)
+            same = np.stack([ids[lead[~head]], ids[order[~head]]])
+            mine = np.sort(order[head])
+            (flat, n), ids, prints = _only(flat, n, mine), ids[mine], prints[mine]
+            bits, room = bits_of(flat, n)
+            bits_at = _ranges(room)
+            doc, up, key, weight = sketch(flat, n, frequent, percent, sizes)
+            bucket = (key % _u64(n_buckets)).astype(np.int64)
+            by = np.argsort((bucket * len(n) + doc) * 2 + up)
+            doc, up, rest, bucket = doc[by], up[by], (key // _u64(n_buckets))[by], bucket[by]
+            cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
+            equal_bucket = (prints[:, 0] % _u64(n_buckets)).astype(np.int64)
             buckets, blobs = [], []
-            for k in range(n):
+            for k in range(n_buckets):
                 i, e = slice(cuts[k], cuts[k + 1]), np.flatnonzero(equal_bucket == k)
-                s = same[:, same[0] % n == k]
+                s = same[:, same[0] % n_buckets == k]
                 if cuts[k] == cuts[k + 1] and not len(e) and not s.size:
                     continue
                 who, many = np.unique(doc[i], return_counts=True)
+                above = np.bincount(np.searchsorted(who, doc[i]), up[i], len(who)).astype(np.int64)
+                small = np.uint16 if not len(many) or many.max() < 1 << 16 else np.uint32
+                packed_bits = bits[ragged(bits_at[e], room[e])]
                 buckets.append(k)
-                blobs.append(pack(ids[full[mine[who]]], counts[who], many.astype(np.uint32), rest[i].astype(np.uint32), (rest[i] >> _u64(32)).astype(np.uint8), prints[mine[e], 0], prints[mine[e], 1], ids[full[mine[e]]], s[0], s[1], filled[e], counts[e]))
+                blobs.append(pack(ids[who], n[who].astype(np.uint32), weight[who].astype(np.uint8), many.astype(small), above.astype(small), rest[i].astype(np.uint32), (rest[i] >> _u64(32)).astype(np.uint8), prints[e, 0], prints[e, 1], ids[e], n[e].astype(np.uint32), room[e], packed_bits, s[0], s[1]))
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
-    def rows(kind: int, a: np.ndarray, b: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, m: np.ndarray, bits: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(m.astype(np.int64))], ["kind", "a", "b", "n"])
+            cells = [pa.array(np.full(len(a), kind, np.int8)), *(pa.array(x.astype(np.int64)) for x in (a, b, m)), pa.array(bits, pa.binary()) if bits else pa.nulls(len(a), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, ["kind", "a", "b", "n", "bits"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts, of, keys, equal, bucket, seen = [], [], [], [], [], 0, 0
+        ids, counts, weights, of, keys, equal, seen = [], [], [], [], [], [], 0
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # noqa: B007
-                x, c, many, low, high, e0, e1, e_ids, s0, s1, filled, set_sizes = unpack(blob.as_buffer())
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x, c, w, many, above, low, high, e0, e1, e_ids, e_n, room, bits, s0, s1 = unpack(blob.as_buffer())
+                many, above, at, raw = many.astype(np.int64), above.astype(np.int64), _ranges(room).tolist(), bits.tobytes()
                 ids.append(x)
                 counts.append(c.astype(np.int64))
+                weights.append(w)
                 of.append(np.repeat(np.arange(seen, seen + len(x), dtype=np.int32), many))
                 seen += len(x)
-                # buckets may share a partition
-                keys.append((low.astype(np.uint64) | high.astype(np.uint64) << _u64(32)) ^ (_u64(bucket) << _u64(40)))
+                # buckets may share a partition; the last bit is 1 where the document comes from the band below
+                up = np.repeat(np.tile([0, 1], len(x)), np.stack([many - above, above], axis=1).reshape(-1)).astype(np.uint64)
+                keys.append((_u64(bucket) << _u64(41)) + (high.astype(np.uint64) << _u64(33)) + (low.astype(np.uint64) << _u64(1)) + up)
                 equal.append((e0, e1, e_ids))
                 yield from rows(EQUAL, s0, s1, np.zeros(len(s0)))
-                yield from rows(SET, e_ids, filled, set_sizes)
+                yield from rows(SET, e_ids, np.zeros(len(e_ids)), e_n, [raw[a:b] for a, b in zip(at, at[1:], strict=False)])
         if not ids:
             return
         e0, e1, e_ids = (np.concatenate(v) for v in zip(*equal, strict=True))
@@ -245,28 +353,31 @@ def _candidates(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> Da
             head = np.append(True, (e0[order][1:] != e0[order][:-1]) | (e1[order][1:] != e1[order][:-1]))
             lead = e_ids[order[np.flatnonzero(head)]][np.cumsum(head) - 1]
             yield from rows(EQUAL, lead[~head], e_ids[order[~head]], np.zeros((~head).sum()))
-        doc, count, of, key = np.concatenate(ids), np.concatenate(counts), np.concatenate(of), np.concatenate(keys)
-        del ids, counts, keys, equal
+        doc, count, weight, of, key = (np.concatenate(v) for v in (ids, counts, weights, of, keys))
+        del ids, counts, keys, equal, weights
         order = np.argsort(key)
-        k, member = key[order], of[order]  # documents of the keys in order
+        k, member = key[order] >> _u64(1), of[order]  # documents of the keys in order, those of the cell's own band first
+        below = (key[order] & _u64(1)).astype(bool)
         del key, of, order
         heads = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-        size = np.diff(np.append(heads, len(k)))
-        sides = []
+        many = np.diff(np.append(heads, len(k)))
+        # two documents of the band below meet in their own band
+        use = (many > 1) & ~below[heads] if len(k) else np.zeros(0, bool)
+        heads, many = heads[use], many[use]
+        sides = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
         for m in range(2, FEW + 1):
-            group = heads[size == m]
+            group = heads[many == m]
             i, j = np.triu_indices(m, 1)
-            sides.append((member[(group[:, None] + i).reshape(-1)], member[(group[:, None] + j).reshape(-1)]))
-        big = np.flatnonzero(size > FEW)
+            left, right = (group[:, None] + i).reshape(-1), (group[:, None] + j).reshape(-1)
+            sides.append((member[left[~below[left]]], member[right[~below[left]]]))
+        big = np.flatnonzero(many > FEW)
         if len(big):
-            at = ragged(heads[big], size[big])
-            owner = np.repeat(np.arange(len(big)), size[big])
+            at = ragged(heads[big], many[big])
+            owner = np.repeat(np.arange(len(big)), many[big])
             members = member[at]
-            # the document in most of these cells comes first: copies of one text share more with it than with each other
-            degree = np.bincount(members, minlength=len(doc))
-            by = np.lexsort((doc[members], -degree[members], owner))
-            members = members[by]
-            first = np.cumsum(size[big]) - size[big]
+            # the document with most frequent cells comes first: the others of a group share more with it than with each other
+            members = members[np.lexsort((doc[members], -weight[members].astype(np.int64), owner))]
+            first = np.cumsum(many[big]) - many[big]
             sides.append((members[first][owner], members))
             yield from rows(SHARED, k[at].view(np.int64), doc[members], count[members])
         a, b = (np.concatenate(v) for v in zip(*sides, strict=True))
@@ -275,10 +386,68 @@ def _candidates(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> Da
         names, number = np.unique(doc, return_inverse=True)
         number = number.reshape(-1)
         lo, hi = np.minimum(number[a], number[b]), np.maximum(number[a], number[b])
-        pair, many = np.unique(lo * len(names) + hi, return_counts=True)
-        yield from rows(PAIR, names[pair // len(names)], names[pair % len(names)], many)
+        pair, shares = np.unique(lo * len(names) + hi, return_counts=True)
+        yield from rows(PAIR, names[pair // len(names)], names[pair % len(names)], shares)
+
+    return docs.select("doc_id", "text").mapInArrow(send, PACKED).repartition(n_buckets, "bucket").mapInArrow(meet, FOUND)
 
-    return docs.select("doc_id", "text").mapInArrow(send, PACKED).repartition(n, "bucket").mapInArrow(meet, FOUND)
+
+def _most(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """The largest symmetric difference of linked sets of n and m elements."""
+    return (n + m) * (100 - percent) // (100 + percent)
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n) that their parity bits do not rule out; a document with several rows has several sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy() for k in (3, 5))
+            near = distances(batch.column(4).to_pylist(), batch.column(6).to_pylist()) <= _most(n, m, percent)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in range(3)], ["a", "b", "n"])
+
+    one = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    two = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "na", "bits_a", "nb", "bits_b")
+    return joined.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.max("n").alias("n"))
+
+
+def _open_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a cell on record and that their parity bits do not rule out."""
+    known = shared.join(labels, F.col("doc") == F.col("node"), "left").select("cell", "doc", F.coalesce("component", "doc").alias("c"))
+    cells = known.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members"))
+    cells = cells.where("lo <> hi").select("cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    placed = known.join(cells, "cell").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "c")
+    placed = placed.join(sets, "doc").select("cell", "i", "j", "own", "doc", "c", "n", "bits")
+
+    def compare(table: pa.Table) -> pa.Table:
+        cross = table.column("i")[0] != table.column("j")[0]
+        own, doc, c, n = (table.column(x).to_numpy() for x in ("own", "doc", "c", "n"))
+        bits = table.column("bits").to_pylist()
+        room = np.array([len(x) for x in bits])
+        rows = np.empty((len(bits), int(room.min()) // 8), np.uint64)
+        for size in np.unique(room).tolist():
+            who = np.flatnonzero(room == size)
+            rows[who] = folded([bits[k] for k in who], int(room.min()))
+        # the largest component comes last, as its members need no comparison with each other
+        names, number, many = np.unique(c, return_inverse=True, return_counts=True)
+        number = number.reshape(-1)
+        order = np.argsort(number == many.argmax(), kind="stable")
+        own, doc, c, n, rows = own[order], doc[order], c[order], n[order], rows[order]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for k in range(len(doc) - int(many.max())):
+            rest = slice(k + 1, None)
+            near = (c[rest] != c[k]) & (doc[rest] != doc[k]) & (np.minimum(n[rest], n[k]) * 100 >= percent * np.maximum(n[rest], n[k]))
+            if cross:
+                near &= own[rest] != own[k]
+            which = np.flatnonzero(near) + k + 1
+            which = which[np.bitwise_count(rows[which] ^ rows[k]).sum(axis=1) <= _most(n[which], n[k], percent)]
+            found.append((np.full(len(which), doc[k]), doc[which]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return placed.groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def zipped(docs: DataFrame) -> DataFrame:
@@ -303,12 +472,15 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-            left, right = (shingles(*_unzipped(batch.column(k)), size) for k in (2, 3))
-            keep = []
-            for x, y in zip(left, right, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+            (left, n), (right, m) = (shingles(*_unzipped(batch.column(k)), size) for k in (2, 3))
+            # both sets of a pair together, sorted: twins are in both
+            side = np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)])
+            all_ = np.concatenate([left, right])
+            order = np.lexsort((all_, side))
+            all_, side = all_[order], side[order]
+            both = np.bincount(side[1:][(all_[1:] == all_[:-1]) & (side[1:] == side[:-1])], minlength=len(n))
+            keep = pa.array((both > 0) & (100 * both >= percent * (n + m - both)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -323,64 +495,42 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _possible(percent: int, shared_cells: Column) -> Column:
-    """Whether two documents (na, nb elements; fa, fb filled cells) can link if they share so many cells at most.
-
-    Of the cells that the fuller one fills, only as many as the symmetric difference can differ."""
-    most = F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
-    return shared_cells >= F.greatest("fa", "fb") - most
-
-
-def link(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+def link(docs: DataFrame, counts: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(node, component) of each document that is linked with another."""
     docs = docs.select("doc_id", "text")
-    found = shared_checkpoint(_candidates(docs, frequent(docs, size), size, percent))
-    pairs = shared_checkpoint(found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n")))
+    found = shared_checkpoint(_candidates(docs, frequent_cells(counts), size, percent))
+    sets = found.where(F.col("kind") == SET).select(F.col("a").alias("doc"), "n", "bits")
     shared = found.where(F.col("kind") == SHARED).select(F.col("a").alias("cell"), F.col("b").alias("doc"))
-    # per document: elements, filled cells, cells on record; of rows with one id what rules out least
-    sets = found.where(F.col("kind") == SET).groupBy(F.col("a").alias("doc")).agg(F.max("n").alias("n"), F.min("b").alias("f"))
-    sets = shared_checkpoint(sets.join(shared.groupBy("doc").agg(F.count("*").alias("big")), "doc", "left").withColumn("big", F.coalesce("big", F.lit(0))))
-    side = lambda x: sets.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("f").alias(f"f{x}"), F.col("big").alias(f"big{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b")
-    pairs = shared_checkpoint(sized.where(_possible(percent, F.col("n") + F.least("biga", "bigb"))).select("a", "b", "n"))
+    pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = shared_checkpoint(_near(pairs, sets, percent))
     names = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(shared.select("doc")).distinct()
     texts = shared_checkpoint(zipped(docs.join(names, "doc_id", "left_semi")))
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    ends = pairs.select("a", "b", "n").union(pairs.select("b", "a", "n"))
+    best = ends.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     equal = found.where(F.col("kind") == EQUAL).select("a", "b")
-    first = shared_checkpoint(verified(best, texts, size, percent))
-    labels = components(equal.unionByName(first))
+    labels = components(equal.unionByName(verified(best, texts, size, percent)))
+    joined = lambda more: components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
     others = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-    second = shared_checkpoint(verified(_apart(others, labels), texts, size, percent))
-    edges = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    labels = components(edges.unionByName(second))
-    # cells on record whose documents are in several components
-    known = shared.join(labels, F.col("doc") == F.col("node"), "left").select("cell", "doc", F.coalesce("component", "doc").alias("c"))
-    mixed_cells = known.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("cell")
-    open_cells = shared_checkpoint(known.join(mixed_cells, "cell", "left_semi").join(sets, "doc"))
-    x, y = (open_cells.select("cell", F.col("doc").alias(d), *(F.col(c).alias(f"{c}{d}") for c in ("n", "f", "big", "c"))) for d in ("a", "b"))
-    near = F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")
-    # pairs that share no other cells
-    last = x.join(y, "cell").where((F.col("ca") < F.col("cb")) & near & _possible(percent, F.least("biga", "bigb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    last = shared_checkpoint(verified(last.join(pairs, ["a", "b"], "left_anti"), texts, size, percent))
-    edges = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return components(edges.unionByName(last))
+    labels = joined(verified(_apart(others, labels), texts, size, percent))
+    rest = _open_pairs(shared, labels, sets, percent).join(pairs, ["a", "b"], "left_anti")
+    return joined(verified(rest, texts, size, percent))
 
 
 def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """A row per row of docs: its id, its set's size, and the least id that links reach from it."""
-    labels = link(docs, size, percent)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, sk.CHUNK):
-            n = [len(s) for s in shingles(*bytes_of(batch.column(1)), size)]
-            yield pa.RecordBatch.from_arrays([id_array(ids_of(batch.column(0))), pa.array(n, pa.int64())], ["doc_id", "n_shingles"])
-
-    counted = docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_shingles long")
-    return counted.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    counts = counted(docs, size, percent)
+    labels = link(docs, counts, size, percent)
+    sized = counts.where("cell is null").select("doc_id", "n_shingles")
+    return sized.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """docs without the documents whose group has one with a smaller id; of equal rows with one id and text one stays."""
-    labels = link(docs, size, percent).where("node <> component").select("node")
-    kept = docs.join(labels, F.col("doc_id") == F.col("node"), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"])
+    counts = counted(docs, size, percent)
+    node = fresh(docs, "node")
+    later = link(docs, counts, size, percent).where("node <> component").select(F.col("node").alias(node))
+    kept = docs.join(later, F.col("doc_id") == F.col(node), "left_anti")
+    # only ids with several rows need a look at their texts
+    several = counts.where("cell is null").groupBy(F.col("doc_id").alias(node)).count().where("count > 1").select(node)
+    same = F.col("doc_id").eqNullSafe(F.col(node))
+    return kept.join(several, same, "left_anti").unionByName(kept.join(several, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -77,6 +77,38 @@ def test_big_cells_and_representatives(spark):
     assert kept == sorted({c for *_, c in want})
 
 
+def chained(seed):
+    """A large group whose members link only through others: each is a few words away from the one before it, far from the first."""
+    r = random.Random(seed)
+    w = [f"b{i}" for i in range(200)]
+    docs = []
+    for d in range(90):
+        docs.append((d, " ".join(w)))
+        for _ in range(2):
+            w[r.randrange(200)] = f"x{r.random()}"
+    r.shuffle(docs)
+    return docs
+
+
+def test_chain_of_links(spark, monkeypatch):
+    docs = chained(4)
+    want = brute(docs)
+    assert len({c for *_, c in want}) == 1
+    for few, block in ((16, 2048), (2, 7)):
+        monkeypatch.setattr(sim, "FEW", few)
+        monkeypatch.setattr(sim, "BLOCK", block)
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        assert sorted(map(tuple, sim.groups(df).collect()), key=str) == want
+
+
+def test_columns_of_inner_names(spark):
+    names = ["node", "component", "cell", "doc", "a", "b", "n", "count", "_node"]
+    df = spark.createDataFrame([(1, "a b c d e f", *range(9)), (2, "a b c d e f", *range(9)), (None, "a", *range(9)), (None, "a", *range(9))], f"doc_id long, text string, {', '.join(f'{c} int' for c in names)}")
+    kept = sorted(map(tuple, sim.representatives(df).collect()), key=str)
+    assert kept == sorted([(1, "a b c d e f", *range(9)), (None, "a", *range(9))], key=str)
+    assert sim.groups(df).count() == 4
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert sim.groups(df).count() == 0
@@ -84,18 +116,22 @@ def test_empty(spark):
 
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 10**6), st.floats(0, 1), st.floats(0, 1))
-def test_linked_sets_share_a_key(n, seed, cut, hot_share):
+def test_linked_sets_share_a_key_and_bits(n, seed, cut, hot_share):
     r = np.random.default_rng(seed)
-    a = np.unique(r.integers(1, 2**63, n, dtype=np.uint64))
+    a = np.unique(r.integers(1, 2**64 - 1, n, dtype=np.uint64))
     drop = int(cut * len(a) / 7)
-    b = np.unique(np.concatenate([a[drop:], r.integers(1, 2**63, drop, dtype=np.uint64)]))
+    b = np.unique(np.concatenate([a[drop:], r.integers(1, 2**64 - 1, drop, dtype=np.uint64)]))
     both = len(np.intersect1d(a, b))
-    hot = np.sort(r.choice(a, int(hot_share * len(a)), replace=False))
+    flat, sizes = np.concatenate([a, b]), np.array([len(a), len(b)])
+    listed = np.concatenate([sim.first_cells(flat, sizes, up, 75, sim.bands())[1] for up in (0, 1)])
+    listed = r.permutation(np.unique(listed))[: int(hot_share * len(listed))]
     if 100 * both >= 75 * (len(a) + len(b) - both):
-        who, key, filled = sim.sketch([a, b], hot)
-        assert set(key[who == 0].tolist()) & set(key[who == 1].tolist())
-        shared = len(set(key[who == 0].tolist()) & set(key[who == 1].tolist()))
-        assert shared >= max(filled) - (len(a) + len(b)) // 7
+        who, up, key, _ = sim.sketch(flat, sizes, sim.Frequent(listed))
+        one, two = (set(zip(key[who == k].tolist(), up[who == k].tolist(), strict=True)) for k in (0, 1))
+        assert any(x == y and min(u, v) == 0 for x, u in one for y, v in two)
+    bits, room = sim.bits_of(flat, sizes)
+    raw = bits.tobytes()
+    assert sim.distances([raw[: room[0]]], [raw[room[0] :]])[0] <= len(a) + len(b) - 2 * both
 
 
 @settings(max_examples=6, deadline=None)
