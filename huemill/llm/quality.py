@@ -27,6 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from huemill.llm.common import fresh
+
 CELLS = 16_384
 #: Documents whose mean log ratio is lower than this are dropped.
 THRESHOLD = -0.35
@@ -35,7 +37,7 @@ TARGET_ROWS = 20_000
 #: Least log ratio of a toxic word, and least G statistic of its counts.
 TOXIC_RATIO, TOXIC_SURE = 3.0, 25.0
 SPACES = r"[\x20\x09-\x0D]+"
-RUNS = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+"
+RUNS = r"[\p{L}\p{N}_]++|[^\s\p{L}\p{N}_]++"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -48,9 +50,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def repeated_words(ws: Column) -> Column:
-    """Words in 3-word windows that occur twice or more in the array of words."""
-    windows = F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
+def _windows(ws: Column) -> Column:
+    """64-bit hashes of the 3-word windows of an array of words; null with fewer than four words."""
+    return F.when(F.size(ws) > 3, F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2))))
+
+
+def repeated_words(h: Column) -> Column:
+    """Words in 3-word windows, given by their hashes, that occur twice or more."""
 
     def covered(found: Column) -> Column:
         at = F.sort_array(F.transform(found, lambda e: e["i"]))
@@ -58,49 +64,39 @@ def repeated_words(ws: Column) -> Column:
         step = lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"))
         return F.aggregate(at, start, step, lambda a: a["n"])
 
-    def sorted_twins(s: Column) -> Column:
-        same = lambda e, k: (F.get(s, k - 1)["x"] == e["x"]) | (F.get(s, k + 1)["x"] == e["x"])
-        return F.filter(s, lambda e, k: F.coalesce(same(e, k), F.coalesce(F.get(s, k - 1)["x"] == e["x"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["x"] == e["x"], F.lit(False))))
-
-    def of(h: Column) -> Column:
-        numbered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        many = _let(_let(numbered, sorted_twins), covered)
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(many)
-
-    return F.when(F.size(ws) < 4, F.lit(0).cast("long")).otherwise(_let(windows, of))
-
-
-def base_counts(text: Column) -> Column:
-    """A struct of the simple counts."""
-    text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    from_words = _let(words(text), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).alias("n_repeat_words")))
-    dup = _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    return _let(
-        from_words,
-        lambda w: F.struct(
-            w["n_words"].alias("n_words"),
-            F.length(F.regexp_replace(text, SPACES, "")).cast("long").alias("word_chars"),
-            F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-            dup.alias("n_dup_lines"),
-            w["n_repeat_words"].alias("n_repeat_words"),
-        ),
+    def twins(s: Column) -> Column:
+        same = lambda e, k: F.coalesce(F.get(s, k)["x"] == e["x"], F.lit(False))
+        return F.filter(s, lambda e, k: same(e, k - 1) | same(e, k + 1))
+
+    numbered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    return F.when(h.isNull() | (F.size(F.array_distinct(h)) == F.size(h)), F.lit(0).cast("long")).otherwise(_let(_let(numbered, twins), covered))
+
+
+def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df with the simple counts. Each step is a column of its own, which is computed once and in generated code where lambdas are not needed."""
+    names, ws, h, lines = df.columns, *(fresh(df, c) for c in ("words", "windows", "lines"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    with_lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    out = df.select("*", words(text).alias(ws), with_lines.alias(lines))
+    out = out.select("*", _windows(F.col(ws)).alias(h))
+    counts = (
+        F.size(ws).cast("long"),
+        F.length(F.array_join(ws, "")).cast("long"),
+        F.length(F.regexp_replace(text, r"[^#*$%&|<>]++", "")).cast("long"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        repeated_words(F.col(h)),
     )
+    return out.select(*names, *(c.alias(n) for n, c in zip(COUNTS, counts, strict=True)))
 
 
 def runs(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUNS), F.lit(0))
 
 
-def _cells_of(ws: Column, n: int) -> Column:
-    one = lambda w: F.pmod(F.xxhash64(w), F.lit(n)).cast("int")
-    two = F.transform(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: F.pmod(F.xxhash64(F.get(ws, i - 1), F.get(ws, i)), F.lit(n)).cast("int"))
-    return F.concat(F.transform(ws, one), F.when(F.size(ws) > 1, two).otherwise(F.array().cast("array<int>")))
-
-
-def cells(text: Column, n: int = CELLS) -> Column:
-    """Hashed unigrams and bigrams of a text, in order, as numbers of cells."""
-    return _let(runs(text), lambda ws: _cells_of(ws, n))
+def _grams(ws: Column) -> Column:
+    """64-bit hashes of the unigrams and bigrams of an array of runs, in order."""
+    two = F.transform(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: F.xxhash64(F.get(ws, i - 1), F.get(ws, i)))
+    return F.concat(F.transform(ws, lambda w: F.xxhash64(w)), F.when(F.size(ws) > 1, two).otherwise(F.array().cast("array<long>")))
 
 
 def _word(w: Column) -> Column:
@@ -128,10 +124,11 @@ def ratios(docs: DataFrame, labels: DataFrame, n: int = CELLS, target_rows: int
     if not n_good:
         return [0.0] * n
     target = _sample(good, n_good, target_rows).select("_id", F.lit(True).alias("_target"))
-    both = docs.select(id_col, text_col).join(F.broadcast(target), F.col(id_col) == F.col("_id"), "left")
+    both = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(target), F.col("_doc") == F.col("_id"), "left")
     # the outer form, as the other one has the cells computed once more for a filter
-    found = both.select("_target", F.explode_outer(cells(F.col(text_col), n)).alias("c"))
-    rows = found.groupBy("c").agg(F.count("_target"), F.count(F.lit(1))).where("c is not null").collect()
+    found = both.select("_target", runs(F.col("_text")).alias("_runs")).select("_target", F.explode_outer(_grams(F.col("_runs"))).alias("_gram"))
+    cell = F.pmod("_gram", F.lit(n)).cast("int").alias("c")
+    rows = found.groupBy(cell).agg(F.count("_target"), F.count(F.lit(1))).where("c is not null").collect()
     logs = []
     for k in (1, 2):
         counts = {r[0]: r[k] for r in rows}
@@ -147,8 +144,8 @@ def toxic_words(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_RO
     if not n.get(True) or not n.get(False):
         return []
     picked = _sample(said.where("_toxic"), n[True], target_rows).unionByName(_sample(said.where("not _toxic"), n[False], target_rows))
-    read = docs.select(id_col, text_col).join(F.broadcast(picked.select("_id", "_toxic")), F.col(id_col) == F.col("_id"))
-    words_of = F.array_distinct(F.transform(runs(F.col(text_col)), _word))
+    read = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(picked.select("_id", "_toxic")), F.col("_doc") == F.col("_id"))
+    words_of = F.array_distinct(F.transform(runs(F.col("_text")), _word))
     sizes = {r["_toxic"]: r["count"] for r in read.groupBy("_toxic").count().collect()}
     bad, fine = sizes.get(True, 0), sizes.get(False, 0)
     if not bad or not fine:
@@ -166,14 +163,14 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n: i
     table = ratios(docs, labels, n, target_rows, text_col, id_col)
     marks = toxic_words(docs, labels, target_rows, text_col, id_col)
     packed = F.split(F.lit(",".join(f"{x!r}" for x in table)), ",").cast("array<double>")  # folded to one literal
-    summed = lambda cs: F.aggregate(cs, F.lit(0.0), lambda a, c: a + F.get(packed, c))
-    mean = lambda cs: F.when(F.size(cs) > 0, summed(cs) / F.size(cs)).otherwise(F.lit(0.0))
+    summed = lambda gs: F.aggregate(gs, F.lit(0.0), lambda a, g: a + F.get(packed, F.pmod(g, F.lit(n)).cast("int")))
     worst = lambda ws: F.exists(ws, lambda w: _word(w).isin(marks)) if marks else F.lit(False)
-    judged = _let(runs(F.col(text_col)), lambda ws: F.struct(_let(_cells_of(ws, n), mean).alias("score"), worst(ws).alias("toxic")))
-    out = docs.drop(*(c for c in (*COUNTS, "base_failed", "toxic", "score", "kept") if c in docs.columns))
-    names = out.columns
-    out = out.select("*", base_counts(F.col(text_col)).alias("_counts"), judged.alias("_judged"))
-    out = out.select(*names, *(F.col(f"_counts.{c}").alias(c) for c in COUNTS), "_judged.toxic", "_judged.score")
+    out = docs.drop(*(c for c in docs.columns if c.lower() in (*COUNTS, "base_failed", "toxic", "score", "kept")))
+    names, found, grams = out.columns, fresh(out, "runs"), fresh(out, "grams")
+    out = out.select("*", runs(F.col(text_col)).alias(found))
+    out = out.select("*", _grams(F.col(found)).alias(grams))
+    out = out.select(*names, worst(F.col(found)).alias("toxic"), F.when(F.size(grams) > 0, summed(F.col(grams)) / F.size(grams)).otherwise(F.lit(0.0)).alias("score"))
+    out = with_counts(out, text_col).select(*names, *COUNTS, "toxic", "score")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("toxic") & (F.col("score") >= threshold))

@@ -88,8 +88,16 @@ def test_toxic_documents_go_whatever_their_length(spark):
     assert all(abs(got[d] - want[d]) < 1e-8 for d in want)
 
 
+def test_columns_of_inner_names(spark):
+    names = ["_counts", "_judged", "_id", "_target", "_text", "_doc", "words", "windows", "lines", "runs", "grams", "_runs", "c"]
+    df = spark.createDataFrame([(1, "a b c d", *range(len(names))), (None, None, *range(len(names)))], f"doc_id long, text string, {', '.join(f'{c} int' for c in names)}")
+    lab = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    out = q.judge(df, lab, -0.1)
+    assert sorted(map(tuple, out.select(df.columns).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n\t#|é", max_size=30), min_size=10, max_size=40))
 def test_base_counts(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    assert [tuple(r.c) for r in df.select(q.base_counts(F.col("text")).alias("c")).collect()] == [base(t) for t in texts]
+    assert [tuple(r) for r in q.with_counts(df).select(*q.COUNTS).collect()] == [base(t) for t in texts]
