@@ -1,24 +1,28 @@
-"""Scores of documents under a masked language model: summed log-probabilities of every word given both neighbours.
-
-The vocabulary has the most frequent words of the corpus, a fixed number of classes for all other
-words (by their endings), and a bound before and after each text. A window network is trained in
-numpy: the embeddings of the left and the right neighbour pass a tanh layer to a softmax over the
-vocabulary. It sees all documents: with one neighbour on each side, the counts of (left, word,
-right) over the whole corpus are all that the likelihood depends on, so these are counted where
-the data are, summed by Spark, and the network is fitted to the counts by full-batch Adam. A
-document's score is the sum of the log-probabilities of its words, each masked in turn. The words
-of a shared class have their own share of it: the corpus count of each plus one over that of the
-class, whose last part is left to all unseen words; so no word loses its identity.
-
-What reaches the driver is bounded by the vocabulary (size**3 counts) and the HEAD most frequent
-words of shared classes. The counts of all other words, which grow with the corpus, stay where they
-are and are joined to the words of each text (texts and words by 64-bit hashes). Null and empty texts have no words and score 0 (mean null).
-Repeated rows score alike. An empty corpus gives a uniform model. Other columns don't matter.
+"""Scores of documents under a masked language model: summed log-probabilities of every word given both sides.
+
+A bidirectional window network, trained in numpy, predicts each word from WINDOW neighbours on either
+side: their embeddings, weighted by place, add up to a tanh layer, whose output goes to a softmax over
+groups of classes and to one over the classes of a group. The most frequent words of the corpus are
+classes of their own; all other words share a fixed number of classes (by a hash). A word of a
+shared class has its own share of it: the corpus count of the word plus one over that of the class,
+whose last part is left to all unseen words. So every word is scored as itself, and a document's
+score is the sum of the log-probabilities of its words, each masked in turn.
+
+Training reads all documents. The biases start from the corpus counts, so the network starts at the
+unigram model. In each round every task masks one position in MASKED of its own texts, whatever their
+number, and takes one pass of Adagrad over them; the tasks' parameters are averaged, weighted by
+their masked words, and go out again. A round moves one set of parameters per task, cut into parts
+that are averaged apart; the driver gets the average of fixed size.
+
+What reaches the driver is bounded by the number of classes and the HEAD most frequent words of shared
+classes. The counts of all other words, which grow with the corpus, stay where they are and are
+joined to the words of each text (texts and words by 64-bit hashes). A word is known where the corpus has it twice or
+more. Null and empty texts have no words and score 0 (mean null). Repeated rows score alike. An empty
+corpus gives a uniform model. Other columns don't matter.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,25 +33,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huemill.llm.common import shared_checkpoint, texts_of
+from huemill.llm import superkmers as sk
+from huemill.llm.common import partitions, shared_checkpoint, slices, texts_of
 
-#: Classes in all, those of words outside the vocabulary, words counted by a task before it passes them on.
-SIZE, REST, HELD = 128, 31, 300_000
+#: Groups of classes, classes of a group, classes in all that rarer words share.
+GROUPS, PER, REST = 64, 128, 1024
+#: Neighbours on each side, width of the network.
+WINDOW, WIDTH = 3, 32
+#: One position in so many is masked in a round of training; rounds, masked words of one step, learning rate.
+MASKED, ROUNDS, STEP, RATE = 8, 2, 2048, 0.15
+#: Class of the places before and after a text.
 BOUND = 0
-KEPT = 300_000
-#: Words of shared classes whose counts go out to all tasks; those of all others are joined. Units of a summed logarithm, whole so that order doesn't matter.
+#: Words counted by a task before it passes them on; words whose class a task remembers.
+HELD, KEPT = 300_000, 300_000
+#: Words whose counts go out to all tasks; those of all others are joined. Units of a summed logarithm, whole so that order doesn't matter.
 HEAD, ONE = 50_000, 1 << 32
+#: Numbers in one part of the parameters.
+PART = 1 << 14
+#: Corpus count from which a word is known.
+KNOWN = 2
 
 
 class Classes(dict):
-    """Class of a lower-case word."""
+    """Class of a lower-case word: 1, 2, ... for the listed ones, then the shared ones."""
 
-    def __init__(self, words: list[str], size: int = SIZE, rest: int = REST):
+    def __init__(self, words: list[str], size: int = GROUPS * PER, rest: int = REST):
         super().__init__({w: k + 1 for k, w in enumerate(words)})
         self.words, self.first, self.rest = words, size - rest, rest
 
     def __missing__(self, word: str) -> int:
-        k = self.first + zlib.crc32(word[-2:].encode()) % self.rest
+        k = self.first + zlib.crc32(word.encode()) % self.rest
         if len(self) > KEPT:
             self.clear()
             self.update({w: k + 1 for k, w in enumerate(self.words)})
@@ -55,26 +70,123 @@ class Classes(dict):
             self[word] = k
         return k
 
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Classes of all words, each text between bounds, and the number of words of each text."""
-        flat, sizes = [BOUND], []
-        for t in texts:
-            words = t.lower().split()
+    def of(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of all words, WINDOW bounds before and after each text, and the places of the words."""
+        flat: list[int] = [BOUND] * WINDOW
+        for words in texts:
             flat += map(self.__getitem__, words)
-            flat.append(BOUND)
-            sizes.append(len(words))
-        return np.array(flat, np.int64), np.array(sizes, np.int64)
+            flat += [BOUND] * WINDOW
+        ids = np.array(flat, np.int32)
+        return ids, np.flatnonzero(ids != BOUND)
+
+
+class Network:
+    """Parameters by name: embeddings e, weights s of the places, bias h; groups g, gb; classes o, ob."""
+
+    def __init__(self, groups: int = GROUPS, per: int = PER, width: int = WIDTH, seed: int = 0):
+        r = np.random.default_rng(seed)
+        normal = lambda *shape: (0.3 * r.standard_normal(shape)).astype(np.float32)
+        zero = lambda *shape: np.zeros(shape, np.float32)
+        self.groups, self.per, self.width = groups, per, width
+        self.p = {"e": normal(groups * per, width), "s": np.ones((2 * WINDOW, width), np.float32), "h": zero(width), "g": zero(groups, width), "gb": zero(groups), "o": zero(groups, per, width), "ob": zero(groups, per)}
+
+    def biased(self, counts: np.ndarray) -> Network:
+        """Starts at the distribution of classes that these counts give."""
+        p = np.log((counts.reshape(self.groups, self.per) + 0.1) / (counts.sum() + 0.1 * counts.size))
+        self.p["gb"], self.p["ob"] = np.log(np.exp(p).sum(axis=1)).astype(np.float32), p.astype(np.float32)
+        return self
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.reshape(-1) for x in self.p.values()])
+
+    def of_flat(self, flat: np.ndarray) -> Network:
+        at = 0
+        for k, x in self.p.items():
+            self.p[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+            at += x.size
+        return self
+
+    def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        total = np.tile(self.p["h"], (len(at), 1))
+        for k, d in enumerate((*range(-WINDOW, 0), *range(1, WINDOW + 1))):
+            total += self.p["s"][k] * self.p["e"][ids[at + d]]
+        return np.tanh(total)
+
+    def _by_group(self, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(self.groups + 1))
+        for g in range(self.groups):
+            if cuts[g] < cuts[g + 1]:
+                yield g, order[cuts[g] : cuts[g + 1]]
+
+    def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-probability of the class at each of these places given both sides."""
+        out = np.empty(len(at))
+        for k in range(0, len(at), 16_384):
+            here = at[k : k + 16_384]
+            x, (group, member) = self.hidden(ids, here), np.divmod(ids[here], self.per)
+            out[k : k + len(here)] = _picked(x @ self.p["g"].T + self.p["gb"], group)[0]
+            for g, rows in self._by_group(group):
+                out[k + rows] += _picked(x[rows] @ self.p["o"][g].T + self.p["ob"][g], member[rows])[0]
+        return out
+
+    def gradient(self, ids: np.ndarray, at: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Summed loss at these places and its gradients; that of the embeddings only for the classes that the third result lists."""
+        x, (group, member) = self.hidden(ids, at), np.divmod(ids[at], self.per)
+        logs, z = _picked(x @ self.p["g"].T + self.p["gb"], group, True)
+        grad = {"g": z.T @ x, "gb": z.sum(axis=0), "o": np.zeros_like(self.p["o"]), "ob": np.zeros_like(self.p["ob"])}
+        dx, loss = z @ self.p["g"], -logs.sum()
+        for g, rows in self._by_group(group):
+            logs, z = _picked(x[rows] @ self.p["o"][g].T + self.p["ob"][g], member[rows], True)
+            loss -= logs.sum()
+            dx[rows] += z @ self.p["o"][g]
+            grad["o"][g], grad["ob"][g] = z.T @ x[rows], z.sum(axis=0)
+        dx *= 1 - x * x
+        near = np.stack([ids[at + d] for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1))])
+        grad["h"] = dx.sum(axis=0)
+        grad["s"] = np.stack([(dx * self.p["e"][n]).sum(axis=0) for n in near])
+        seen, of = np.unique(near, return_inverse=True)
+        order = np.argsort(of.reshape(-1), kind="stable")
+        each = (self.p["s"][:, None, :] * dx).reshape(-1, self.width)[order]
+        heads = np.searchsorted(of.reshape(-1)[order], np.arange(len(seen)))
+        grad["e"] = np.add.reduceat(each, heads, axis=0) if len(seen) else each
+        return float(loss), grad, seen
+
+    def steps(self, ids: np.ndarray, at: np.ndarray, squares: dict[str, np.ndarray], rate: float) -> None:
+        """One pass of Adagrad over these places, STEP at a time."""
+        for k in range(0, len(at), STEP):
+            _, grad, seen = self.gradient(ids, at[k : k + STEP])
+            for name, g in grad.items():
+                g = g / np.float32(len(at[k : k + STEP]))
+                where = seen if name == "e" else slice(None)
+                squares[name][where] += g * g
+                self.p[name][where] -= rate * g / (np.sqrt(squares[name][where]) + 1e-8)
+
+
+def _picked(z: np.ndarray, which: np.ndarray, slope: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Log-softmax of the rows of z at one column each; and, where asked for, its negative gradient in place of z."""
+    rows = np.arange(len(z))
+    z -= z.max(axis=1, keepdims=True)
+    logs = z[rows, which].astype(np.float64)
+    np.exp(z, out=z)
+    total = z.sum(axis=1)
+    if slope:
+        z /= total[:, None]
+        z[rows, which] -= 1
+    return logs - np.log(total), z
 
 
 @dataclass
 class Model:
     words: list[str]
-    size: int
+    network: Network
     rest: int
-    log_p: np.ndarray  # [left, word, right]
-    counts: DataFrame | None = None  # word, n: every word of the corpus
-    head: dict[str, float] | None = None  # log(n + 1) of the most frequent words of shared classes, in units of 1 / ONE
-    sizes: np.ndarray | None = None  # log of the smoothed number of words by class
+    counts: DataFrame  # word, n: every word of the corpus
+    head: dict[str, int]  # counts of the most frequent words, negative for those with a class of their own
+    sizes: np.ndarray  # log of the smoothed number of words by shared class
+
+    def classes(self) -> Classes:
+        return Classes(self.words, self.network.groups * self.network.per, self.rest)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -98,103 +210,79 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size: int = SIZE, rest: int = REST, counted: DataFrame | None = None) -> list[str]:
-    """The most frequent lower-case words of all documents."""
-    counted = word_counts(docs) if counted is None else counted
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(size - rest - 1).collect()]
-
-
-def class_sizes(counted: DataFrame, words: list[str], size: int = SIZE, rest: int = REST) -> np.ndarray:
-    """Log of tokens + words + 1 of each shared class, whose words share it by their counts plus one; 0 for the vocabulary."""
+def class_counts(counted: DataFrame, words: list[str], size: int, rest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each class; and the log of tokens + words + 1 of each shared class, whose words share it by their counts plus one, 0 for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, total = Classes(words, size, rest), np.zeros(size, np.int64)
+        classes, total = Classes(words, size, rest), np.zeros((2, size), np.int64)
         for b in batches:
             of = np.array([classes[w] for w in b.column(0).to_pylist()], np.int64)
-            np.add.at(total, of, b.column(1).to_numpy() + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["class", "n"])
+            np.add.at(total[0], of, b.column(1).to_numpy())
+            np.add.at(total[1], of, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), *map(pa.array, total)], ["class", "n", "words"])
 
-    out = np.zeros(size)
-    for r in counted.mapInArrow(run, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
-        if r["class"] >= size - rest:
-            out[r["class"]] = np.log(r.n + 1)
-    return out
+    rows = counted.mapInArrow(run, "class int, n long, words long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()
+    of, tokens, sizes = rows.column(0).to_numpy(), np.zeros(size), np.zeros(size)
+    tokens[of] = rows.column(1).to_numpy()
+    sizes[of] = np.log(rows.column(1).to_numpy() + rows.column(2).to_numpy() + 1)
+    sizes[: size - rest] = 0
+    return tokens, sizes
 
 
-def neighbour_counts(docs: DataFrame, words: list[str], size: int = SIZE, rest: int = REST) -> np.ndarray:
-    """Counts of (left, word, right) over all documents."""
+def trained(docs: DataFrame, network: Network, words: list[str], rest: int, round_: int, rate: float) -> Network:
+    """The average of what the tasks make of the network in one pass over their texts."""
+    spark = docs.sparkSession
+    start = spark.sparkContext.broadcast(network.flat())  # of fixed size
+    groups, per, width = network.groups, network.per, network.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, total = Classes(words, size, rest), np.zeros(size**3, np.int64)
+        mine = Network(groups, per, width).of_flat(start.value.copy())
+        classes, squares, masked = Classes(words, groups * per, rest), {k: np.full_like(x, 1e-4) for k, x in mine.p.items()}, 0
+        for b in slices(batches, 0, sk.CHUNK):
+            ids, at = classes.of([t.lower().split() for t in texts_of(b.column(0))])
+            at = at[np.random.default_rng([round_, len(at)]).random(len(at)) < 1 / MASKED]
+            mine.steps(ids, at, squares, rate)
+            masked += len(at)
+        if masked:
+            flat = mine.flat()
+            cuts = range(0, len(flat), PART)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts), dtype=np.int32)), pa.array(np.full(len(cuts), masked, np.int64)), pa.array([flat[k : k + PART].tobytes() for k in cuts], pa.binary())], ["part", "masked", "numbers"])
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, list] = {}
         for b in batches:
-            flat, _ = classes.of(texts_of(b.column(0)))
-            cell = (flat[:-2] * size + flat[1:-1]) * size + flat[2:]
-            total += np.bincount(cell[flat[1:-1] != BOUND], minlength=size**3)
-        found = np.flatnonzero(total)
-        for k in range(0, len(found), 100_000):
-            part = found[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(size**3)
-    counts[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return counts.reshape(size, size, size)
-
-
-def train(counts: np.ndarray, width: int = 24, hidden: int = 64, steps: int = 150, rate: float = 0.02, seed: int = 0) -> np.ndarray:
-    """log_p[left, word, right] of the network fitted to the counts."""
-    v = counts.shape[0]
-    target = counts.transpose(0, 2, 1).reshape(v * v, v).astype(np.float32)  # rows: left, right
-    total = max(1.0, float(target.sum()))
-    seen = np.flatnonzero(target.sum(1))
-    left, right = np.divmod(np.arange(v * v), v)
-    r = np.random.default_rng(seed)
-    init = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-    p = {"l": init(v, width), "r": init(v, width), "a": init(width, hidden), "b": init(width, hidden), "h": np.zeros(hidden, np.float32), "w": init(hidden, v), "o": np.log((target.sum(0) + 1) / (total + v)).astype(np.float32)}
-    m = {k: np.zeros_like(x) for k, x in p.items()}
-    s = {k: np.zeros_like(x) for k, x in p.items()}
-
-    def forward(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.tanh((p["l"] @ p["a"])[left[rows]] + (p["r"] @ p["b"])[right[rows]] + p["h"])
-        z = x @ p["w"] + p["o"]
-        z -= z.max(1, keepdims=True)
-        return x, z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    weights = target[seen] / np.float32(total)
-    mass = weights.sum(1, keepdims=True)
-    for t in range(1, steps + 1 if len(seen) else 1):
-        x, logs = forward(seen)
-        dz = np.exp(logs) * mass - weights
-        dx = (dz @ p["w"].T) * (1 - x * x)
-        per_left, per_right = np.zeros((v, dx.shape[1]), np.float32), np.zeros((v, dx.shape[1]), np.float32)
-        np.add.at(per_left, left[seen], dx)
-        np.add.at(per_right, right[seen], dx)
-        grad = {"w": x.T @ dz, "o": dz.sum(0), "h": dx.sum(0), "a": p["l"].T @ per_left, "b": p["r"].T @ per_right, "l": per_left @ p["a"].T, "r": per_right @ p["b"].T}
-        for k, g in grad.items():
-            m[k] = 0.9 * m[k] + 0.1 * g
-            s[k] = 0.99 * s[k] + 0.01 * g * g
-            p[k] = (p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-9)).astype(np.float32)
-    return np.ascontiguousarray(forward(np.arange(v * v))[1].reshape(v, v, v).transpose(0, 2, 1)).astype(np.float32)
-
-
-def fit(docs: DataFrame, size: int = SIZE, rest: int = REST, head: int = HEAD, **options) -> Model:
-    counted = shared_checkpoint(word_counts(docs))
-    words = vocabulary(docs, size, rest, counted)
+            for part, masked, numbers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = totals.setdefault(part, [0, 0.0])
+                found[0] += masked
+                found[1] = found[1] + masked * np.frombuffer(numbers, np.float32).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([(x / n).astype(np.float32).tobytes() for n, x in totals.values()], pa.binary())], ["part", "numbers"])
+
+    parts = docs.select("text").mapInArrow(run, "part int, masked long, numbers binary")
+    found = parts.repartition(partitions(spark), "part").mapInArrow(mean, "part int, numbers binary").collect()
+    if not found:
+        return network
+    return Network(groups, per, width).of_flat(np.concatenate([np.frombuffer(r.numbers, np.float32) for r in sorted(found, key=lambda r: r.part)]))
+
+
+def fit(docs: DataFrame, groups: int = GROUPS, per: int = PER, rest: int = REST, head: int = HEAD, rounds: int = ROUNDS, rate: float = RATE) -> Model:
+    """The model of all documents."""
+    counted, listed = shared_checkpoint(word_counts(docs)), groups * per - rest - 1
     # chosen on an executor: a plain collect() sends that many words of each partition to the driver
-    most = shared_checkpoint(counted.orderBy(F.desc("n"), "word").limit(head + len(words)))
-    table = {r.word: round(math.log(r.n + 1) * ONE) for r in most.collect()}
-    for w in words:
-        table.pop(w, None)
-    log_p = train(neighbour_counts(docs, words, size, rest), **options)
-    return Model(words, size, rest, log_p, counted, table, class_sizes(counted, words, size, rest))
+    most = shared_checkpoint(counted.orderBy(F.desc("n"), "word").limit(listed + head))
+    table = {r.word: r.n for r in sorted(most.collect(), key=lambda r: (-r.n, r.word))}
+    words = list(table)[:listed]
+    tokens, sizes = class_counts(counted, words, groups * per, rest)
+    network = Network(groups, per).biased(tokens)
+    for k in range(rounds):
+        network = trained(docs, network, words, rest, k, rate / (k + 1))
+    return Model(words, network, rest, counted, table | {w: -table[w] for w in words}, sizes)
 
 
 def _tail(docs: DataFrame, model: Model, head) -> DataFrame:
-    """text_hash and the sum of log(n + 1) over the text's words outside the vocabulary and the head, in units of 1 / ONE."""
-    words = model.words
+    """text_hash and, over the text's words outside the head, the sum of log(n + 1) in units of 1 / ONE and the number of known ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {*words, *head.value}
+        listed = head.value
         for b in batches:
             hashes, texts = b.column(0).to_numpy(), texts_of(b.column(1))
             rows, found, times = [], [], []
@@ -205,7 +293,7 @@ def _tail(docs: DataFrame, model: Model, head) -> DataFrame:
                 return out
 
             for h, t in zip(hashes, texts, strict=True):
-                c = Counter(w for w in t.lower().split() if w not in known)
+                c = Counter(w for w in t.lower().split() if w not in listed)
                 rows += [h] * len(c)
                 found += c.keys()
                 times += c.values()
@@ -217,42 +305,37 @@ def _tail(docs: DataFrame, model: Model, head) -> DataFrame:
     met = docs.select(text_hash, "text").mapInArrow(run, "text_hash long, word string, times int")
     met = met.select("text_hash", F.xxhash64("word").alias("w"), "times")
     # words by 64-bit hashes; never broadcast, as the words grow with the corpus
-    logs = model.counts.select(F.xxhash64("word").alias("w"), F.round(F.log(F.col("n") + 1) * ONE).cast("long").alias("log_n"))
-    summed = met.join(logs.hint("shuffle_merge"), "w").groupBy("text_hash").agg(F.sum(F.col("times") * F.col("log_n")).alias("sum"))
+    logs = model.counts.select(F.xxhash64("word").alias("w"), F.round(F.log(F.col("n") + 1) * ONE).cast("long").alias("log_n"), "n")
+    joined = met.join(logs.hint("shuffle_merge"), "w").groupBy("text_hash")
+    summed = joined.agg(F.sum(F.col("times") * F.col("log_n")).alias("sum"), F.sum(F.when(F.col("n") >= KNOWN, F.col("times")).otherwise(0)).alias("known"))
     copies = docs.select(text_hash).groupBy("text_hash").agg(F.count("*").alias("copies"))
-    return summed.join(copies, "text_hash").select("text_hash", F.expr("sum div copies").alias("tail"))
+    return summed.join(copies, "text_hash").select("text_hash", F.expr("sum div copies").alias("tail"), F.expr("known div copies").alias("known"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """A row per row of docs: words, words of the vocabulary, summed and mean log-probability."""
-    table = docs.sparkSession.sparkContext.broadcast(model.log_p.reshape(-1))  # size**3 numbers
-    words, size, rest = model.words, model.size, model.rest
-    sizes = np.zeros(size) if model.sizes is None else model.sizes
-    head = docs.sparkSession.sparkContext.broadcast(model.head or {})
+    """A row per row of docs: words, known words, summed and mean log-probability."""
+    context = docs.sparkSession.sparkContext
+    network, sizes, words, rest = context.broadcast(model.network), model.sizes, model.words, model.rest  # of fixed size
+    head = context.broadcast(model.head)  # HEAD words at most, and those with a class of their own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, log_p = Classes(words, size, rest), table.value
-        for b in batches:
-            flat, n = classes.of(texts_of(b.column(2)))
-            cell = (flat[:-2] * size + flat[1:-1]) * size + flat[2:]
-            texts = texts_of(b.column(2))
-            each = np.where(flat[1:-1] == BOUND, 0.0, log_p[cell].astype(np.float64) - sizes[flat[1:-1]])
+        classes = Classes(words, len(sizes), rest)
+        for b in slices(batches, 2, sk.CHUNK):
+            texts = [t.lower().split() for t in texts_of(b.column(2))]
+            ids, at = classes.of(texts)
             get = head.value.get
-            shared = [sum([get(w, 0) for w in t.lower().split()]) for t in texts]
-            known = (flat[1:-1] > 0) & (flat[1:-1] < size - rest)
-            ends = np.cumsum(n + 1) - 1
-            starts = ends - n
-            sums = np.concatenate([[0.0], np.cumsum(each)])
-            kept = np.concatenate([[0], np.cumsum(known)])
-            stop = np.minimum(ends, len(each))
-            total = sums[stop] - sums[np.minimum(starts, len(each))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(kept[stop] - kept[np.minimum(starts, len(each))]), pa.array(total), pa.array(shared, pa.int64())], ["doc_id", "text_hash", "n_words", "n_known", "classes", "head"])
+            counts = np.array([get(w, 0) for t in texts for w in t], np.int64)
+            shares = np.round(np.log(np.maximum(counts, 0) + 1.0) * ONE).astype(np.int64)
+            each = network.value.log_probabilities(ids, at) - sizes[ids[at]]
+            n = np.array([len(t) for t in texts], np.int64)
+            ends = np.cumsum(n)
+            summed = lambda x: (lambda s: s[ends] - s[ends - n])(np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)]))  # noqa: E731, B023
+            columns = [pa.array(n), pa.array(summed((np.abs(counts) >= KNOWN).astype(np.int64))), pa.array(summed(each)), pa.array(summed(shares))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "text_hash", "n_words", "head_known", "classes", "head"])
 
     text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
-    rows = docs.select(F.col("doc_id").cast("long"), text_hash, "text").mapInArrow(run, "doc_id long, text_hash long, n_words long, n_known long, classes double, head long")
-    tail = F.lit(0)
-    if model.counts is not None:
-        rows, tail = rows.join(_tail(docs, model, head), "text_hash", "left"), F.coalesce("tail", F.lit(0))
-    rows = rows.withColumn("log_likelihood", F.col("classes") + (F.col("head") + tail) / F.lit(float(ONE)))
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash, "text").mapInArrow(run, "doc_id long, text_hash long, n_words long, head_known long, classes double, head long")
+    rows = rows.join(_tail(docs, model, head), "text_hash", "left")
+    rows = rows.withColumn("log_likelihood", F.col("classes") + (F.col("head") + F.coalesce("tail", F.lit(0))) / F.lit(float(ONE)))
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
-    return rows.select("doc_id", "n_words", "n_known", "log_likelihood", mean.alias("mean_log_likelihood"))
+    return rows.select("doc_id", "n_words", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"), "log_likelihood", mean.alias("mean_log_likelihood"))
