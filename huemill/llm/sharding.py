@@ -17,6 +17,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from huemill.llm.common import fresh
+
 TABLE_SIZE = 65_537
 
 
@@ -58,16 +60,18 @@ def assign_shards(df: DataFrame, shards: list[str], key: Column, size: int = TAB
     """df with the slot and shard of each row; columns of these names are replaced."""
     spark = df.sparkSession
     packed = ",".join(map(str, fill_table(shards, size)))
-    table = spark.range(1).select(F.posexplode(F.split(F.lit(packed), ",")).alias("_slot", "_k"))
+    kept = df.drop(*(c for c in df.columns if c.lower() in (slot_col.lower(), shard_col.lower())))
+    at, slot, shard = (fresh(df, c) for c in ("at", "table_slot", "table_shard"))
+    table = spark.range(1).select(F.posexplode(F.split(F.lit(packed), ",")).alias(slot, "k"))
     names = F.split(F.lit("\n".join(shards)), "\n")
-    table = table.select("_slot", F.get(names, F.col("_k").cast("int")).alias("_shard"))
-    kept = df.drop(slot_col, shard_col)
-    placed = kept.withColumn("_at", slot_of(key, size)).join(F.broadcast(table), F.col("_at") == F.col("_slot"))
-    return placed.withColumns({slot_col: F.col("_at"), shard_col: F.col("_shard")}).select(*[kept[c] for c in kept.columns], slot_col, shard_col)
+    table = table.select(slot, F.get(names, F.col("k").cast("int")).alias(shard))
+    placed = kept.withColumn(at, slot_of(key, size)).join(F.broadcast(table), F.col(at) == F.col(slot))
+    return placed.select(*kept.columns, F.col(at).alias(slot_col), F.col(shard).alias(shard_col))
 
 
 def write_shards(df: DataFrame, path: str, shards: list[str], key: Column, files: int = 4, size: int = TABLE_SIZE) -> None:
     """Writes each shard to its own folder, every shard spread over a few files so that no task holds a whole one."""
     placed = assign_shards(df, shards, key, size)
-    salted = placed.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(files)))
-    salted.repartition("shard", "_salt").drop("_salt").write.partitionBy("shard").mode("overwrite").parquet(path)
+    salt = fresh(placed, "salt")
+    salted = placed.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(files)))
+    salted.repartition("shard", salt).drop(salt).write.partitionBy("shard").mode("overwrite").parquet(path)

@@ -61,3 +61,11 @@ def test_written_shards(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.doc_id for r in back.collect()) == list(range(500))
     assert {r.shard for r in back.collect()} == {"a", "b", "c"}
+
+
+def test_columns_of_inner_names(spark):
+    names = ["_at", "_slot", "_shard", "at", "table_slot", "table_shard", "k"]
+    df = spark.createDataFrame([(1, *range(7)), (None, *range(7))], f"doc_id long, {', '.join(f'{c} int' for c in names)}")
+    out = sh.assign_shards(df, ["a", "b"], F.col("doc_id"), 7)
+    assert out.columns == [*df.columns, "slot", "shard"]
+    assert sorted(map(tuple, out.select(df.columns).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
