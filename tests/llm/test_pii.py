@@ -3,6 +3,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from huemill.llm import pii
 
@@ -37,7 +38,7 @@ def rows(df, **kw):
 
 def want(d, t):
     b = brute(t)
-    return (d, *(sum(k == x for k, *_ in b) for x in pii.KINDS), hashlib.sha256(name(b).encode()).hexdigest(), name(b))
+    return (d, *(sum(k == x for k, *_ in b) for x in pii.KINDS), hashlib.sha256(name(b).encode()).hexdigest(), name(b), 0)
 
 
 TEXTS = [
@@ -94,3 +95,41 @@ def test_contexts_reveal_unseen_identifiers(spark):
     assert got[3] == "phone:15:32"
     text = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert text[20] == text[3] == "please call me <PHONE> now" and text[21] == docs[9][1]
+
+
+def test_patterns_come_from_the_text_before(spark):
+    """Another number or identifier among the two words before a span belongs to its pattern, for seeds and candidates alike."""
+    docs = [(i, f"order 12 phone +1 (555) 000-{1000 + i} now") for i in range(6)]
+    docs += [(10, "order 34 phone 555-000-7777 now"), (11, "a@b.cd 7 phone 555-000-7778 and"), (12, "in 5 phone 555-000-7779 and")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    seen = {r.text: r.pattern for r in df.select(F.explode(pii.candidates(df["text"]))).select("col.*").collect()}
+    assert seen["555-000-7777"] == seen["555-000-7778"].replace("0 phone", "00 phone") == "00 phone"
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(df)).collect()}
+    assert (got[10], got[11], got[12]) == ("phone:15:27", "email:0:6", "")
+
+
+def test_secrets(spark):
+    """Long hexadecimal strings make their context one of secrets, which finds others; elsewhere they are no spans."""
+    h = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    docs = [(i, f'some token = "{h(i)}"### more') for i in range(8)] + [(20, 'a token = "Zk3_9aLq0-Xb77TtY1c" end'), (21, f"commit {h(30)} done"), (22, 'a token = "12" end')]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(df)).collect()}
+    assert (got[0], got[20], got[21], got[22]) == ("secret:14:54", "secret:11:30", "", "")
+    assert {r.text for r in pii.redact(df).where("doc_id = 20").collect()} == {'a token = "<SECRET>" end'}
+
+
+def test_precision_on_given_documents(spark):
+    """All spans that contexts add over a whole table are the quoted tokens, and every quoted token is found."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {(r.doc_id, s) for r in pii.digest(pii.find(df)).collect() for s in r.spans.split(",") if s.startswith("secret")}
+    want = {(r.doc_id, f"secret:{m.start(1)}:{m.end(1)}") for r in df.collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "")}
+    assert got == want and want
+
+
+def test_many_matches_and_columns_of_inner_names(spark):
+    names = ["text_hash", "more", "_id", "_hash", "of", "hash", "tokens", "email"]
+    text = "7a " * 3000 + "x@y.z"
+    df = spark.createDataFrame([(1, text, *map(str, range(8)))], f"doc_id long, text string, {', '.join(f'{c} string' for c in names)}")
+    assert tuple(pii.redact(df).first()) == (1, "7a " * 3000 + "<EMAIL>", *map(str, range(8)))
+    places = df.select(pii.matches(df["text"], "[0-9]", lambda s: s == "7").alias("m")).first().m
+    assert [m.start for m in places] == list(range(0, 9000, 3))
