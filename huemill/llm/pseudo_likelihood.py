@@ -40,8 +40,11 @@ from huemill.llm.common import partitions, shared_checkpoint, slices, texts_of
 GROUPS, PER, REST = 64, 128, 1024
 #: Neighbours on each side, width of the network.
 WINDOW, WIDTH = 3, 32
+PLACES = (*range(-WINDOW, 0), *range(1, WINDOW + 1))
+#: Rows of one group multiplied at a time.
+ROWS = 1024
 #: One position in so many is masked in a round of training; rounds, masked words of one step, learning rate.
-MASKED, ROUNDS, STEP, RATE = 8, 2, 2048, 0.15
+MASKED, ROUNDS, STEP, RATE = 6, 1, 4096, 0.2
 #: Class of the places before and after a text.
 BOUND = 0
 #: Words counted by a task before it passes them on; words whose class a task remembers.
@@ -108,47 +111,66 @@ class Network:
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         total = np.tile(self.p["h"], (len(at), 1))
-        for k, d in enumerate((*range(-WINDOW, 0), *range(1, WINDOW + 1))):
+        for k, d in enumerate(PLACES):
             total += self.p["s"][k] * self.p["e"][ids[at + d]]
         return np.tanh(total)
 
-    def _by_group(self, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def _between(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """hidden() of places in order that are close together: by slices of all places between the first and the last."""
+        first, n = at[0], at[-1] + 1 - at[0]
+        e = self.p["e"][ids[first - WINDOW : first + n + WINDOW]]
+        total = np.tile(self.p["h"], (n, 1))
+        part = np.empty_like(total)
+        for k, d in enumerate(PLACES):
+            total += np.multiply(self.p["s"][k], e[WINDOW + d : WINDOW + d + n], out=part)
+        return np.tanh(total[at - first])
+
+    def _by_group(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows with a class of each group, ROWS at a time."""
+        group = ids // self.per
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(self.groups + 1))
         for g in range(self.groups):
-            if cuts[g] < cuts[g + 1]:
-                yield g, order[cuts[g] : cuts[g + 1]]
+            for k in range(cuts[g], cuts[g + 1], ROWS):
+                yield g, order[k : min(k + ROWS, cuts[g + 1])]
+
+    def _output(self, g: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and biases of the groups, and below them of the classes of one group."""
+        return np.concatenate([self.p["g"], self.p["o"][g]]), np.concatenate([self.p["gb"], self.p["ob"][g]])
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log-probability of the class at each of these places given both sides."""
+        """Log-probability of the class at each of these places, in order, given both sides."""
         out = np.empty(len(at))
-        for k in range(0, len(at), 16_384):
-            here = at[k : k + 16_384]
-            x, (group, member) = self.hidden(ids, here), np.divmod(ids[here], self.per)
-            out[k : k + len(here)] = _picked(x @ self.p["g"].T + self.p["gb"], group)[0]
-            for g, rows in self._by_group(group):
-                out[k + rows] += _picked(x[rows] @ self.p["o"][g].T + self.p["ob"][g], member[rows])[0]
+        for k in range(0, len(at), 1 << 16):
+            here = at[k : k + (1 << 16)]
+            x, classes = np.concatenate([self._between(ids, here[j : j + 4096]) for j in range(0, len(here), 4096)]), ids[here]
+            for g, rows in self._by_group(classes):
+                w, bias = self._output(g)
+                z = w @ x[rows].T + bias[:, None]
+                out[k + rows] = _picked(z[: self.groups], g) + _picked(z[self.groups :], classes[rows] % self.per)
         return out
 
     def gradient(self, ids: np.ndarray, at: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Summed loss at these places and its gradients; that of the embeddings only for the classes that the third result lists."""
-        x, (group, member) = self.hidden(ids, at), np.divmod(ids[at], self.per)
-        logs, z = _picked(x @ self.p["g"].T + self.p["gb"], group, True)
-        grad = {"g": z.T @ x, "gb": z.sum(axis=0), "o": np.zeros_like(self.p["o"]), "ob": np.zeros_like(self.p["ob"])}
-        dx, loss = z @ self.p["g"], -logs.sum()
-        for g, rows in self._by_group(group):
-            logs, z = _picked(x[rows] @ self.p["o"][g].T + self.p["ob"][g], member[rows], True)
-            loss -= logs.sum()
-            dx[rows] += z @ self.p["o"][g]
-            grad["o"][g], grad["ob"][g] = z.T @ x[rows], z.sum(axis=0)
+        x, classes = self.hidden(ids, at), ids[at]
+        grad, dx, loss = {k: np.zeros_like(self.p[k]) for k in ("g", "gb", "o", "ob")}, np.empty_like(x), 0.0
+        for g, rows in self._by_group(classes):
+            w, bias = self._output(g)
+            mine = x[rows]
+            z = w @ mine.T + bias[:, None]
+            loss -= (_picked(z[: self.groups], g, True) + _picked(z[self.groups :], classes[rows] % self.per, True)).sum()
+            dx[rows], dw, db = z.T @ w, z @ mine, z.sum(axis=1)
+            grad["g"] += dw[: self.groups]
+            grad["gb"] += db[: self.groups]
+            grad["o"][g] += dw[self.groups :]
+            grad["ob"][g] += db[self.groups :]
         dx *= 1 - x * x
-        near = np.stack([ids[at + d] for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1))])
+        near = np.stack([ids[at + d] for d in PLACES])
         grad["h"] = dx.sum(axis=0)
         grad["s"] = np.stack([(dx * self.p["e"][n]).sum(axis=0) for n in near])
-        seen, of = np.unique(near, return_inverse=True)
-        order = np.argsort(of.reshape(-1), kind="stable")
+        order = np.argsort(near.reshape(-1), kind="stable")
         each = (self.p["s"][:, None, :] * dx).reshape(-1, self.width)[order]
-        heads = np.searchsorted(of.reshape(-1)[order], np.arange(len(seen)))
+        seen, heads = np.unique(near.reshape(-1)[order], return_index=True)
         grad["e"] = np.add.reduceat(each, heads, axis=0) if len(seen) else each
         return float(loss), grad, seen
 
@@ -163,17 +185,17 @@ class Network:
                 self.p[name][where] -= rate * g / (np.sqrt(squares[name][where]) + 1e-8)
 
 
-def _picked(z: np.ndarray, which: np.ndarray, slope: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Log-softmax of the rows of z at one column each; and, where asked for, its negative gradient in place of z."""
-    rows = np.arange(len(z))
-    z -= z.max(axis=1, keepdims=True)
-    logs = z[rows, which].astype(np.float64)
+def _picked(z: np.ndarray, which: np.ndarray | int, slope: bool = False) -> np.ndarray:
+    """Log-softmax of the columns of z at one row each; where asked for, z becomes its negative gradient."""
+    columns = np.arange(z.shape[1])
+    z -= z.max(axis=0)
+    logs = z[which, columns].astype(np.float64)
     np.exp(z, out=z)
-    total = z.sum(axis=1)
+    total = z.sum(axis=0)
     if slope:
-        z /= total[:, None]
-        z[rows, which] -= 1
-    return logs - np.log(total), z
+        z /= total
+        z[which, columns] -= 1
+    return logs - np.log(total)
 
 
 @dataclass
