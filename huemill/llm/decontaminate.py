@@ -6,13 +6,18 @@ automaton holds each window as its words joined and enclosed by single spaces, o
 matches respect word bounds; hits are mapped back to words and, on request, to places in the
 original text.
 
-The windows reach every worker only in parts of max_bytes at most: a larger benchmark is scanned in
-several passes, whose hits are merged by document. Null and empty texts have no words. Repeated
-rows each get a row; repeated items count once. Other columns of the inputs don't matter.
+Whatever its size, a benchmark makes one automaton of the windows that occur. One of more than
+max_bytes is thinned first: the hashes of all its windows go into a bitmap of fixed size, the texts'
+runs of words that hit it are joined to the windows, and those without a partner can match nowhere.
+Should what occurs still be larger (a third of the benchmark in the texts, say), it is scanned in parts
+of max_bytes, whose hits are merged by document. A worker keeps its automaton between tasks.
+Null and empty texts have no words. Repeated rows each get a row; repeated items count once. Other
+columns of the inputs don't matter.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,10 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huemill.llm.common import id_array, ids_of, texts_of
+from huemill.llm import superkmers as sk
+from huemill.llm.common import bytes_of, id_array, ids_of, partitions, slices, texts_of
+from huemill.llm.passage_dedup import word_ranges
 
 #: Bytes of windows in one automaton.
 MAX_BYTES = 16 << 20
+#: Bits, as a power of two, that tell which windows' hashes a large benchmark has; and those of one piece of them.
+BITS, PIECE = 27, 15
+_built: dict[str, object] = {}
 #: Every separator becomes a space, A-Z lower case; other bytes stay.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 
@@ -50,6 +60,14 @@ def automaton(windows: dict[bytes, list[str]]):
     return found
 
 
+def kept_automaton(name: str, shared):
+    """The automaton of a broadcast set of windows, built once in a worker."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = automaton(shared.value)
+    return _built[name]
+
+
 def hits_of(text: str, found) -> tuple[int, list[int], list[int], list[str]]:
     """Words of the text, the maximal runs of hit words (end exclusive), the items, as strings in order."""
     ws = words_of(text)
@@ -78,22 +96,80 @@ def original_spans(text: str, starts: list[int], ends: list[int]) -> list[tuple[
     return [(int(points[edges[2 * a]]), int(points[edges[2 * b - 1]])) for a, b in zip(starts, ends, strict=True)]
 
 
-def _parts(benchmark: DataFrame, window: int, max_bytes: int) -> Iterator[dict[bytes, list[str]]]:
-    """The windows with the items that have them, in parts of max_bytes at most; one part at a time is on the driver."""
-    size = benchmark.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    # a window of w words repeats each word of an item w times at most
-    n = max(1, -(-size * window * 2 // max_bytes))
+def run_hashes(data: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all runs of `size` words within one text."""
+    data = np.frombuffer(data.tobytes().translate(FOLD), np.uint8)
+    first, last, at = word_ranges(data, bounds)
+    h = sk.range_hashes(data, first, last)
+    n = max(0, len(h) - size + 1)
+    s = np.full(n, size, np.uint64)
+    for k in range(size):
+        s = s * sk.C1 + h[k : k + n]
+    start = np.arange(n)
+    return sk.mixed(s)[start + size <= at[np.searchsorted(at, start, side="right")]] if n else s
+
+
+def _pairs(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item, w, k, h): the windows of each item, once each, their words and the hash of these."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = [(i, w) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in windows_of(t, window)]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.string()), pa.array([w for _, w in pairs], pa.binary())], ["item", "w"])
+            words = [w.count(b" ") - 1 for _, w in pairs]
+            hashes = np.zeros(len(pairs), np.uint64)
+            for k in set(words):
+                of = [j for j, n in enumerate(words) if n == k]
+                blob = b"".join(pairs[j][1] for j in of)
+                hashes[of] = run_hashes(np.frombuffer(blob, np.uint8), np.cumsum([0, *(len(pairs[j][1]) for j in of)]), k)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.string()), pa.array([w for _, w in pairs], pa.binary()), pa.array(words, pa.int32()), pa.array(hashes.view(np.int64))], ["item", "w", "k", "h"])
 
-    pairs = items.mapInArrow(split, "item string, w binary")
+    return items.mapInArrow(split, "item string, w binary, k int, h long").distinct()
+
+
+def _occurring(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The windows whose hash some text has."""
+    spark = docs.sparkSession
+    place = F.shiftrightunsigned("h", 64 - BITS)
+    pieces = pairs.select(F.shiftrightunsigned("h", 64 - BITS + PIECE).cast("int").alias("piece"), F.pmod(place, F.lit(1 << PIECE)).cast("int").alias("bit")).distinct()
+
+    def piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[int, np.ndarray] = {}
+        for b in batches:
+            numbers, bits = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for k in np.unique(numbers).tolist():
+                maps.setdefault(k, np.zeros(1 << PIECE, bool))[bits[numbers == k]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([np.packbits(m).tobytes() for m in maps.values()], pa.binary())], ["piece", "bits"])
+
+    bitmap = np.zeros((1 << (BITS - PIECE), 1 << (PIECE - 3)), np.uint8)
+    for r in pieces.repartition(partitions(spark), "piece").mapInArrow(piece, "piece int, bits binary").toLocalIterator():
+        bitmap[r.piece] = np.frombuffer(r.bits, np.uint8)
+    sizes = [r.k for r in pairs.select("k").distinct().collect()]  # at most the words of a window
+    shared = spark.sparkContext.broadcast(bitmap.reshape(-1))  # 2**BITS bits
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 0, sk.CHUNK):
+            data, bounds = bytes_of(b.column(0))
+            h = np.unique(np.concatenate([run_hashes(data, bounds, k) for k in sizes])) if sizes else np.zeros(0, np.uint64)
+            at = h >> np.uint64(64 - BITS)
+            hit = shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64))], ["h"])
+
+    return pairs.join(docs.select("text").mapInArrow(met, "h long").distinct(), "h", "left_semi")
+
+
+def _parts(benchmark: DataFrame, docs: DataFrame, window: int, max_bytes: int) -> Iterator[dict[bytes, list[str]]]:
+    """The windows with the items that have them, of a large benchmark those that occur; in parts of max_bytes at most, one at a time on the driver."""
+    size = lambda df: df.select(F.sum(F.octet_length("w") + F.octet_length("item"))).first()[0] or 0
+    pairs = _pairs(benchmark, window)
+    total = size(pairs)
+    if total > max_bytes:
+        pairs = _occurring(pairs, docs).persist()
+        total = size(pairs)
+    n = max(1, -(-total // max_bytes))
     for k in range(n):
         part: dict[bytes, list[str]] = {}
-        for r in pairs.where(F.pmod(F.xxhash64("w"), F.lit(n)) == k).distinct().collect():
+        for r in pairs.where(F.pmod(F.xxhash64("w"), F.lit(n)) == k).select("item", "w").collect():
             part.setdefault(bytes(r.w), []).append(r.item)
         yield part
 
@@ -102,10 +178,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes
     """One row per row of docs: id, hash of the text, words, runs of hit words, ids of the items met."""
 
     def scan(part: dict[bytes, list[str]]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(part)  # max_bytes at most
+        shared, name = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex  # max_bytes at most
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = automaton(shared.value)
+            found = kept_automaton(name, shared)
             for b in batches:
                 texts = texts_of(b.column(1))
                 got = [hits_of(t, found) for t in texts]
@@ -115,7 +191,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes
 
         return docs.select("doc_id", "text").mapInArrow(run, HITS)
 
-    scans = [scan(p) for p in _parts(benchmark, window, max_bytes)]
+    scans = [scan(p) for p in _parts(benchmark, docs, window, max_bytes)]
     if len(scans) == 1:
         return scans[0]
     rest = scans[1]
@@ -152,12 +228,12 @@ def digest(hits: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The rows of docs that have no hit word, with all their columns."""
-    for part in _parts(benchmark, window, max_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+    for part in _parts(benchmark, docs, window, max_bytes):
+        shared, name = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
         at = docs.columns.index("text")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
-            found = automaton(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name, at=at) -> Iterator[pa.RecordBatch]:
+            found = kept_automaton(name, shared)
             for b in batches:
                 keep = [not hits_of(t, found)[1] for t in texts_of(b.column(at))]
                 yield b.filter(pa.array(keep, pa.bool_()))
