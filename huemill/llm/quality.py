@@ -38,6 +38,8 @@ TARGET_ROWS = 20_000
 TOXIC_RATIO, TOXIC_SURE = 3.0, 25.0
 SPACES = r"[\x20\x09-\x0D]+"
 RUNS = r"[\p{L}\p{N}_]++|[^\s\p{L}\p{N}_]++"
+#: Bits for the place of a window in its text.
+PLACE_BITS = 26
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -56,20 +58,25 @@ def _windows(ws: Column) -> Column:
 
 
 def repeated_words(h: Column) -> Column:
-    """Words in 3-word windows, given by their hashes, that occur twice or more."""
+    """Words in 3-word windows, given by their hashes, that occur twice or more.
 
-    def covered(found: Column) -> Column:
-        at = F.sort_array(F.transform(found, lambda e: e["i"]))
-        start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
-        step = lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"))
-        return F.aggregate(at, start, step, lambda a: a["n"])
+    The low bits of each hash and its place are sorted as one number. Equal hashes come side by side then, or with another
+    between whose low bits are the same; the whole hashes decide.
+    """
+    low = (1 << PLACE_BITS) - 1
+    place = lambda e: e.bitwiseAND(F.lit(low)).cast("int")
+
+    def covered(at: Column) -> Column:
+        each = F.transform(at, lambda x, k: F.least(F.lit(3), x - F.coalesce(F.get(at, k - 1), F.lit(-3))))
+        return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def twins(s: Column) -> Column:
-        same = lambda e, k: F.coalesce(F.get(s, k)["x"] == e["x"], F.lit(False))
-        return F.filter(s, lambda e, k: same(e, k - 1) | same(e, k + 1))
+        same = lambda e, k: F.coalesce(F.get(h, place(F.get(s, k))) == F.get(h, place(e)), F.lit(False))
+        found = F.filter(s, lambda e, k: same(e, k - 1) | same(e, k + 1) | same(e, k - 2) | same(e, k + 2))
+        return F.sort_array(F.transform(found, place))
 
-    numbered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    return F.when(h.isNull() | (F.size(F.array_distinct(h)) == F.size(h)), F.lit(0).cast("long")).otherwise(_let(_let(numbered, twins), covered))
+    packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, PLACE_BITS).bitwiseOR(i.cast("long"))))
+    return F.when(h.isNull() | (F.size(F.array_distinct(h)) == F.size(h)), F.lit(0).cast("long")).otherwise(_let(_let(packed, twins), covered))
 
 
 def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -95,7 +102,7 @@ def runs(text: Column) -> Column:
 
 def _grams(ws: Column) -> Column:
     """64-bit hashes of the unigrams and bigrams of an array of runs, in order."""
-    two = F.transform(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: F.xxhash64(F.get(ws, i - 1), F.get(ws, i)))
+    two = F.zip_with(F.slice(ws, F.lit(1), F.size(ws) - 1), F.slice(ws, F.lit(2), F.size(ws) - 1), lambda a, b: F.xxhash64(a, b))
     return F.concat(F.transform(ws, lambda w: F.xxhash64(w)), F.when(F.size(ws) > 1, two).otherwise(F.array().cast("array<long>")))
 
 
@@ -163,13 +170,19 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n: i
     table = ratios(docs, labels, n, target_rows, text_col, id_col)
     marks = toxic_words(docs, labels, target_rows, text_col, id_col)
     packed = F.split(F.lit(",".join(f"{x!r}" for x in table)), ",").cast("array<double>")  # folded to one literal
-    summed = lambda gs: F.aggregate(gs, F.lit(0.0), lambda a, g: a + F.get(packed, F.pmod(g, F.lit(n)).cast("int")))
+    ratio = lambda gram: F.get(packed, F.pmod(gram, F.lit(n)).cast("int"))
+
+    def step(a: Column, w: Column) -> Column:
+        pair = F.when(a["before"].isNull(), F.lit(0.0)).otherwise(ratio(F.xxhash64(a["before"], w)))
+        return F.struct(w.alias("before"), (a["sum"] + ratio(F.xxhash64(w)) + pair).alias("sum"))
+
+    start = F.struct(F.lit(None).cast("string").alias("before"), F.lit(0.0).alias("sum"))
+    mean = lambda ws: F.when(F.size(ws) > 0, F.aggregate(ws, start, step, lambda a: a["sum"]) / (2 * F.size(ws) - 1)).otherwise(F.lit(0.0))
     worst = lambda ws: F.exists(ws, lambda w: _word(w).isin(marks)) if marks else F.lit(False)
     out = docs.drop(*(c for c in docs.columns if c.lower() in (*COUNTS, "base_failed", "toxic", "score", "kept")))
-    names, found, grams = out.columns, fresh(out, "runs"), fresh(out, "grams")
+    names, found = out.columns, fresh(out, "runs")
     out = out.select("*", runs(F.col(text_col)).alias(found))
-    out = out.select("*", _grams(F.col(found)).alias(grams))
-    out = out.select(*names, worst(F.col(found)).alias("toxic"), F.when(F.size(grams) > 0, summed(F.col(grams)) / F.size(grams)).otherwise(F.lit(0.0)).alias("score"))
+    out = out.select(*names, worst(F.col(found)).alias("toxic"), mean(F.col(found)).alias("score"))
     out = with_counts(out, text_col).select(*names, *COUNTS, "toxic", "score")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
