@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Hue families with their upper bounds in degrees (the first one also starts at 345).
@@ -26,26 +26,31 @@ def rgb_of(hex_color: Column) -> Column:
     return F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b"))
 
 
-def metrics(r: Column, g: Column, b: Column) -> Column:
-    """struct(hex, hue, sat, val, family): rounded half-even; the family goes by the unrounded hue."""
-    x, y, z = (c.cast("double") / 255 for c in (r, g, b))
-    top, low = F.greatest(x, y, z), F.least(x, y, z)
-    span = top - low
-    sat = F.when(top == low, 0.0).otherwise(span / F.when(top == 0, 1.0).otherwise(top))
-    safe = F.when(span == 0, 1.0).otherwise(span)
-    rc, gc, bc = ((top - c) / safe for c in (x, y, z))
-    turn = F.when(x == top, bc - gc).when(y == top, 2.0 + rc - bc).otherwise(4.0 + gc - rc) / 6.0
-    hue = F.when(top == low, 0.0).otherwise(turn - F.floor(turn)) * 360
-    family = F
-    for name, end in FAMILIES:
-        family = family.when(hue < end, name)
+def with_metrics(df: DataFrame, r: str = "r", g: str = "g", b: str = "b") -> DataFrame:
+    """df with hex, hue, sat, val and family: rounded half-even; the family goes by the unrounded hue.
+
+    Each step is a column of its own, so that no part is repeated in the generated code.
+    """
+    names = df.columns
+    out = df.withColumns({f"_{k}": F.col(c).cast("double") / 255 for k, c in zip("xyz", (r, g, b), strict=True)})
+    out = out.withColumns({"_top": F.greatest("_x", "_y", "_z"), "_low": F.least("_x", "_y", "_z")})
+    top, low = F.col("_top"), F.col("_low")
+    out = out.withColumns({"_sat": F.when(top == low, 0.0).otherwise((top - low) / F.when(top == 0, 1.0).otherwise(top)), "_span": F.when(top == low, 1.0).otherwise(top - low)})
+    out = out.withColumns({f"_{k}c": (top - F.col(f"_{k}")) / F.col("_span") for k in "xyz"})
+    x, y, z = (F.col(f"_{k}c") for k in "xyz")
+    out = out.withColumn("_turn", F.when(F.col("_x") == top, z - y).when(F.col("_y") == top, 2.0 + x - z).otherwise(4.0 + y - x) / 6.0)
+    out = out.withColumn("_hue", F.when(top == low, 0.0).otherwise(F.col("_turn") - F.floor("_turn")) * 360)
+    bounds = [end for _, end in FAMILIES[:-1]]
+    place = sum(((F.col("_hue") >= end).cast("int") for end in bounds[1:]), (F.col("_hue") >= bounds[0]).cast("int"))
+    family = F.get(F.array(*(F.lit(name) for name, _ in FAMILIES)), place)
     grey = F.when(top > 0.82, ACHROMATIC["light"]).when(top < 0.25, ACHROMATIC["dark"]).otherwise(ACHROMATIC["middle"])
-    return F.struct(
-        hex_of(r, g, b).alias("hex"),
-        F.rint(hue).cast("int").alias("hue"),
-        F.bround(sat, 3).alias("sat"),
-        F.bround(top, 3).alias("val"),
-        F.when(sat >= 0.12, family).otherwise(grey).alias("family"),
+    return out.select(
+        *names,
+        hex_of(F.col(r), F.col(g), F.col(b)).alias("hex"),
+        F.rint("_hue").cast("int").alias("hue"),
+        F.bround("_sat", 3).alias("sat"),
+        F.bround("_top", 3).alias("val"),
+        F.when(F.col("_sat") >= 0.12, family).otherwise(grey).alias("family"),
     )
 
 

@@ -64,6 +64,45 @@ def json_ld(kind: str, fields: dict[str, Column]) -> Column:
     return F.replace(made, F.lit("<"), F.lit("\\u003c"))
 
 
+def _typed(kind: str, **fields: Column) -> Column:
+    return F.struct(F.lit(kind).alias("@type"), *(c.alias(n) for n, c in fields.items()))
+
+
+def website(base: str, name: str, text: Column, brand: str) -> Column:
+    """Structured data of the site."""
+    return json_ld("WebSite", {"@id": F.lit(f"{base.rstrip('/')}/#website"), "name": F.lit(name), "url": F.lit(f"{base.rstrip('/')}/"), "inLanguage": F.lit("ja"), "description": text, "about": _typed("Brand", name=F.lit(brand))})
+
+
+def breadcrumb(trail: list[tuple[Column, Column]]) -> Column:
+    """Structured data of the way to a page: names and addresses."""
+    items = [_typed("ListItem", position=F.lit(k + 1), name=name, item=url) for k, (name, url) in enumerate(trail)]
+    return json_ld("BreadcrumbList", {"itemListElement": F.array(*items)})
+
+
+def product(c: dict[str, Column], brand: str, labels: dict[str, str]) -> Column:
+    """Structured data of one colour. c: key, url, name, description, family, hex, finishes, types, codes, shapes (category, size), and
+    image, which may be null; labels: what the properties key, family, hex, finishes, types and codes are called."""
+    joined = lambda items: F.when(F.size(items) > 0, F.array_join(items, "・"))
+    values = {"key": c["key"], "family": c["family"], "hex": c["hex"], "finishes": joined(finish_names(c["finishes"])), "types": joined(c["types"]), "codes": joined(c["codes"])}
+    fixed = [F.when(v.isNotNull(), _typed("PropertyValue", name=F.lit(labels[k]), value=v)) for k, v in values.items()]
+    sizes = F.transform(c["shapes"], lambda s: _typed("PropertyValue", name=s["category"], value=F.concat(F.lit("外径約"), s["size"], F.lit("mm"))))
+    return json_ld(
+        "Product",
+        {
+            "@id": F.concat(c["url"], F.lit("#product")), "name": c["name"], "url": c["url"], "image": c["image"], "description": c["description"], "color": c["family"], "material": F.lit("ガラス"),
+            "brand": _typed("Brand", name=F.lit(brand)), "sku": F.when(F.size(c["codes"]) == 1, F.get(c["codes"], 0)), "additionalProperty": F.concat(F.array_compact(F.array(*fixed)), sizes),
+        },
+    )
+
+
+def collection_page(base: str, url: Column, name: Column, text: Column, image: Column, items: Column) -> Column:
+    """Structured data of a page with an array of (name, url)."""
+    listed = F.transform(items, lambda x, i: _typed("ListItem", position=i + 1, name=x["name"], url=x["url"]))
+    main = F.struct(F.lit("ItemList").alias("@type"), F.size(items).alias("numberOfItems"), listed.alias("itemListElement"))
+    part = F.struct(F.lit(f"{base.rstrip('/')}/#website").alias("@id"))
+    return json_ld("CollectionPage", {"@id": F.concat(url, F.lit("#page")), "name": name, "url": url, "description": text, "inLanguage": F.lit("ja"), "primaryImageOfPage": _typed("ImageObject", contentUrl=image), "isPartOf": part, "mainEntity": main})
+
+
 def page_metadata(name: Column, text: Column, url: Column, image: Column) -> Column:
     return F.struct(name.alias("title"), text.alias("description"), url.alias("canonical"), F.struct(name.alias("title"), url.alias("url"), image.alias("image")).alias("card"))
 

@@ -112,35 +112,52 @@ def search(index: DataFrame, spec: SearchSpec, position: str = "k", codes: str |
     return index.where(predicate(spec, codes)).orderBy(*ordering(spec, position)).limit(spec.limit)
 
 
-def nearest_colors(queries: DataFrame, colors: DataFrame, n: int, key: str = "k", cells: int = 8) -> DataFrame:
-    """(key, near, rank) of the n nearest colours of each query, by OKLab distance (9 decimals), then key; itself excluded.
+#: About the volume of the sRGB gamut in OKLab.
+GAMUT = 0.05
 
-    A query meets the colours of its own and the adjacent cells of a grid over OKLab. It is complete
-    if the n-th is nearer than the next ring; the queries that aren't meet rings twice as wide, and
-    at last the whole space, which is small cells' worth of queries only.
+
+def nearest_colors(queries: DataFrame, colors: DataFrame, n: int, key: str = "k") -> DataFrame:
+    """(key, near, rank, distance) of the n nearest colours of each query, by OKLab distance (9 decimals), then key; itself excluded.
+
+    Rows of one colour are searched for once: of each colour the n + 1 least keys are kept. A colour meets those of its own
+    and the adjacent cells of a grid over OKLab, whose width comes from the number of different colours, so that a sphere of
+    it holds about 2n. A colour is done where its n + 1 nearest are nearer than the width; the others meet cells
+    twice as wide, until the grid has the whole space in adjacent cells (which takes colours that have no n neighbours).
     """
-    lab = lambda df: df.withColumn("lab", color.oklab(F.col("r"), F.col("g"), F.col("b")))
-    left, right = lab(queries).select(F.col(key).alias("q"), F.col("lab").alias("ql")), lab(colors).select(F.col(key).alias("near"), F.col("lab").alias("nl"))
-    found = None
-    open_queries = left
+    rgb = ["r", "g", "b"]
+    lab = lambda df: df.withColumn("lab", color.oklab(*map(F.col, rgb)))
+    least = Window.partitionBy(*rgb).orderBy("near")
+    keys = colors.select(*rgb, F.col(key).alias("near")).withColumn("i", F.row_number().over(least)).where(F.col("i") <= n + 1)
+    points = lab(keys.groupBy(*rgb).agg(F.sort_array(F.collect_list("near")).alias("keys"))).select("lab", "keys").persist()
+    open_ = lab(queries.select(*rgb).distinct()).persist()
+    width, rounds = min(2.0, (2 * n * GAMUT / (4.19 * max(1, points.count()))) ** (1 / 3)), []
     while True:
-        width = 1.0 / cells if cells > 1 else 4.0
-        cell = lambda c, x: F.floor(c[x] / width)
+        cell = lambda x, w=width: F.floor(F.col("lab")[x] / w)
         around = F.sequence(F.lit(-1), F.lit(1))
-        spread = open_queries
+        spread = open_.select(*rgb, F.col("lab").alias("ql"), *(cell(x).alias(f"own_{x}") for x in "Lab"))
         for x in "Lab":
-            spread = spread.withColumn(f"d{x}", F.explode(around)).withColumn(f"c{x}", cell(F.col("ql"), x) + F.col(f"d{x}")).drop(f"d{x}")
-        placed = right.withColumns({f"c{x}": cell(F.col("nl"), x) for x in "Lab"})
-        met = spread.join(placed, ["cL", "ca", "cb"]).where("q <> near").withColumn("distance", F.round(color.oklab_distance(F.col("ql"), F.col("nl")), 9))
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "near"))).where(F.col("rank") <= n)
-        sure = ranked.groupBy("q").agg(F.count("*").alias("m"), F.max("distance").alias("far")).where((F.col("m") == n) & (F.col("far") < width - 1e-6))
-        last = cells <= 1
-        done = ranked if last else ranked.join(sure.select("q"), "q", "left_semi")
-        found = done if found is None else found.unionByName(done)
-        if last:
-            return found.select(F.col("q").alias(key), "near", "rank", "distance")
-        open_queries = open_queries.join(sure.select("q"), "q", "left_anti")
-        cells //= 8
+            spread = spread.withColumn("step", F.explode(around)).withColumn(f"c{x}", F.col(f"own_{x}") + F.col("step"))
+        placed = points.select("lab", "keys", *(cell(x).alias(f"c{x}") for x in "Lab"))
+        met = spread.join(placed, ["cL", "ca", "cb"]).select(*rgb, "keys", F.round(color.oklab_distance(F.col("ql"), F.col("lab")), 9).alias("distance"))
+        # of each colour the nearest alone are shuffled and kept; equally far ones all
+        near = met.withColumn("place", F.rank().over(Window.partitionBy(*rgb).orderBy("distance"))).where(F.col("place") <= n + 1)
+        each = F.flatten(F.transform(F.collect_list(F.struct("distance", "keys")), lambda x: F.transform(x["keys"], lambda k: F.struct(x["distance"].alias("distance"), k.alias("near")))))
+        lists = near.groupBy(*rgb).agg(F.slice(F.array_sort(each), 1, n + 1).alias("list"), F.count("*").alias("m"), F.max("distance").alias("far"))
+        last = width >= 2.0
+        sure = (F.col("m") > n) & (F.col("far") < width - 1e-6)
+        lists = (lists if last else lists.where(sure)).select(*rgb, "list").persist()
+        rounds.append(lists)
+        if not last:
+            open_ = open_.join(lists, rgb, "left_anti").persist()
+        if last or open_.isEmpty():
+            break
+        width = min(2.0, 2 * width)
+    found = rounds[0]
+    for more in rounds[1:]:
+        found = found.unionByName(more)
+    asked = queries.select(key, *rgb).join(found, rgb)
+    others = F.slice(F.filter("list", lambda x: x["near"] != F.col(key)), 1, n)
+    return asked.select(key, F.posexplode(others).alias("rank", "x")).select(key, "x.near", (F.col("rank") + 1).alias("rank"), "x.distance")
 
 
 def tone_siblings(colors: DataFrame, key: str = "k", number: str = "n") -> DataFrame:

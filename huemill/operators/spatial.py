@@ -60,9 +60,20 @@ def box_distance(ax0: Column, ax1: Column, ay0: Column, ay1: Column, bx0: Column
     return dx * weight + dy
 
 
-def nearest(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, within: Column, distance: Column, below: float) -> DataFrame:
-    """(on, left_id, right_id, distance) of the nearest right row in the band; of equals the least right_id; unmatched left rows are absent."""
-    pairs = left.join(right, on).where(within).withColumn("distance", distance).where(F.col("distance") < below)
+def _bands(lo: Column, hi: Column, height: float) -> Column:
+    """Numbers of the bands that an interval touches."""
+    return F.sequence(F.floor(lo / height), F.floor(hi / height))
+
+
+def nearest(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, within: Column, distance: Column, below: float, left_at: tuple[Column, Column], right_at: tuple[Column, Column], reach: float) -> DataFrame:
+    """(on, left_id, right_id, distance) of the nearest right row nearer than below; of equals the least right_id; unmatched left rows are absent.
+
+    left_at and right_at are the bounds of both on one axis, which must be less than reach apart where the distance is less than
+    below. Rows meet by bands of that axis, not by the whole group; a pair that shares several is weighed again.
+    """
+    one = left.withColumn("_band", F.explode(_bands(*left_at, reach)))
+    two = right.withColumn("_band", F.explode(_bands(right_at[0] - reach, right_at[1] + reach, reach)))
+    pairs = one.join(two, [*on, "_band"]).where(within).withColumn("distance", distance).where(F.col("distance") < below)
     best = pairs.groupBy(*on, left_id).agg(F.min_by(F.struct(right_id, "distance"), F.struct("distance", right_id)).alias("best"))
     return best.select(*on, left_id, "best.*")
 
@@ -71,7 +82,7 @@ def tokens_to_cells(tokens: DataFrame, cells: DataFrame) -> tuple[DataFrame, Dat
     """Detail tokens (page, token_id, kind, x0, x1, cy) to cells (page, cell_id, bx0, bx1, by0, by1); and the orphans."""
     band = F.col("cy").between(F.col("by0") - 2, F.col("by1") + 34)
     d = box_distance(*map(F.col, ("x0", "x1", "cy", "cy", "bx0", "bx1", "by0", "by1")), 1.8)
-    met = nearest(tokens, cells, ["page"], "token_id", "cell_id", band, d, 40)
+    met = nearest(tokens, cells, ["page"], "token_id", "cell_id", band, d, 40, (F.col("cy"), F.col("cy")), (F.col("by0"), F.col("by1")), 40.0)
     orphans = tokens.join(met.select("page", "token_id"), ["page", "token_id"], "left_anti").where(F.col("kind").isin("price", "productCode", "quantity", "style"))
     return met, orphans
 
@@ -84,27 +95,39 @@ def photos_to_captions(rects: DataFrame, captions: DataFrame, smallest: float =
     pages = n_rects.join(n_labels, "page").where(F.col("n_rects") >= F.greatest(F.lit(fewest), F.col("n_labels") / 2)).select("page")
     d = box_distance(*map(F.col, ("rx0", "rx1", "ry0", "ry1", "cx0", "cx1", "cy0", "cy1")), 2.2)
     d = d + F.when((F.col("cy0") + F.col("cy1")) / 2 > F.col("ry1"), 0.0).otherwise(14.0)
-    return nearest(large.join(pages, "page", "left_semi"), captions, ["page"], "rect_id", "caption_id", F.lit(True), d, 60)
+    return nearest(large.join(pages, "page", "left_semi"), captions, ["page"], "rect_id", "caption_id", F.lit(True), d, 60, (F.col("ry0"), F.col("ry1")), (F.col("cy0"), F.col("cy1")), 60.0)
+
 
+def overlap_fraction(rects: DataFrame, blocks: DataFrame, band: float = 50.0) -> DataFrame:
+    """(page, rect_id, overlap): share of a rectangle that text blocks other than its own label cover, 1 at most.
 
-def overlap_fraction(rects: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(page, rect_id, overlap): share of a rectangle that text blocks other than its own label cover, 1 at most."""
+    Rectangles and blocks meet by bands of x; a pair counts in the first band that both touch.
+    """
     w = F.greatest(F.lit(0.0), F.least("x1", "bx1") - F.greatest("x0", "bx0"))
     h = F.greatest(F.lit(0.0), F.least("y1", "by1") - F.greatest("y0", "by0"))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     other = ~F.col("block_id").eqNullSafe(F.col("label_id"))
-    met = rects.join(blocks, "page").where(other & (w * h > 0)).groupBy("page", "rect_id").agg(F.sum(w * h / area).alias("s"))
+    one = rects.withColumn("_band", F.explode(_bands(F.col("x0"), F.col("x1"), band)))
+    two = blocks.withColumn("_band", F.explode(_bands(F.col("bx0"), F.col("bx1"), band)))
+    first = F.col("_band") == F.floor(F.greatest("x0", "bx0") / band)
+    met = one.join(two, ["page", "_band"]).where(first & other & (w * h > 0)).groupBy("page", "rect_id").agg(F.sum(w * h / area).alias("s"))
     return rects.join(met, ["page", "rect_id"], "left").select("page", "rect_id", F.least(F.lit(1.0), F.coalesce("s", F.lit(0.0))).alias("overlap"))
 
 
-def asof(left: DataFrame, right: DataFrame, on: list[str], left_id: str, x: str, edge: str, reach: Column | None = None, forward: bool = False, gap: float = 0.0) -> DataFrame:
-    """left with the greatest edge <= x + gap (forward: the least edge > x + gap), within reach; null where there is none."""
-    ok = (F.col(edge) > F.col(x) + gap) if forward else (F.col(edge) <= F.col(x) + gap)
-    if reach is not None:
-        ok = ok & reach
-    pick = (F.min if forward else F.max)(edge)
-    met = left.join(right, on).where(ok).groupBy(*on, left_id).agg(pick.alias(edge))
-    return left.join(met, [*on, left_id], "left")
+def asof(left: DataFrame, right: DataFrame, on: list[str], x: str, edge: str, reach: float | None = None, forward: bool = False, gap: float = 0.0) -> DataFrame:
+    """left with the greatest edge <= x + gap (forward: the least edge > x + gap), no further than reach from x; null where there is none.
+
+    Both sides are one sorted run of places per group, and each row takes the last edge before it: no pairs are made.
+    """
+    names, kind = left.columns, right.schema[edge].dataType
+    rows = left.select(*names, (F.col(x) + gap).alias("_at"), F.lit(None).cast(kind).alias("_edge"))
+    marks = right.select(*on, edge).distinct().select(*on, *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names if c not in on), F.col(edge).alias("_at"), F.col(edge).alias("_edge"))
+    both = rows.unionByName(marks.select(*rows.columns))
+    is_row = F.col("_edge").isNull().cast("int")  # at the same place an edge comes first, as it is not after the row
+    w = Window.partitionBy(*on).orderBy(*((F.desc("_at"), F.desc(is_row)) if forward else (F.asc("_at"), F.asc(is_row)))).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_found", F.last("_edge", ignorenulls=True).over(w)).where("_edge is null")
+    found = F.col("_found") if reach is None else F.when(F.abs(F.col("_found") - F.col(x)) <= reach, F.col("_found"))
+    return met.select(*names, found.alias(edge))
 
 
 def grid_intervals(lines: DataFrame, keys: list[str], at: str) -> DataFrame:

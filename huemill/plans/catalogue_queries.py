@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +49,7 @@ def part_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rgb = part_rgb(spark, sf_dir)
-    return rgb.withColumn("m", color.metrics(F.col("r"), F.col("g"), F.col("b"))).select(*rgb.columns, "m.*")
+    return color.with_metrics(part_rgb(spark, sf_dir))
 
 
 @register("color_metrics", f"WITH {METRICS_SQL} SELECT p_partkey, hex, hue, sat, val, family FROM metrics")
@@ -70,10 +71,10 @@ def oklab(spark, sf_dir):
 @register("nearest_to_picked", f"""WITH {LAB_SQL.replace("FROM part)", "FROM part UNION ALL SELECT -1, 0, '', '', 60, 120, 180)")}
 SELECT x.p_partkey, round(sqrt((x.L - p.L) ** 2 + (x.A - p.A) ** 2 + (x.B - p.B) ** 2), 9) AS distance FROM lab x, lab p WHERE p.p_partkey = -1 AND x.p_partkey > 0 ORDER BY distance, x.p_partkey LIMIT 10""")
 def nearest_to_picked(spark, sf_dir):
-    lab = part_rgb(spark, sf_dir).withColumn("c", color.oklab(F.col("r"), F.col("g"), F.col("b")))
-    t = color.rgb_of(F.lit(PICKED))
-    d = F.round(color.oklab_distance(F.col("c"), color.oklab(t["r"], t["g"], t["b"])), 9)
-    return lab.select("p_partkey", d.alias("distance")).orderBy("distance", "p_partkey").limit(10)
+    rgb = part_rgb(spark, sf_dir)
+    index = rgb.select("p_partkey", color.hex_of(*map(F.col, "rgb")).alias("hex"))
+    spec = replace(search.SearchSpec().picking(PICKED), limit=10)
+    return search.search(index, spec, position="p_partkey").select("p_partkey", search.ordering(spec)[0].alias("distance"))
 
 
 @register("nearest_self_topk", f"""WITH {LAB_SQL}
@@ -86,7 +87,7 @@ def nearest_self_topk(spark, sf_dir):
 
 def _ordered(spark, sf_dir, sort: str) -> DataFrame:
     c = part_colors(spark, sf_dir).withColumns({"k": F.col("p_partkey"), "n": F.col("p_size"), "s": F.col("p_brand")})
-    top = c.orderBy(*search.ordering(search.SearchSpec(sort=sort))).limit(search.PAGE)
+    top = search.search(c, search.SearchSpec(sort=sort))
     place = Window.orderBy(*search.ordering(search.SearchSpec(sort=sort)))  # over one page
     return top.select("p_partkey", F.row_number().over(place).cast("long").alias("place"))
 
@@ -159,10 +160,12 @@ def facet_search(spark, sf_dir):
     return index.where(search.predicate(spec)).select("p_partkey", "family")
 
 
-@register("code_search", "SELECT o_custkey, list_sort(list(printf('%06d', o_orderkey))) AS codes FROM orders GROUP BY o_custkey HAVING list_contains(list(printf('%06d', o_orderkey)), '000042')".replace("list_sort(list(printf('%06d', o_orderkey))) AS codes", "array_to_string(list_sort(list(printf('%06d', o_orderkey))), ' ') AS codes"))
+@register("code_search", "SELECT o_custkey, list_sort(list(printf('%06d', o_orderkey))) AS codes FROM orders GROUP BY o_custkey HAVING list_contains(list(printf('%06d', o_orderkey)), '000042') OR o_custkey = 42".replace("list_sort(list(printf('%06d', o_orderkey))) AS codes", "array_to_string(list_sort(list(printf('%06d', o_orderkey))), ' ') AS codes"))
 def code_search(spark, sf_dir):
     codes = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(merge.sorted_set(F.lpad(F.col("o_orderkey").cast("string"), 6, "0")).alias("codes"))
-    return codes.where(F.array_contains("codes", "000042")).select("o_custkey", F.array_join("codes", " ").alias("codes"))
+    none = F.array().cast("array<string>")
+    index = codes.select("o_custkey", F.col("o_custkey").cast("string").alias("k"), none.alias("f"), none.alias("w"), "codes")
+    return index.where(search.predicate(search.SearchSpec(query="000042"), "codes")).select("o_custkey", F.array_join("codes", " ").alias("codes"))
 
 
 # -- consensus ---------------------------------------------------------------------------------
@@ -248,7 +251,12 @@ def representative_color(spark, sf_dir):
     return raster.representative_color(pixels, pixels.where(F.col("r") + F.col("g") > 200), "p_brand")
 
 
-@register("blob_bbox")
+@register("blob_bbox", """WITH RECURSIVE m AS (SELECT vec_id, (k - 1) // 8 AS y, (k - 1) % 8 AS x, embedding[k] > 0 AS lit FROM embeddings, unnest(generate_series(1, 64)) AS g(k)),
+c AS (SELECT DISTINCT vec_id, y // 2 AS r, x // 2 AS q, (y // 2) * 4 + x // 2 + 1 AS label FROM m WHERE lit),
+reach AS (SELECT vec_id, r, q, label AS top FROM c UNION SELECT a.vec_id, b.r, b.q, a.top FROM reach a JOIN c b ON a.vec_id = b.vec_id AND abs(a.r - b.r) + abs(a.q - b.q) = 1),
+lab AS (SELECT vec_id, r, q, max(top) AS top FROM reach GROUP BY ALL),
+best AS (SELECT vec_id, min(r) * 2 AS r0, max(r) * 2 + 1 AS r1, min(q) * 2 AS c0, max(q) * 2 + 1 AS c1 FROM lab GROUP BY vec_id, top QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, top) = 1)
+SELECT vec_id, min(x)::INT AS x0, min(y)::INT AS y0, (max(x) + 1)::INT AS x1, (max(y) + 1)::INT AS y1 FROM m JOIN best USING (vec_id) WHERE lit AND y BETWEEN r0 AND r1 AND x BETWEEN c0 AND c1 GROUP BY vec_id""")
 def blob_bbox(spark, sf_dir):
     masks = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.transform("embedding", lambda x: x > 0).alias("mask"))
     return raster.blob_bounds(masks, "vec_id", pool=2)
@@ -288,12 +296,12 @@ def reconcile_cascade(spark, sf_dir):
 
 
 @register("token_classify", """WITH t AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_totalprice::BIGINT::VARCHAR || '円' WHEN 1 THEN printf('%06d', o_orderkey) WHEN 2 THEN '4964291-' || printf('%06d', o_orderkey) WHEN 3 THEN '約' || (o_orderkey % 90)::VARCHAR || 'g入' ELSE o_orderstatus END AS token FROM orders)
-SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'price' WHEN 1 THEN 'productCode' WHEN 2 THEN 'jan' WHEN 3 THEN 'quantity' END AS kind, CASE o_orderkey % 5 WHEN 0 THEN replace(token, '円', '') WHEN 2 THEN replace(token, '-', '') WHEN 4 THEN NULL ELSE token END AS value FROM t""")
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'price' WHEN 1 THEN 'productCode' WHEN 2 THEN 'jan' WHEN 3 THEN 'quantity' WHEN 4 THEN CASE WHEN token = 'F' THEN 'style' END END AS kind, CASE o_orderkey % 5 WHEN 0 THEN replace(token, '円', '') WHEN 2 THEN replace(token, '-', '') WHEN 4 THEN CASE WHEN token = 'F' THEN token END ELSE token END AS value FROM t""")
 def token_classify(spark, sf_dir):
     k = F.col("o_orderkey")
     code = F.lpad(k.cast("string"), 6, "0")
     token = F.when(k % 5 == 0, F.concat(F.rint("o_totalprice").cast("long").cast("string"), F.lit("円"))).when(k % 5 == 1, code).when(k % 5 == 2, F.concat(F.lit("4964291-"), code)).when(k % 5 == 3, F.concat(F.lit("約"), k % 90, F.lit("g入"))).otherwise(F.col("o_orderstatus"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", labels.classify_token(token).alias("c")).select("o_orderkey", "c.kind", "c.value")
+    return table(spark, sf_dir, "orders").select("o_orderkey", labels.classify_token(token, ("F",)).alias("c")).select("o_orderkey", "c.kind", "c.value")
 
 
 @register("json_multivalue", "SELECT event_type, json_extract_string(props, '$.k')::INT AS k, count(*) AS n, sum(len(regexp_extract_all('「' || event_type || '」「' || user_id::VARCHAR || '」', '「([^」]*)」', 1)))::BIGINT AS parts FROM events GROUP BY ALL")
@@ -374,7 +382,7 @@ def nearest_cell(spark, sf_dir):
     b = p.select("p_brand", F.col("p_partkey").alias("cell_id"), F.col("p_retailprice").alias("bx"), F.col("p_size").alias("by"))
     d = F.round(spatial.box_distance(*map(F.col, ("x", "x", "y", "y", "bx", "bx", "by", "by")), 1.8), 6)
     band = F.col("y").between(F.col("by") - 2, F.col("by") + 34) & (F.col("token_id") != F.col("cell_id"))
-    return spatial.nearest(a, b, ["p_brand"], "token_id", "cell_id", band, d, 40).select("token_id", "cell_id", "distance")
+    return spatial.nearest(a, b, ["p_brand"], "token_id", "cell_id", band, d, 40, (F.col("x"), F.col("x")), (F.col("bx"), F.col("bx")), 40 / 1.8).select("token_id", "cell_id", "distance")
 
 
 @register("overlap_fraction", """WITH x AS (SELECT p_brand, p_partkey, p_retailprice - p_size AS lo, p_retailprice + p_size AS hi FROM part)
@@ -393,8 +401,8 @@ def next_column(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     edges = nation.select("n_regionkey", (F.col("n_nationkey") * 5).alias("edge")).distinct()
     s = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey", (F.col("s_suppkey") % 130).cast("int").alias("x"))
-    ahead = spatial.asof(s, edges, ["n_regionkey"], "s_suppkey", "x", "edge", forward=True, gap=8).withColumnRenamed("edge", "next")
-    return spatial.asof(ahead, edges, ["n_regionkey"], "s_suppkey", "x", "edge", gap=6).select("s_suppkey", "next", F.col("edge").alias("back"))
+    ahead = spatial.asof(s, edges, ["n_regionkey"], "x", "edge", forward=True, gap=8).withColumnRenamed("edge", "next")
+    return spatial.asof(ahead, edges, ["n_regionkey"], "x", "edge", gap=6).select("s_suppkey", "next", F.col("edge").alias("back"))
 
 
 @register("grid_intervals", "SELECT p_brand, low, high FROM (SELECT p_brand, p_size AS low, lead(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) AS high FROM (SELECT DISTINCT p_brand, p_size FROM part)) WHERE high IS NOT NULL")
@@ -405,11 +413,12 @@ def grid_intervals(spark, sf_dir):
 # -- merging -----------------------------------------------------------------------------------
 
 
-@register("merge_precedence", """WITH s AS (SELECT s_nationkey, max(s_acctbal) AS bal FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY s_nationkey), c AS (SELECT c_nationkey, max(c_acctbal) AS bal FROM customer WHERE c_nationkey < 20 GROUP BY c_nationkey)
+@register("merge_precedence", """WITH s AS (SELECT s_nationkey, max(s_acctbal) AS bal FROM supplier WHERE s_acctbal > 7000 GROUP BY s_nationkey), c AS (SELECT c_nationkey, max(c_acctbal) AS bal FROM customer WHERE c_acctbal > 9800 GROUP BY c_nationkey)
 SELECT c_nationkey AS nationkey, coalesce(s.bal, c.bal) AS bal, s.bal IS NOT NULL AS better FROM c LEFT JOIN s ON c_nationkey = s_nationkey UNION ALL SELECT s_nationkey, bal, true FROM s WHERE s_nationkey NOT IN (SELECT c_nationkey FROM c)""")
 def merge_precedence(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.max("s_acctbal").alias("bal"))
-    c = table(spark, sf_dir, "customer").where("c_nationkey < 20").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.max("c_acctbal").alias("bal"))
+    """Rich suppliers of a nation go before rich customers; nations with rich suppliers alone are appended."""
+    s = table(spark, sf_dir, "supplier").where("s_acctbal > 7000").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.max("s_acctbal").alias("bal"))
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 9800").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.max("c_acctbal").alias("bal"))
     return merge.append_missing(merge.override(c, s, "nationkey", ["bal"], "better"), s.withColumn("better", F.lit(True)), "nationkey")
 
 
@@ -461,9 +470,11 @@ def agreement_check(spark, sf_dir):
     return audit.agreement(mine, theirs, "doc_id", SYNONYMS).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@register("coverage_audit", "SELECT doc_id, CASE WHEN l IS NULL THEN 'missing' WHEN d IS NULL THEN 'extra' ELSE 'covered' END AS state FROM (SELECT doc_id, 1 AS d FROM documents WHERE doc_id % 3 > 0) FULL JOIN (SELECT DISTINCT doc_id, 1 AS l FROM labels) USING (doc_id)")
+@register("coverage_audit", "SELECT k AS custkey, CASE WHEN e IS NULL THEN 'missing' WHEN c IS NULL THEN 'extra' ELSE 'covered' END AS state FROM (SELECT c_custkey AS k, 1 AS c FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT DISTINCT user_id AS k, 1 AS e FROM events) USING (k)")
 def coverage_audit(spark, sf_dir):
-    return audit.coverage(table(spark, sf_dir, "documents").where("doc_id % 3 > 0"), table(spark, sf_dir, "labels"), "doc_id")
+    """Customers in credit with and without events, and users of events who are none."""
+    customers = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("custkey"))
+    return audit.coverage(customers, table(spark, sf_dir, "events").select(F.col("user_id").alias("custkey")), "custkey")
 
 
 @register("unknown_keys", "SELECT o_custkey, array_to_string(list_sort(list(printf('%08d', o_orderkey))), ',') AS places, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey")
@@ -484,11 +495,11 @@ def word_frequency(spark, sf_dir):
     return audit.frequencies(table(spark, sf_dir, "benchmark"), words, "word")
 
 
-@register("fit_sentences", """WITH s AS (SELECT conv_id, list(left(text, 70) ORDER BY turn, role, text) AS ss FROM conversations GROUP BY conv_id)
+@register("fit_sentences", """WITH s AS (SELECT conv_id, list(text ORDER BY turn, role, text) AS ss FROM conversations GROUP BY conv_id)
 SELECT conv_id, list_reduce(list_prepend('', ss), lambda o, s: CASE WHEN o <> '' AND len(o) + len(s) > 155 THEN o ELSE o || s END) AS description FROM s""")
 def fit_sentences(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return turns.select("conv_id", text.fit_sentences(F.transform("t", lambda x: F.substring(x["text"], 1, 70)), 155).alias("description"))
+    return turns.select("conv_id", text.fit_sentences(F.transform("t", lambda x: x["text"]), 155).alias("description"))
 
 
 @register("sitemap_union", "SELECT 0 AS part, '/r/' || r_regionkey AS path, 'https://x.test/r/' || r_regionkey AS url FROM region UNION ALL SELECT 1, '/n/' || n_nationkey, 'https://x.test/n/' || n_nationkey FROM nation UNION ALL SELECT 2, '/p/' || p_partkey, 'https://x.test/p/' || p_partkey FROM part")

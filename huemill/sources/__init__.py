@@ -70,6 +70,16 @@ def rendered_pages(spark: SparkSession, path: str) -> DataFrame:
     return names.where(n != "").select(n.cast("int").alias("page")).orderBy("page")
 
 
+def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Nested documents, one JSON document a line, as write_documents writes them."""
+    return spark.read.schema("value string").text(path).select(F.from_json("value", schema).alias("d")).select("d.*")
+
+
+def dimension(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A small table of a catalogue (types, pages, styles, shapes, bottles) that people edit: CSV with a header, under a schema."""
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, mode="FAILFAST")
+
+
 def printed_codes(text: DataFrame, column: str = "text") -> DataFrame:
     """(code, pos): upper-cased tokens between white space, the first place of each; pos is the place in its row."""
     tokens = text.select(F.posexplode(F.filter(F.split(F.upper(column), r"\s+"), lambda t: t != "")).alias("pos", "code"))

@@ -17,6 +17,11 @@ def write_prices(prices: DataFrame, seed_path: str, live_path: str, reseed: bool
     prices.write.mode("overwrite" if reseed else "ignore").json(live_path)
 
 
+def write_colors(colors: DataFrame, path: str) -> None:
+    """The colours of an extraction, by number and suffix."""
+    write_documents(colors.orderBy("number", "suffix"), path)
+
+
 def write_report(df: DataFrame, path: str, order: list[str], rows: int = 400) -> None:
     """The first rows of a report in order."""
     df.orderBy(*order).limit(rows).write.mode("overwrite").json(path)

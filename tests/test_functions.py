@@ -1,14 +1,16 @@
 import colorsys
+import json
 import math
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from huemill import sources
 from huemill.functions import color, labels, text
-from huemill.operators import audit, consensus, merge, raster, search, spatial
+from huemill.operators import audit, consensus, merge, pages, raster, search, spatial
 from huemill.sources import sinks
 
 
@@ -20,16 +22,16 @@ def values(spark, items, made, kind="string"):
 def test_hsv_is_that_of_colorsys(spark):
     rgb = [(r, g, b) for r in range(0, 256, 15) for g in range(0, 256, 17) for b in range(0, 256, 15)]
     df = spark.createDataFrame(rgb, "r int, g int, b int")
-    for x in df.select("r", "g", "b", color.metrics(F.col("r"), F.col("g"), F.col("b")).alias("m")).collect():
+    for x in color.with_metrics(df).collect():
         h, s, v = colorsys.rgb_to_hsv(x.r / 255, x.g / 255, x.b / 255)
-        assert (x.m.hex, x.m.hue) == (f"#{x.r:02x}{x.g:02x}{x.b:02x}", round(h * 360))
-        assert abs(x.m.sat - s) <= 0.0005000001 and x.m.val == round(v, 3)
+        assert (x.hex, x.hue) == (f"#{x.r:02x}{x.g:02x}{x.b:02x}", round(h * 360))
+        assert abs(x.sat - s) <= 0.0005000001 and x.val == round(v, 3)
 
 
 def test_families_and_ink(spark):
     df = spark.createDataFrame([(255, 0, 0), (255, 255, 255), (10, 10, 10), (128, 128, 128), (0, 0, 255), (255, 0, 60), (255, 128, 0)], "r int, g int, b int")
     c = [F.col(x) for x in "rgb"]
-    assert [x.f for x in df.select(color.metrics(*c)["family"].alias("f")).collect()] == ["レッド", "ホワイト", "ブラック", "グレー", "ブルー", "レッド", "オレンジ"]
+    assert [x.family for x in color.with_metrics(df).collect()] == ["レッド", "ホワイト", "ブラック", "グレー", "ブルー", "レッド", "オレンジ"]
     assert [x.k for x in df.select(color.contrast_ink(*c).alias("k")).collect()] == ["#ffffff", "#1b1a19", "#ffffff", "#ffffff", "#ffffff", "#ffffff", "#ffffff"]
     assert [tuple(x.t) for x in df.limit(1).select(color.rgb_of(F.lit("#0a10ff")).alias("t")).collect()] == [(10, 16, 255)]
 
@@ -232,3 +234,104 @@ def test_upper_median(spark, lists):
     assert got == {i: sorted(x)[len(x) // 2] for i, x in enumerate(lists)}
 
 
+
+
+def test_blob_against_flood_fill():
+    r = np.random.default_rng(11)
+    for _ in range(200):
+        pool = int(r.integers(1, 4))
+        h, w = int(r.integers(pool, 14)), int(r.integers(pool, 14))
+        mask = r.random((h, w)) < r.choice([0.1, 0.3, 0.5])
+        rows, cols = h // pool, w // pool
+        cells = {(i, j) for i in range(rows) for j in range(cols) if mask[i * pool : (i + 1) * pool, j * pool : (j + 1) * pool].any()}
+        blobs, left = [], set(cells)
+        while left:
+            todo, blob = [left.pop()], set()
+            while todo:
+                i, j = todo.pop()
+                blob.add((i, j))
+                near = {(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)} & left
+                left -= near
+                todo += near
+            blobs.append(blob)
+        want = None
+        if blobs:
+            best = min(blobs, key=lambda b: (-len(b), max(i * cols + j for i, j in b)))
+            y0, y1 = min(i for i, _ in best) * pool, (max(i for i, _ in best) + 1) * pool
+            x0, x1 = min(j for _, j in best) * pool, (max(j for _, j in best) + 1) * pool
+            lit = [(y, x) for y in range(y0, y1) for x in range(x0, x1) if mask[y, x]]
+            want = (min(x for _, x in lit), min(y for y, _ in lit), max(x for _, x in lit) + 1, max(y for y, _ in lit) + 1)
+        assert raster._blob(mask, pool) == want
+
+
+def test_trim(spark):
+    px = []
+    for y in range(20):
+        for x in range(30):
+            strip = 8 <= y < 14 and 5 <= x < 25 and (x + y) % 3 > 0
+            mark = y < 3 and x < 3
+            px.append(("a", y, x, *((10, 120, 30) if strip or mark else (255, 255, 255))))
+    px += [("b", y, x, 255, 255, 255) for y in range(5) for x in range(5)]
+    df = spark.createDataFrame(px, "img string, y int, x int, r int, g int, b int").repartition(3)
+    rects = spark.createDataFrame([("a", 100.0, 50.0, 160.0, 90.0), ("b", 0.0, 0.0, 1.0, 1.0)], "img string, x0 double, y0 double, x1 double, y1 double")
+    (row,) = pages.trim(df, rects).collect()
+    lit = [(y, x) for _, y, x, *c in px[:600] if c[0] == 10 and y >= 3]
+    want = (100 + 2 * min(x for _, x in lit) - 0.6, 50 + 2 * min(y for y, _ in lit) - 0.6, 100 + 2 * (max(x for _, x in lit) + 1) + 0.6, 50 + 2 * (max(y for y, _ in lit) + 1) + 0.6)
+    assert np.allclose(tuple(row)[1:], want)
+
+
+def test_asof_reach(spark):
+    left = spark.createDataFrame([(1, 1, 10.0), (1, 2, 4.0), (1, 3, 30.0), (2, 4, 5.0)], "page int, id int, x double")
+    edges = spark.createDataFrame([(1, 5.0), (1, 10.0), (1, 12.0), (1, 12.0)], "page int, edge double")
+    got = lambda **kw: {r.id: r.edge for r in spatial.asof(left, edges, ["page"], "x", "edge", **kw).collect()}
+    assert got() == {1: 10.0, 2: None, 3: 12.0, 4: None}
+    assert got(reach=15.0) == {1: 10.0, 2: None, 3: None, 4: None}
+    assert got(forward=True) == {1: 12.0, 2: 5.0, 3: None, 4: None}
+    assert got(gap=1.0) == {1: 10.0, 2: 5.0, 3: 12.0, 4: None} and got(forward=True, gap=1.0) == {1: 12.0, 2: 10.0, 3: None, 4: None}
+
+
+def test_pages(spark):
+    pages_ = spark.createDataFrame([(1, 0.0, 500.0, 800.0, 60.0)], "page int, left double, right double, bottom double, var double")
+    rules = spark.createDataFrame([(1, "h", 100.0, 5.0, 490.0), (1, "h", 200.0, 55.0, 490.0), (1, "h", 300.0, 3.0, 495.0), (1, "h", 350.0, 200.0, 495.0), (1, "v", 60.0, 0.0, 700.0)], "page int, orient string, pos double, a double, b double")
+    assert [tuple(x) for x in pages.finish_grid(rules, pages_).orderBy("low").collect()] == [(1, 100.0, 200.0, 1), (1, 200.0, 300.0, 1), (1, 300.0, 800.0, 2)]
+    groups = spark.createDataFrame([(1, 10.0, 50.0, 100.0), (1, 10.0, 5.0, 1.0)], "page int, col double, top double, pitch double")
+    assert [(x.px0, x.py0, x.px1, x.py1) for x in pages.probes(groups).collect()] == [(5.0, 33.0, 65.0, 49.5)]
+    named = spark.createDataFrame([("a.jpg", 1), ("b.x.png", 2)], "image string, n int")
+    files = spark.createDataFrame([("b.x.webp",)], "name string")
+    assert [(x.n, x.served) for x in pages.served(named, files).collect()] == [(2, "b.x.webp")]
+    assert [x.v for x in spark.range(1).select(pages.to_pixels(F.lit(2.5), 72).alias("v")).collect()] == [2]
+    kept = pages.on_chart_pages(spark.createDataFrame([(1, "a"), (2, "b")], "page int, t string"), pages_.select("page", "var")).collect()
+    assert [(x.page, x.t, x["var"]) for x in kept] == [(1, "a", 60.0)]
+    ok = spark.createDataFrame([("x",)], "c string")
+    assert ok.select(pages.strictly_mapped(F.col("c"), {"x": "y"}).alias("m")).first().m == "y"
+    with pytest.raises(Exception, match="no entry for x"):
+        ok.select(pages.strictly_mapped(F.col("c"), {"z": "y"}).alias("m")).collect()
+    shown = spark.createDataFrame([("b", "#1", 2, "R", 0), ("a", "#2", 3, "G", 1)], "key string, hex string, hue int, family string, extra int")
+    assert pages.chips(shown).columns == ["key", "hex", "hue", "family"] and [x.key for x in pages.keys_of(shown, "key").collect()] == ["a", "b"]
+
+
+def test_structured_data(spark):
+    df = spark.createDataFrame([("46", "R", "#ff0000", ["x", "x", "y"], ["t"], ["000046"], [("丸小", "2.2")], None), ("47", "G", "#00ff00", [], [], [], [], "i.webp")], "key string, family string, hex string, finishes array<string>, types array<string>, codes array<string>, shapes array<struct<category:string,size:string>>, image string")
+    c = {k: F.col(k) for k in df.columns} | {"url": F.concat(F.lit("https://x.test/colors/"), F.col("key")), "name": F.concat(F.lit("No."), F.col("key")), "description": F.lit("a < b")}
+    labels_ = {k: k.upper() for k in ("key", "family", "hex", "finishes", "types", "codes")}
+    rows = [x.j for x in df.select(text.product(c, "brand", labels_).alias("j"), "key").orderBy("key").collect()]
+    one, two = map(json.loads, rows)
+    assert "<" not in rows[0] and one["description"] == "a < b" and one["sku"] == "000046" and "image" not in one and two["image"] == "i.webp" and "sku" not in two
+    assert [(p["name"], p["value"]) for p in one["additionalProperty"]] == [("KEY", "46"), ("FAMILY", "R"), ("HEX", "#ff0000"), ("FINISHES", "x・y"), ("TYPES", "t"), ("CODES", "000046"), ("丸小", "外径約2.2mm")]
+    assert [p["name"] for p in two["additionalProperty"]] == ["KEY", "FAMILY", "HEX"]
+    items = F.array(F.struct(F.lit("a").alias("name"), F.lit("u").alias("url")), F.struct(F.lit("b").alias("name"), F.lit("v").alias("url")))
+    page = json.loads(df.limit(1).select(text.collection_page("https://x.test", F.lit("p"), F.lit("n"), F.lit("t"), F.lit("i"), items).alias("j")).first().j)
+    assert page["mainEntity"]["numberOfItems"] == 2 and page["mainEntity"]["itemListElement"][1] == {"@type": "ListItem", "position": 2, "name": "b", "url": "v"}
+    trail = json.loads(df.limit(1).select(text.breadcrumb([(F.lit("a"), F.lit("u")), (F.lit("b"), F.lit("v"))]).alias("j")).first().j)
+    assert [x["position"] for x in trail["itemListElement"]] == [1, 2]
+    site = json.loads(df.limit(1).select(text.website("https://x.test/", "n", F.lit("t"), "brand").alias("j")).first().j)
+    assert site["@id"] == "https://x.test/#website" and site["about"]["name"] == "brand"
+
+
+def test_documents_and_dimensions(spark, tmp_path):
+    docs = spark.createDataFrame([(2, "L", [1, 2]), (1, "", [])], "number int, suffix string, pages array<int>")
+    sinks.write_colors(docs, str(tmp_path / "colors"))
+    back = sources.documents(spark, str(tmp_path / "colors"), "number int, suffix string, pages array<int>")
+    assert [tuple(x) for x in back.orderBy("number").collect()] == [(1, "", []), (2, "L", [1, 2])]
+    (tmp_path / "types.csv").write_text("code,name\n01,丸小\n")
+    assert [tuple(x) for x in sources.dimension(spark, str(tmp_path / "types.csv"), "code string, name string").collect()] == [("01", "丸小")]
