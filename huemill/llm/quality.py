@@ -48,6 +48,13 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once: a generator of one row, into which no later filter or project is folded.
+
+    Folded into a lambda, the array that it walks would be made anew for each of its elements."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
@@ -80,12 +87,11 @@ def repeated_words(h: Column) -> Column:
 
 
 def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with the simple counts. Each step is a column of its own, which is computed once and in generated code where lambdas are not needed."""
+    """df with the simple counts."""
     names, ws, h, lines = df.columns, *(fresh(df, c) for c in ("words", "windows", "lines"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     with_lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = df.select("*", words(text).alias(ws), with_lines.alias(lines))
-    out = out.select("*", _windows(F.col(ws)).alias(h))
+    out = _computed(_computed(df, {ws: words(text), lines: with_lines}), {h: _windows(F.col(ws))})
     counts = (
         F.size(ws).cast("long"),
         F.length(F.array_join(ws, "")).cast("long"),
@@ -133,7 +139,7 @@ def ratios(docs: DataFrame, labels: DataFrame, n: int = CELLS, target_rows: int
     target = _sample(good, n_good, target_rows).select("_id", F.lit(True).alias("_target"))
     both = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(target), F.col("_doc") == F.col("_id"), "left")
     # the outer form, as the other one has the cells computed once more for a filter
-    found = both.select("_target", runs(F.col("_text")).alias("_runs")).select("_target", F.explode_outer(_grams(F.col("_runs"))).alias("_gram"))
+    found = both.select("_target", F.col("_text")).transform(lambda x: _computed(x, {"_runs": runs(F.col("_text"))})).select("_target", F.explode_outer(_grams(F.col("_runs"))).alias("_gram"))
     cell = F.pmod("_gram", F.lit(n)).cast("int").alias("c")
     rows = found.groupBy(cell).agg(F.count("_target"), F.count(F.lit(1))).where("c is not null").collect()
     logs = []
@@ -181,7 +187,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n: i
     worst = lambda ws: F.exists(ws, lambda w: _word(w).isin(marks)) if marks else F.lit(False)
     out = docs.drop(*(c for c in docs.columns if c.lower() in (*COUNTS, "base_failed", "toxic", "score", "kept")))
     names, found = out.columns, fresh(out, "runs")
-    out = out.select("*", runs(F.col(text_col)).alias(found))
+    out = _computed(out, {found: runs(F.col(text_col))})
     out = out.select(*names, worst(F.col(found)).alias("toxic"), mean(F.col(found)).alias("score"))
     out = with_counts(out, text_col).select(*names, *COUNTS, "toxic", "score")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -1,5 +1,6 @@
 import math
 import re
+import time
 from collections import Counter
 
 import xxhash
@@ -96,6 +97,16 @@ def test_columns_of_inner_names(spark):
     assert sorted(map(tuple, out.select(df.columns).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
 
 
+def test_filters_do_not_repeat_the_work(spark):
+    """A filter on a verdict is not folded into the lambdas below it: a long text stays linear."""
+    text = " ".join(f"w{i % 1000}x{i % 777} " for i in range(60_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    start = time.time()
+    assert [r.doc_id for r in q.judge(df, lab, -9.0).where("kept and n_dup_lines = 0").select("doc_id").collect()] == [1]
+    assert time.time() - start < 60
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n\t#|é", max_size=30), min_size=10, max_size=40))
 def test_base_counts(spark, texts):
