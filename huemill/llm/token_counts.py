@@ -50,7 +50,8 @@ class PretokenCounts(dict):
         self.processor, self.whole = processor, whole
 
     def __missing__(self, key: str) -> int:
-        n = len(self.processor.encode(key))
+        # a text that ends with one space has a space mark alone as its last pre-token; an empty text has no mark
+        n = len(self.processor.encode(key)) if key else len(self.processor.encode("a ")) - len(self.processor.encode("a"))
         if len(key) <= KEPT_CHARS:
             if len(self) >= len(self.whole) + KEPT:
                 self.clear()

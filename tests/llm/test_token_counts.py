@@ -17,6 +17,11 @@ def test_sum_over_pretokens_is_the_library_count(text):
     assert COUNTS.of(text) == len(SP.encode(text))
 
 
+def test_spaces_at_the_ends():
+    for text in ("0 ", "a  ", " ", "  ", " a ", "the\n ", "x  y   ", "▁", "a▁"):
+        assert COUNTS.of(text) == len(SP.encode(text))
+
+
 def test_special_strings_are_plain_text():
     for text in ("<s>", "a </s> b", "<unk>", "<0x41>x", " <s> <s>", "<pad>"):
         assert COUNTS.of(text) == len(SP.encode(text))
