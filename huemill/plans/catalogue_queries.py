@@ -155,7 +155,7 @@ SELECT p_partkey, family FROM metrics JOIN f ON p_partkey = l_partkey WHERE fami
 def facet_search(spark, sf_dir):
     flags = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("f"))
     c = part_colors(spark, sf_dir).join(flags, F.col("p_partkey") == F.col("l_partkey"))
-    index = c.select("p_partkey", "family", F.col("family").alias("fam"), "f", F.array("p_brand").alias("b"), (F.col("p_size") % 2 == 0).alias("matte"))
+    index = c.select("p_partkey", "family", F.col("family").alias("fam"), "f", F.array("p_brand").alias("b"), (F.col("p_size") % 2 == 0).alias("matte")).persist()  # the index is made once, and facets filter it
     spec = search.SearchSpec(facets={"fam": frozenset({"ブルー", "グリーン"}), "f": frozenset("NR"), "b": frozenset({"Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22"})}, matte_only=True)
     return index.where(search.predicate(spec)).select("p_partkey", "family")
 

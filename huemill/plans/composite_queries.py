@@ -23,7 +23,7 @@ def browser_results(spark, sf_dir):
     """Number, code or word 46 among six families with two finishes, nearest to a picked colour first."""
     flags = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.collect_set("l_returnflag").alias("f"))
     c = part_colors(spark, sf_dir).join(flags, F.col("p_partkey") == F.col("l_partkey")).join(part_keys(spark, sf_dir).select("p_partkey", "k"), "p_partkey")
-    index = c.select("p_partkey", "k", "hex", "hue", "sat", "val", F.col("family").alias("fam"), "f", F.array("p_brand").alias("w"), F.array(F.col("p_partkey").cast("string")).alias("codes"))
+    index = c.select("p_partkey", "k", "hex", "hue", "sat", "val", F.col("family").alias("fam"), "f", F.array("p_brand").alias("w"), F.array(F.col("p_partkey").cast("string")).alias("codes")).persist()
     families = frozenset({"ブルー", "グリーン", "パープル", "レッド", "オレンジ", "イエロー"})
     spec = search.SearchSpec(query=" 46 ", facets={"fam": families, "f": frozenset("NR")}).picking(PICKED)
     found = search.search(index, spec, position="p_partkey", codes="codes")
