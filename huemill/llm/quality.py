@@ -106,10 +106,14 @@ def runs(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUNS), F.lit(0))
 
 
-def _grams(ws: Column) -> Column:
-    """64-bit hashes of the unigrams and bigrams of an array of runs, in order."""
-    two = F.zip_with(F.slice(ws, F.lit(1), F.size(ws) - 1), F.slice(ws, F.lit(2), F.size(ws) - 1), lambda a, b: F.xxhash64(a, b))
-    return F.concat(F.transform(ws, lambda w: F.xxhash64(w)), F.when(F.size(ws) > 1, two).otherwise(F.array().cast("array<long>")))
+def _grams(h: Column) -> Column:
+    """Unigrams and bigrams of an array of hashes of runs: a bigram is the hash of two hashes."""
+    two = F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1), lambda a, b: F.xxhash64(a, b))
+    return F.concat(h, F.when(F.size(h) > 1, two).otherwise(F.array().cast("array<long>")))
+
+
+def _hashes(ws: Column) -> Column:
+    return F.transform(ws, lambda w: F.xxhash64(w))
 
 
 def _word(w: Column) -> Column:
@@ -139,7 +143,7 @@ def ratios(docs: DataFrame, labels: DataFrame, n: int = CELLS, target_rows: int
     target = _sample(good, n_good, target_rows).select("_id", F.lit(True).alias("_target"))
     both = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(target), F.col("_doc") == F.col("_id"), "left")
     # the outer form, as the other one has the cells computed once more for a filter
-    found = both.select("_target", F.col("_text")).transform(lambda x: _computed(x, {"_runs": runs(F.col("_text"))})).select("_target", F.explode_outer(_grams(F.col("_runs"))).alias("_gram"))
+    found = both.select("_target", F.col("_text")).transform(lambda x: _computed(x, {"_hashes": _hashes(runs(F.col("_text")))})).select("_target", F.explode_outer(_grams(F.col("_hashes"))).alias("_gram"))
     cell = F.pmod("_gram", F.lit(n)).cast("int").alias("c")
     rows = found.groupBy(cell).agg(F.count("_target"), F.count(F.lit(1))).where("c is not null").collect()
     logs = []
@@ -178,17 +182,17 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n: i
     packed = F.split(F.lit(",".join(f"{x!r}" for x in table)), ",").cast("array<double>")  # folded to one literal
     ratio = lambda gram: F.get(packed, F.pmod(gram, F.lit(n)).cast("int"))
 
-    def step(a: Column, w: Column) -> Column:
-        pair = F.when(a["before"].isNull(), F.lit(0.0)).otherwise(ratio(F.xxhash64(a["before"], w)))
-        return F.struct(w.alias("before"), (a["sum"] + ratio(F.xxhash64(w)) + pair).alias("sum"))
+    def step(a: Column, h: Column) -> Column:
+        pair = F.when(a["before"].isNull(), F.lit(0.0)).otherwise(ratio(F.xxhash64(a["before"], h)))
+        return F.struct(h.alias("before"), (a["sum"] + ratio(h) + pair).alias("sum"))
 
-    start = F.struct(F.lit(None).cast("string").alias("before"), F.lit(0.0).alias("sum"))
-    mean = lambda ws: F.when(F.size(ws) > 0, F.aggregate(ws, start, step, lambda a: a["sum"]) / (2 * F.size(ws) - 1)).otherwise(F.lit(0.0))
+    start = F.struct(F.lit(None).cast("long").alias("before"), F.lit(0.0).alias("sum"))
+    mean = lambda hs: F.when(F.size(hs) > 0, F.aggregate(hs, start, step, lambda a: a["sum"]) / (2 * F.size(hs) - 1)).otherwise(F.lit(0.0))
     worst = lambda ws: F.exists(ws, lambda w: _word(w).isin(marks)) if marks else F.lit(False)
     out = docs.drop(*(c for c in docs.columns if c.lower() in (*COUNTS, "base_failed", "toxic", "score", "kept")))
-    names, found = out.columns, fresh(out, "runs")
-    out = _computed(out, {found: runs(F.col(text_col))})
-    out = out.select(*names, worst(F.col(found)).alias("toxic"), mean(F.col(found)).alias("score"))
+    names, found, hashed = out.columns, fresh(out, "runs"), fresh(out, "hashes")
+    out = _computed(_computed(out, {found: runs(F.col(text_col))}), {hashed: _hashes(F.col(found))})
+    out = out.select(*names, worst(F.col(found)).alias("toxic"), mean(F.col(hashed)).alias("score"))
     out = with_counts(out, text_col).select(*names, *COUNTS, "toxic", "score")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)

@@ -32,7 +32,8 @@ def signed(h):
 def cells(t, n=N):
     runs = re.findall(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]+", t or "")
     one = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in runs]
-    two = [xxhash.xxh64(b.encode(), seed=one[i]).intdigest() for i, b in enumerate(runs[1:])]
+    raw = lambda h: h.to_bytes(8, "little")
+    two = [xxhash.xxh64(raw(b), seed=xxhash.xxh64(raw(a), seed=42).intdigest()).intdigest() for a, b in zip(one, one[1:])]
     return [signed(h) % n for h in one + two]
 
 
