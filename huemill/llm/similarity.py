@@ -60,7 +60,7 @@ LEVELS = 4
 #: Documents of one cell compared at a time with each other, or with as many others.
 BLOCK = 2048
 #: Bytes of text in one slab, where sets are exchanged and where cells are counted.
-SLAB, COUNTED = 6 << 20, 16 << 20
+SLAB, COUNTED = 6 << 20, 6 << 20
 _u64 = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
