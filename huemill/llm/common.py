@@ -17,7 +17,11 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huemill.llm import decontaminate, packing, passage_dedup, pii, pseudo_likelihood, quality, sharding, similarity, suffix_dedup, token_counts
+from huemill.llm import decontaminate, fill_in_middle, packing, passage_dedup, pii, pseudo_likelihood, quality, sharding, similarity, suffix_dedup, token_counts, vector_codes
 from huemill.session import reachable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,8 +67,17 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.groups(_documents(spark, sf_dir), size=5, percent=75)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.transform(_documents(spark, sf_dir), plain_percent=10, spm_percent=20, seed=1))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vector_codes.compress(vectors, parts=16, entries=64, rounds=2).drop("label")
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_sharding, op5_decontamination, op6_pii, op7_packing, op8_lm_scoring, op9_quality_rules, op10_ngram_jaccard_join)
+    found = (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_sharding, op5_decontamination, op6_pii, op7_packing, op8_lm_scoring, op9_quality_rules, op10_ngram_jaccard_join, op11_fill_in_middle, op13_vector_codes)
     return {f.__name__: (lambda spark, sf_dir, f=f: f(reachable(spark), sf_dir)) for f in found}
 
 
@@ -128,5 +137,37 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM t LEFT JO
 """
 
 
+OP11_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS us FROM t),
+r AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (len(us) + 1) AS i, ('0x' || substr(h, 9, 8))::BIGINT % (len(us) + 1) AS j FROM u),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+             WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+      array_to_string(us[1:least(i, j)], '') AS p, array_to_string(us[least(i, j) + 1:greatest(i, j)], '') AS m, array_to_string(us[greatest(i, j) + 1:], '') AS s FROM r)
+SELECT doc_id, len(us)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM f
+"""
+
+
+def _codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """The codebooks and codes in plain joins and sums; distances of all parts to all entries are written out."""
+    nearest = """SELECT id, g, arg_min(e, d * {entries} + e) AS e, min(d) AS d FROM (SELECT x.id, x.g, b.e, sum((x.c - b.c) ** 2)::BIGINT AS d FROM x JOIN {book} b USING (g, k) GROUP BY 1, 2, 3) GROUP BY id, g"""
+    steps = [
+        "kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, * FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0)",
+        f"x AS MATERIALIZED (SELECT id, (p - 1) // (len(embedding) // {parts}) AS g, (p - 1) % (len(embedding) // {parts}) AS k, floor(256 * embedding[p]::DOUBLE)::BIGINT AS c FROM kept, unnest(generate_series(1, len(embedding))) AS s(p))",
+        f"b0 AS MATERIALIZED (SELECT g, id - 1 AS e, k, c FROM x WHERE id <= {entries})",
+    ]
+    for r in range(rounds):
+        near = nearest.format(entries=entries, book=f"b{r}")
+        means = f"SELECT g, e, k, sum(c)::BIGINT AS s, count(*) AS n FROM x JOIN ({near}) USING (id, g) GROUP BY g, e, k"
+        steps.append(f"b{r + 1} AS MATERIALIZED (SELECT g, e, k, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM b{r} LEFT JOIN ({means}) USING (g, e, k))")
+    steps.append(f"a AS MATERIALIZED ({nearest.format(entries=entries, book=f'b{rounds}')})")
+    steps.append("v AS (SELECT id, string_agg(lower(format('{:02x}', e)), '' ORDER BY g) AS code, sum(d)::BIGINT AS error FROM a GROUP BY id)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY g, e, k)) FROM b{rounds}) AS codebooks_sha256 FROM v JOIN kept USING (id)"
+
+
+OP13_SQL = _codes_sql(16, 64, 2)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+    return {"op11_fill_in_middle": OP11_SQL, "op13_vector_codes": OP13_SQL, "op2_suffix_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op10_ngram_jaccard_join": OP10_SQL}
