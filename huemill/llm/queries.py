@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huemill.llm import decontaminate, fill_in_middle, packing, passage_dedup, pii, pseudo_likelihood, quality, sharding, similarity, suffix_dedup, token_counts, vector_codes
+from huemill.llm import decontaminate, fill_in_middle, packing, passage_dedup, pii, pseudo_likelihood, quality, sharding, similarity, suffix_dedup, token_counts, toxicity, vector_codes
 from huemill.session import reachable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,13 +71,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digest(fill_in_middle.transform(_documents(spark, sf_dir), plain_percent=10, spm_percent=20, seed=1))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_terms", F.transform("evidence", lambda e: e["doc_id"]).alias("evidence"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return vector_codes.compress(vectors, parts=16, entries=64, rounds=2).drop("label")
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_sharding, op5_decontamination, op6_pii, op7_packing, op8_lm_scoring, op9_quality_rules, op10_ngram_jaccard_join, op11_fill_in_middle, op13_vector_codes)
+    found = (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_sharding, op5_decontamination, op6_pii, op7_packing, op8_lm_scoring, op9_quality_rules, op10_ngram_jaccard_join, op11_fill_in_middle, op12_toxicity, op13_vector_codes)
     return {f.__name__: (lambda spark, sf_dir, f=f: f(reachable(spark), sf_dir)) for f in found}
 
 
