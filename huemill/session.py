@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "6g") -> SparkSession:
@@ -31,3 +33,27 @@ def reachable(spark: SparkSession) -> SparkSession:
     if folder not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, folder])
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share (spark.checkpoint.dir)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        context.setCheckpointDir(folder)
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df once, in the shared folder: later reads, and reads after a lost executor, don't run it again."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df with the hint to broadcast it, if it has few rows; else as it is, to be joined by a shuffle. df should be cheap to count."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
