@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from huemill.names import fresh
+
 
 def gap_clusters(df: DataFrame, keys: list[str], order: list[str], value: str, tolerance: Column) -> DataFrame:
     """df with `cluster`: a value further than tolerance from the one before starts the next."""
@@ -136,9 +138,12 @@ def grid_intervals(lines: DataFrame, keys: list[str], at: str) -> DataFrame:
     return lines.select(*keys, F.col(at).alias("low"), F.lead(at).over(w).alias("high")).where("high is not null")
 
 
-def cell_text(blocks: DataFrame, cells: DataFrame, joiner: str = "") -> DataFrame:
-    """(page, cell_id, text): texts whose centre is in the cell, edges included, in reading order."""
-    met = blocks.join(cells, "page").where(F.col("cx").between(F.col("x0"), F.col("x1")) & F.col("cy").between(F.col("y0"), F.col("y1")))
+def cell_text(blocks: DataFrame, cells: DataFrame, joiner: str = "", band: float = 20.0) -> DataFrame:
+    """(page, cell_id, text): texts whose centre is in the cell, edges included, in reading order. Both meet by bands of y; cells of a table are better served by finishes.cells()."""
+    at = fresh("band", blocks, cells)
+    one = blocks.select("page", "block_id", "text", "cx", "cy", F.floor(F.col("cy") / band).alias(at))
+    two = cells.select("page", "cell_id", "x0", "x1", "y0", "y1", F.explode(_bands(F.col("y0"), F.col("y1"), band)).alias(at))
+    met = one.join(two, ["page", at]).where(F.col("cx").between(F.col("x0"), F.col("x1")) & F.col("cy").between(F.col("y0"), F.col("y1")))
     order = F.array_sort(F.collect_list(F.struct(F.bround("cy", 1).alias("y"), "cx", "block_id", "text")))
     return met.groupBy("page", "cell_id").agg(F.array_join(F.transform(order, lambda s: s["text"]), joiner).alias("text"))
 
