@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from huemill.llm import superkmers as sk
-from huemill.llm.common import NULL_ID, bytes_of, fresh, id_array, ids_of, partitions, ragged, shared_checkpoint, slices
+from huemill.llm.common import NULL_ID, bytes_of, fresh, id_array, ids_of, partitions, ragged, record_batches, shared_checkpoint, slices
 from huemill.llm.components import components
 from huemill.llm.passage_dedup import word_ranges
 from huemill.llm.superkmers import mixed, pack, unpack
@@ -61,6 +61,8 @@ LEVELS = 4
 BLOCK = 2048
 #: Bytes of text in one slab, where sets are exchanged and where cells are counted.
 SLAB, COUNTED = 6 << 20, 6 << 20
+#: Rows of texts, or of pairs of them, that go to a worker at a time.
+BATCH = 512
 _u64 = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -518,17 +520,20 @@ def link(docs: DataFrame, counts: DataFrame, size: int = SIZE, percent: int = PE
 
 def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """A row per row of docs: its id, its set's size, and the least id that links reach from it."""
-    counts = counted(docs, size, percent)
-    labels = link(docs, counts, size, percent)
+    with record_batches(docs.sparkSession, BATCH):
+        counts = counted(docs, size, percent)
+        labels = link(docs, counts, size, percent)
     sized = counts.where("cell is null").select("doc_id", "n_shingles")
     return sized.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """docs without the documents whose group has one with a smaller id; of equal rows with one id and text one stays."""
-    counts = counted(docs, size, percent)
     node = fresh(docs, "node")
-    later = link(docs, counts, size, percent).where("node <> component").select(F.col("node").alias(node))
+    with record_batches(docs.sparkSession, BATCH):
+        counts = counted(docs, size, percent)
+        labels = link(docs, counts, size, percent)
+    later = labels.where("node <> component").select(F.col("node").alias(node))
     kept = docs.join(later, F.col("doc_id") == F.col(node), "left_anti")
     # only ids with several rows need a look at their texts
     several = counts.where("cell is null").groupBy(F.col("doc_id").alias(node)).count().where("count > 1").select(node)
