@@ -173,7 +173,7 @@ def code_search(spark, sf_dir):
 
 @register("upper_median_by_group", "SELECT l_partkey, quantile_disc(l_quantity, 0.5 ORDER BY l_quantity DESC) AS m FROM lineitem GROUP BY l_partkey")
 def upper_median_by_group(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(consensus.upper_median("l_quantity").alias("m"))
+    return consensus.medians(table(spark, sf_dir, "lineitem"), ["l_partkey"], ["l_quantity"]).select("l_partkey", F.col("l_quantity_median").alias("m"))
 
 
 MEDIAN3 = "med AS (SELECT l_partkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS q, list_sort(list(l_discount))[count(*) // 2 + 1] AS d, list_sort(list(l_tax))[count(*) // 2 + 1] AS t FROM lineitem GROUP BY l_partkey), far AS (SELECT l.*, round(abs(l_quantity - q) + abs(l_discount - d) + abs(l_tax - t), 9) AS distance FROM lineitem l JOIN med USING (l_partkey))"
