@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +31,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@contextmanager
-def record_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs that run within exchange batches of so many rows with Python workers, as both sides hold whole batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """The name, with as many underscores before it as tell it from all columns of df."""
     taken = {c.lower() for c in df.columns}
