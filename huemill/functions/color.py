@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from huemill.names import fresh
+
 # Hue families with their upper bounds in degrees (the first one also starts at 345).
 FAMILIES = [("レッド", 10), ("オレンジ", 45), ("イエロー", 70), ("グリーン", 160), ("ブルー", 250), ("パープル", 290), ("ピンク", 345), ("レッド", 361)]
 ACHROMATIC = {"light": "ホワイト", "dark": "ブラック", "middle": "グレー"}
@@ -67,6 +71,27 @@ def oklab(r: Column, g: Column, b: Column) -> Column:
     return F.struct(*(c.alias(n) for c, n in zip(lab, "Lab", strict=True)))
 
 
+def with_lab(df: DataFrame, hex_color: str = "hex") -> DataFrame:
+    """df with L, a and b of a #rrggbb column, for an index. Each step is a column of its own."""
+    names = [c for c in df.columns if c not in ("L", "a", "b")]
+    rgb, lin, lms = fresh("rgb", df), [fresh(f"linear_{c}", df) for c in "rgb"], [fresh(f"cone_{c}", df) for c in "lms"]
+    out = df.withColumn(rgb, F.conv(F.ltrim(hex_color, F.lit("#")), 16, 10).cast("int"))
+    out = out.withColumns({n: F.shiftright(rgb, shift).bitwiseAND(F.lit(255)).cast("double") / 255 for n, shift in zip(lin, (16, 8, 0), strict=True)})
+    out = out.withColumns({n: F.when(F.col(n) <= 0.04045, F.col(n) / 12.92).otherwise(F.pow((F.col(n) + 0.055) / 1.055, 2.4)) for n in lin})
+    weighed = lambda row, columns: row[0] * F.col(columns[0]) + row[1] * F.col(columns[1]) + row[2] * F.col(columns[2])
+    out = out.withColumns({n: F.cbrt(weighed(row, lin)) for n, row in zip(lms, TO_LMS, strict=True)})
+    return out.select(*names, *(weighed(row, lms).alias(n) for n, row in zip("Lab", TO_LAB, strict=True)))
+
+
+def lab_of(hex_color: str) -> tuple[float, float, float]:
+    """L, a and b of one colour."""
+    n = int(hex_color.lstrip("#")[:6], 16)
+    rgb = [(n >> shift & 255) / 255 for shift in (16, 8, 0)]
+    lin = [x / 12.92 if x <= 0.04045 else ((x + 0.055) / 1.055) ** 2.4 for x in rgb]
+    lms = [math.cbrt(sum(k * x for k, x in zip(row, lin, strict=True))) for row in TO_LMS]
+    return tuple(sum(k * x for k, x in zip(row, lms, strict=True)) for row in TO_LAB)
+
+
 def oklab_distance(x: Column, y: Column) -> Column:
     parts = [(x[k] - y[k]) * (x[k] - y[k]) for k in "Lab"]
     return F.sqrt(parts[0] + parts[1] + parts[2])

@@ -109,7 +109,7 @@ def split_codes(raw: Column) -> Column:
     head = F.translate(F.substring_index(raw, "※", 1), "，、．", ",,,")
     tokens = F.filter(F.transform(F.split(F.regexp_replace(head, r"[.\s]+", ","), ","), lambda t: F.regexp_replace(F.upper(F.trim(t)), r"(?<=[0-9])O", "0")), lambda t: t != "")
     widths = F.transform(F.filter(tokens, lambda t: t.rlike(CODE)), digit_width)
-    judged = F.transform(tokens, lambda t: F.struct(t.alias("t"), t.rlike(CODE).alias("ok"), unglue(t, widths).alias("pair")))
+    judged = F.transform(tokens, lambda t: F.struct(t.alias("t"), t.rlike(CODE).alias("ok"), F.when(~t.rlike(CODE), unglue(t, widths)).alias("pair")))
     codes = F.flatten(F.transform(judged, lambda j: F.when(j["ok"], F.array(j["t"])).otherwise(F.coalesce(j["pair"], F.array().cast("array<string>")))))
     note = lambda j: F.when(j["pair"].isNull(), j["t"]).otherwise(F.concat(j["t"], F.lit("→"), F.array_join(j["pair"], ",")))
     return F.struct(codes.alias("codes"), F.transform(F.filter(judged, lambda j: ~j["ok"]), note).alias("rejected"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from huemill.names import fresh
 from huemill.operators import raster
+from huemill.session import materialised
 
 # -- layout --------------------------------------------------------------------------------------
 
@@ -36,10 +38,10 @@ def regions(labels: DataFrame, margin: Column) -> DataFrame:
 def chosen_layout(embedded: DataFrame, derived: DataFrame, page: str = "page") -> DataFrame:
     """Of each page the embedded rectangles, if they are no fewer than the derived ones, else the derived ones."""
     n = lambda df, c: df.groupBy(page).agg(F.count("*").alias(c))
-    both = n(embedded, "_e").join(n(derived, "_d"), page, "full")
-    use = both.select(page, (F.coalesce("_e", F.lit(0)) >= F.coalesce("_d", F.lit(0))).alias("_use"))
+    both = n(embedded, "n_embedded").join(n(derived, "n_derived"), page, "full")
+    use = both.select(page, (F.coalesce("n_embedded", F.lit(0)) >= F.coalesce("n_derived", F.lit(0))).alias("use"))
     pick = lambda df, cond: df.join(use.where(cond).select(page), page, "left_semi")
-    return pick(embedded, "_use").unionByName(pick(derived, "not _use"))
+    return pick(embedded, "use").unionByName(pick(derived, "not use"))
 
 
 def orphan_groups(tokens: DataFrame, page: str = "page", x: str = "x", y: str = "cy", last: str = "token_id") -> DataFrame:
@@ -47,7 +49,8 @@ def orphan_groups(tokens: DataFrame, page: str = "page", x: str = "x", y: str =
     w = Window.partitionBy(page).orderBy(F.rint(F.col(x) / 30), y, last)
     down = F.col(y) - F.lag(y).over(w)
     joins = (F.abs(F.col(x) - F.lag(x).over(w)) < 34) & (down >= 0) & (down < 22)
-    return tokens.withColumn("_new", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("group", F.sum("_new").over(w)).drop("_new")
+    opens = fresh("opens", tokens)
+    return tokens.withColumn(opens, (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("group", F.sum(opens).over(w)).drop(opens)
 
 
 def probes(groups: DataFrame) -> DataFrame:
@@ -87,14 +90,11 @@ def trim(pixels: DataFrame, rects: DataFrame, pad: float = 0.6, img: str = "img"
     """(img, x0, y0, x1, y1): each image's rectangle tightened to its artwork, padded, within the rectangle; images without any are absent.
 
     The ground is the most frequent bin of colours; the artwork is the largest blob of pixels that are far from it, without the
-    rules at its edges. One image's mask is held at a time.
+    rules at its edges. No image is gathered anywhere.
     """
     size = pixels.groupBy(img).agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height")).where("width >= 3 and height >= 3")
-    art = raster.foreground(pixels, raster.background(pixels, img), img).select(img, "x", "y")
-    flagged = pixels.select(img, "y", "x").join(art.withColumn("lit", F.lit(True)), [img, "x", "y"], "left")
-    in_order = F.array_sort(F.collect_list(F.struct("y", "x", F.coalesce("lit", F.lit(False)).alias("lit"))))
-    masks = flagged.groupBy(img).agg(F.transform(in_order, lambda p: p["lit"]).alias("mask")).join(size, img)
-    boxes = raster.blob_bounds(masks, img, pool)
+    art = materialised(raster.foreground(pixels, raster.background(pixels, img), img).select(img, "x", "y"))
+    boxes = materialised(raster.blob_boxes(art, size, img, pool))
     box = boxes.select(img, *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
     inside = F.col("x").between(F.col("bx0"), F.col("bx1") - 1) & F.col("y").between(F.col("by0"), F.col("by1") - 1)
     counts = art.join(box, img).where(inside).groupBy(img, "x").agg(F.count("*").alias("n"))

@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huemill.functions import color
+from huemill.operators.audit import bounded_list
+from huemill.session import broadcast_if_small, materialised
 
 PAGE, PICKED_PAGE = 240, 120
+#: Keys of a class of siblings that are listed.
+SIBLINGS = 1_000
 KEY = r"^([A-Z]*)([0-9]+)([A-Z]*)$"
 INDEX_COLUMNS = {"key": "k", "number": "n", "suffix": "s", "hex": "hex", "hue": "hue", "sat": "sat", "val": "val", "family": "fam", "finishes": "f", "bead_types": "b", "styles": "y", "swatch": "sw", "source": "src", "words": "w", "recycled": "rg", "matte": "matte", "unverified": "unverified"}
 
@@ -48,11 +52,12 @@ class SearchSpec:
         return sum(map(len, self.facets.values())) + self.matte_only + self.recycled_only + (self.picked is not None)
 
 
-def color_index(colors: DataFrame) -> DataFrame:
-    """The pruned view that searches read; absent word lists are empty."""
+def color_index(colors: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """The pruned view that searches read, with L, a and b of its colours, and more columns of one's own; absent word lists are empty."""
     out = [F.col(a).alias(b) for a, b in INDEX_COLUMNS.items() if a in colors.columns]
-    view = colors.select(*out)
-    return view.withColumn("w", F.coalesce("w", F.array().cast("array<string>"))) if "w" in view.columns else view
+    view = colors.select(*out, *more)
+    view = view.withColumn("w", F.coalesce("w", F.array().cast("array<string>"))) if "w" in view.columns else view
+    return color.with_lab(view) if "hex" in view.columns else view
 
 
 def normalised(query: str) -> str:
@@ -100,16 +105,63 @@ def predicate(spec: SearchSpec, codes: str | None = None) -> Column:
 
 
 def ordering(spec: SearchSpec, position: str = "k") -> list[Column]:
+    """What a page is sorted by; with a picked colour the index has L, a and b."""
     if spec.picked:
-        c = lambda h: color.oklab(*(color.rgb_of(h)[x] for x in "rgb"))
-        return [F.round(color.oklab_distance(c(F.lit(spec.picked)), c(F.col("hex"))), 9), F.col(position)]
+        away = [F.col(c) - F.lit(x) for c, x in zip("Lab", color.lab_of(spec.picked), strict=True)]
+        return [F.round(F.sqrt(away[0] * away[0] + away[1] * away[1] + away[2] * away[2]), 9), F.col(position)]
     by = {"hue": [F.col("hue"), F.desc("sat")], "light": [F.desc("val")], "number": [F.col("n"), F.col("s")]}
     return [*by[spec.sort], F.col(position)]
 
 
 def search(index: DataFrame, spec: SearchSpec, position: str = "k", codes: str | None = None) -> DataFrame:
-    """One page: a filter, then the first rows in order without a full sort."""
-    return index.where(predicate(spec, codes)).orderBy(*ordering(spec, position)).limit(spec.limit)
+    """One page: a filter, then the first rows in order without a full sort. With a picked colour there is a column distance, by which it is sorted."""
+    found = index.where(predicate(spec, codes))
+    if not spec.picked:
+        return found.orderBy(*ordering(spec, position)).limit(spec.limit)
+    found = found if "L" in found.columns else color.with_lab(found)
+    names = [c for c in index.columns if c != "distance"]
+    return found.select(*names, ordering(spec, position)[0].alias("distance")).orderBy("distance", position).limit(spec.limit)
+
+
+# -- containment by an index of grams --------------------------------------------------------------
+
+#: Characters of a gram.
+GRAM = 3
+
+
+def grams(text: Column, size: int = GRAM) -> Column:
+    """Distinct runs of size characters of an upper-cased text; of a shorter text the whole."""
+    t = F.upper(text)
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - size + 1))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(t, i, F.lit(size))))
+
+
+def gram_index(rows: DataFrame, key: str, texts: list[str], size: int = GRAM) -> DataFrame:
+    """(gram, key) of all texts (string or array columns) of each row, once each, by gram: written so, a search reads the files of its grams alone."""
+    parts = [F.flatten(F.transform(c, lambda t: grams(t, size))) if rows.schema[c].dataType.typeName() == "array" else grams(F.col(c), size) for c in texts]
+    each = F.array_distinct(F.concat(*(F.coalesce(p, F.array().cast("array<string>")) for p in parts)))
+    return rows.select(key, F.explode(each).alias("gram")).repartitionByRange("gram").sortWithinPartitions("gram", key)
+
+
+def containing(index: DataFrame, key: str, query: str, size: int = GRAM) -> DataFrame:
+    """(key): rows that have all grams of an upper-cased query in their texts. All that hold the query are among them; a look at the texts has to follow.
+
+    A query shorter than a gram goes by the grams that begin with it, hold it, or are short texts: all of the index's grams that contain it.
+    """
+    if len(query) < size:
+        return index.where(F.col("gram").contains(query)).select(key).distinct()
+    wanted = sorted({query[i : i + size] for i in range(len(query) - size + 1)})
+    met = index.where(F.col("gram").isin(wanted)).groupBy(key).agg(F.count("*").alias("n"))
+    return met.where(F.col("n") == len(wanted)).select(key)
+
+
+def text_search(rows: DataFrame, index: DataFrame, key: str, texts: list[str], query: str) -> DataFrame:
+    """Rows one of whose texts holds the query, upper-cased; only rows that the index names are looked at."""
+    q = normalised(query)
+    found = F.lit(False)
+    for c in texts:
+        found = found | F.coalesce(holds(F.col(c), q) if rows.schema[c].dataType.typeName() == "array" else F.upper(c).contains(q), F.lit(False))
+    return rows.join(broadcast_if_small(containing(index, key, q)), key, "left_semi").where(found)
 
 
 #: About the volume of the sRGB gamut in OKLab.
@@ -128,8 +180,8 @@ def nearest_colors(queries: DataFrame, colors: DataFrame, n: int, key: str = "k"
     lab = lambda df: df.withColumn("lab", color.oklab(*map(F.col, rgb)))
     least = Window.partitionBy(*rgb).orderBy("near")
     keys = colors.select(*rgb, F.col(key).alias("near")).withColumn("i", F.row_number().over(least)).where(F.col("i") <= n + 1)
-    points = lab(keys.groupBy(*rgb).agg(F.sort_array(F.collect_list("near")).alias("keys"))).select("lab", "keys").persist()
-    open_ = lab(queries.select(*rgb).distinct()).persist()
+    points = materialised(lab(keys.groupBy(*rgb).agg(F.sort_array(F.collect_list("near")).alias("keys"))).select("lab", "keys"))
+    open_ = materialised(lab(queries.select(*rgb).distinct()))
     width, rounds = min(2.0, (2 * n * GAMUT / (4.19 * max(1, points.count()))) ** (1 / 3)), []
     while True:
         cell = lambda x, w=width: F.floor(F.col("lab")[x] / w)
@@ -145,10 +197,10 @@ def nearest_colors(queries: DataFrame, colors: DataFrame, n: int, key: str = "k"
         lists = near.groupBy(*rgb).agg(F.slice(F.array_sort(each), 1, n + 1).alias("list"), F.count("*").alias("m"), F.max("distance").alias("far"))
         last = width >= 2.0
         sure = (F.col("m") > n) & (F.col("far") < width - 1e-6)
-        lists = (lists if last else lists.where(sure)).select(*rgb, "list").persist()
+        lists = materialised((lists if last else lists.where(sure)).select(*rgb, "list"))
         rounds.append(lists)
         if not last:
-            open_ = open_.join(lists, rgb, "left_anti").persist()
+            open_ = materialised(open_.join(lists, rgb, "left_anti"))
         if last or open_.isEmpty():
             break
         width = min(2.0, 2 * width)
@@ -160,10 +212,15 @@ def nearest_colors(queries: DataFrame, colors: DataFrame, n: int, key: str = "k"
     return asked.select(key, F.posexplode(others).alias("rank", "x")).select(key, "x.near", (F.col("rank") + 1).alias("rank"), "x.distance")
 
 
+def tone_classes(colors: DataFrame, key: str = "k", number: str = "n") -> DataFrame:
+    """(number, keys, n): the keys of each number, once, in order; of a number with more than SIBLINGS keys the least, and how many there are."""
+    return bounded_list(colors.select(number, key).distinct(), [number], key, SIBLINGS, "keys")
+
+
 def tone_siblings(colors: DataFrame, key: str = "k", number: str = "n") -> DataFrame:
-    """(key, sibling): other keys with the same number."""
-    other = colors.select(F.col(number), F.col(key).alias("sibling"))
-    return colors.select(number, key).join(other, number).where(F.col(key) != F.col("sibling")).select(key, "sibling")
+    """(key, number, others): each key and the number of its siblings. The siblings are the keys of its class but itself; classes aren't expanded into pairs."""
+    n = colors.groupBy(number).agg(F.countDistinct(key).alias("others"))
+    return colors.select(key, number).distinct().join(n, number).select(key, number, (F.col("others") - 1).alias("others"))
 
 
 def hue_bands(colors: DataFrame, n: int, usable: Column, position: str = "k") -> DataFrame:

@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huemill.names import fresh
+from huemill.operators.selection import joined
+from huemill.session import materialised
 
 
 def gap_clusters(df: DataFrame, keys: list[str], order: list[str], value: str, tolerance: Column) -> DataFrame:
     """df with `cluster`: a value further than tolerance from the one before starts the next."""
     w = Window.partitionBy(*keys).orderBy(*order)
     new = F.coalesce(F.col(value) - F.lag(value).over(w) > tolerance, F.lit(True))
-    return df.withColumn("_new", new.cast("int")).withColumn("cluster", F.sum("_new").over(w)).drop("_new")
+    opens = fresh("opens", df)
+    return df.withColumn(opens, new.cast("int")).withColumn("cluster", F.sum(opens).over(w)).drop(opens)
 
 
 def column_edges(df: DataFrame, page: str, x: str, tolerance: Column, fewest: int = 2) -> DataFrame:
@@ -32,7 +35,8 @@ def islands(df: DataFrame, keys: list[str], order: list[str], same: str, also: C
     joins = F.col(same).eqNullSafe(F.lag(same).over(w)) & (F.row_number().over(w) > 1)
     if also is not None:
         joins = joins & F.coalesce(also, F.lit(False))
-    return df.withColumn("_new", (~joins).cast("int")).withColumn("island", F.sum("_new").over(w)).drop("_new")
+    opens = fresh("opens", df)
+    return df.withColumn(opens, (~joins).cast("int")).withColumn("island", F.sum(opens).over(w)).drop(opens)
 
 
 def ceilings(df: DataFrame, keys: list[str], island: str, top: str, bottom: str, gap: float = 2.0) -> DataFrame:
@@ -49,10 +53,28 @@ def line_fold(values: Column, tolerance: float) -> Column:
 
 
 def lines_of(df: DataFrame, keys: list[str], y: str, tolerance: float = 4.5) -> DataFrame:
-    """df with `line`: the anchor of its line, by the fold over its group's values in order."""
-    anchors = df.groupBy(*keys).agg(line_fold(F.array_sort(F.collect_list(F.col(y).cast("double"))), tolerance).alias("_anchors"))
-    at = F.array_max(F.filter("_anchors", lambda a: a <= F.col(y)))
-    return df.join(anchors, keys).withColumn("line", at).drop("_anchors")
+    """df with `line`: the anchor of its line, as line_fold has it; null where y is.
+
+    Each value points to the first that is too far from it, which would open the next line. The lines of a group are the values
+    that pointers reach from its least; these are found by doubling: with the pointers of 1, 2, 4 ... steps the known anchors
+    give as many again, so that there are as many rounds as the longest chain has binary digits. A row's line is the last anchor before it.
+    """
+    places = materialised(df.select(*keys, F.col(y).cast("double").alias("at")).where("at IS NOT NULL").distinct())
+    order = Window.partitionBy(*keys).orderBy("at")
+    after = places.select(*keys, F.col("at").alias("to"), F.lead("at").over(order).alias("then"))
+    # what is found is at most a rounding error too near, and then the next value is the one
+    found = asof(places, after.select(*keys, "to"), keys, "at", "to", forward=True, gap=tolerance * (1 - 1e-12))
+    met = joined(found.where("to IS NOT NULL"), after, [*keys, "to"])
+    jump = materialised(met.select(*keys, "at", F.when(F.col("to") - F.col("at") > tolerance, F.col("to")).otherwise(F.col("then")).alias("to")).where("to IS NOT NULL"))
+    anchors = materialised(places.groupBy(*keys).agg(F.min("at").alias("at")))
+    while True:
+        more = materialised(joined(anchors, jump, [*keys, "at"]).select(*keys, F.col("to").alias("at")))
+        if more.isEmpty():
+            break
+        anchors = materialised(anchors.unionByName(more))
+        beyond = jump.select(*keys, F.col("at").alias("to"), F.col("to").alias("far"))
+        jump = materialised(joined(jump, beyond, [*keys, "to"]).select(*keys, "at", F.col("far").alias("to")))
+    return asof(df, anchors.withColumnRenamed("at", "line"), keys, y, "line")
 
 
 def box_distance(ax0: Column, ax1: Column, ay0: Column, ay1: Column, bx0: Column, bx1: Column, by0: Column, by1: Column, weight: float) -> Column:
@@ -73,9 +95,10 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], left_id: str, righ
     left_at and right_at are the bounds of both on one axis, which must be less than reach apart where the distance is less than
     below. Rows meet by bands of that axis, not by the whole group; a pair that shares several is weighed again.
     """
-    one = left.withColumn("_band", F.explode(_bands(*left_at, reach)))
-    two = right.withColumn("_band", F.explode(_bands(right_at[0] - reach, right_at[1] + reach, reach)))
-    pairs = one.join(two, [*on, "_band"]).where(within).withColumn("distance", distance).where(F.col("distance") < below)
+    at = fresh("band", left, right)
+    one = left.withColumn(at, F.explode(_bands(*left_at, reach)))
+    two = right.withColumn(at, F.explode(_bands(right_at[0] - reach, right_at[1] + reach, reach)))
+    pairs = one.join(two, [*on, at]).where(within).withColumn("distance", distance).where(F.col("distance") < below)
     best = pairs.groupBy(*on, left_id).agg(F.min_by(F.struct(right_id, "distance"), F.struct("distance", right_id)).alias("best"))
     return best.select(*on, left_id, "best.*")
 
@@ -109,10 +132,11 @@ def overlap_fraction(rects: DataFrame, blocks: DataFrame, band: float = 50.0) ->
     h = F.greatest(F.lit(0.0), F.least("y1", "by1") - F.greatest("y0", "by0"))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     other = ~F.col("block_id").eqNullSafe(F.col("label_id"))
-    one = rects.withColumn("_band", F.explode(_bands(F.col("x0"), F.col("x1"), band)))
-    two = blocks.withColumn("_band", F.explode(_bands(F.col("bx0"), F.col("bx1"), band)))
-    first = F.col("_band") == F.floor(F.greatest("x0", "bx0") / band)
-    met = one.join(two, ["page", "_band"]).where(first & other & (w * h > 0)).groupBy("page", "rect_id").agg(F.sum(w * h / area).alias("s"))
+    at = fresh("band", rects, blocks)
+    one = rects.withColumn(at, F.explode(_bands(F.col("x0"), F.col("x1"), band)))
+    two = blocks.withColumn(at, F.explode(_bands(F.col("bx0"), F.col("bx1"), band)))
+    first = F.col(at) == F.floor(F.greatest("x0", "bx0") / band)
+    met = one.join(two, ["page", at]).where(first & other & (w * h > 0)).groupBy("page", "rect_id").agg(F.sum(w * h / area).alias("s"))
     return rects.join(met, ["page", "rect_id"], "left").select("page", "rect_id", F.least(F.lit(1.0), F.coalesce("s", F.lit(0.0))).alias("overlap"))
 
 
@@ -122,13 +146,16 @@ def asof(left: DataFrame, right: DataFrame, on: list[str], x: str, edge: str, re
     Both sides are one sorted run of places per group, and each row takes the last edge before it: no pairs are made.
     """
     names, kind = left.columns, right.schema[edge].dataType
-    rows = left.select(*names, (F.col(x) + gap).alias("_at"), F.lit(None).cast(kind).alias("_edge"))
-    marks = right.select(*on, edge).distinct().select(*on, *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names if c not in on), F.col(edge).alias("_at"), F.col(edge).alias("_edge"))
+    at, mark, met_at = (fresh(c, left, right) for c in ("at", "mark", "found"))
+    rows = left.select(*names, (F.col(x) + gap).alias(at), F.lit(None).cast(kind).alias(mark))
+    marks = right.where(F.col(edge).isNotNull()).select(*on, edge).distinct().select(*on, *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names if c not in on), F.col(edge).alias(at), F.col(edge).alias(mark))
     both = rows.unionByName(marks.select(*rows.columns))
-    is_row = F.col("_edge").isNull().cast("int")  # at the same place an edge comes first, as it is not after the row
-    w = Window.partitionBy(*on).orderBy(*((F.desc("_at"), F.desc(is_row)) if forward else (F.asc("_at"), F.asc(is_row)))).rowsBetween(Window.unboundedPreceding, 0)
-    met = both.withColumn("_found", F.last("_edge", ignorenulls=True).over(w)).where("_edge is null")
-    found = F.col("_found") if reach is None else F.when(F.abs(F.col("_found") - F.col(x)) <= reach, F.col("_found"))
+    is_row = F.col(mark).isNull().cast("int")  # at the same place an edge comes first, as it is not after the row
+    w = Window.partitionBy(*on).orderBy(*((F.desc(at), F.desc(is_row)) if forward else (F.asc(at), F.asc(is_row)))).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn(met_at, F.last(mark, ignorenulls=True).over(w)).where(F.col(mark).isNull())
+    if forward:  # nulls come last in a falling order
+        met = met.withColumn(met_at, F.when(F.col(at).isNotNull(), F.col(met_at)))
+    found = F.col(met_at) if reach is None else F.when(F.abs(F.col(met_at) - F.col(x)) <= reach, F.col(met_at))
     return met.select(*names, found.alias(edge))
 
 
@@ -151,10 +178,11 @@ def cell_text(blocks: DataFrame, cells: DataFrame, joiner: str = "", band: float
 def shared_price(df: DataFrame, keys: list[str], price: str, code: str) -> DataFrame:
     """Where a group has one bare price and bare codes, the price goes to the codes and its row goes."""
     bare_price, bare_code = F.col(price).isNotNull() & F.col(code).isNull(), F.col(code).isNotNull() & F.col(price).isNull()
-    facts = df.groupBy(*keys).agg(F.count_if(bare_price).alias("_p"), F.count_if(bare_code).alias("_c"), F.max(F.when(bare_price, F.col(price))).alias("_price"))
-    folds = (F.col("_p") == 1) & (F.col("_c") > 0)
+    prices, codes, shared = (fresh(c, df) for c in ("prices", "codes", "shared"))
+    facts = df.groupBy(*keys).agg(F.count_if(bare_price).alias(prices), F.count_if(bare_code).alias(codes), F.max(F.when(bare_price, F.col(price))).alias(shared))
+    folds = (F.col(prices) == 1) & (F.col(codes) > 0)
     met = df.join(facts, keys).where(~(folds & bare_price))
-    return met.withColumn(price, F.when(folds & bare_code, F.col("_price")).otherwise(F.col(price))).drop("_p", "_c", "_price")
+    return met.withColumn(price, F.when(folds & bare_code, F.col(shared)).otherwise(F.col(price))).drop(prices, codes, shared)
 
 
 def ordinal_names(df: DataFrame, keys: list[str], stem: str, order: list[str]) -> DataFrame:
@@ -165,6 +193,6 @@ def ordinal_names(df: DataFrame, keys: list[str], stem: str, order: list[str]) -
 
 def first_of_near(df: DataFrame, keys: list[str], near: dict[str, float], order: list[str]) -> DataFrame:
     """Of rows whose values round (half-even) to the same multiple the first in order."""
-    cells = [F.rint(F.col(c) / step).alias(f"_{c}") for c, step in near.items()]
+    cells = [F.rint(F.col(c) / step).alias(fresh(f"near_{c}", df)) for c, step in near.items()]
     best = df.groupBy(*keys, *cells).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(*order)).alias("best"))
     return best.select(*keys, "best.*")

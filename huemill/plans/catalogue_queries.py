@@ -11,6 +11,7 @@ from huemill import sources
 from huemill.functions import color, labels, text
 from huemill.operators import audit, consensus, merge, raster, search, spatial
 from huemill.plans.registry import register
+from huemill.session import materialised, shared_folder
 from huemill.sources import sinks
 
 PICKED = "#3c78b4"
@@ -74,7 +75,7 @@ def nearest_to_picked(spark, sf_dir):
     rgb = part_rgb(spark, sf_dir)
     index = rgb.select("p_partkey", color.hex_of(*map(F.col, "rgb")).alias("hex"))
     spec = replace(search.SearchSpec().picking(PICKED), limit=10)
-    return search.search(index, spec, position="p_partkey").select("p_partkey", search.ordering(spec)[0].alias("distance"))
+    return search.search(index, spec, position="p_partkey").select("p_partkey", "distance")
 
 
 @register("nearest_self_topk", f"""WITH {LAB_SQL}
@@ -144,20 +145,37 @@ def contains_search(spark, sf_dir):
     return part_keys(spark, sf_dir).where(search.matches_key(F.col("k"), search.normalised("pf"))).select("p_partkey", "k")
 
 
-@register("tone_siblings", f"WITH {KEYS_SQL} SELECT a.p_partkey AS k, b.p_partkey AS sibling FROM keys a JOIN keys b ON a.p_size = b.p_size AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey")
+@register("tone_siblings", f"WITH {KEYS_SQL} SELECT p_partkey AS k, concat_ws('/', p_size, p_brand) AS n, count(*) OVER (PARTITION BY p_size, p_brand) - 1 AS others FROM keys")
 def tone_siblings(spark, sf_dir):
-    p = part_keys(spark, sf_dir).select(F.col("p_partkey").alias("k"), F.struct("p_size", "p_brand").alias("n"))
+    """How many siblings each key has; tone_classes has their keys."""
+    p = part_keys(spark, sf_dir).select(F.col("p_partkey").alias("k"), F.concat_ws("/", "p_size", "p_brand").alias("n"))
     return search.tone_siblings(p)
 
 
+@register("tone_classes", f"WITH {KEYS_SQL} SELECT p_size AS n, array_to_string(list_sort(list(p_partkey))[:1000], ',') AS keys, count(*) AS size FROM keys GROUP BY p_size")
+def tone_classes(spark, sf_dir):
+    p = part_keys(spark, sf_dir).select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n"))
+    return search.tone_classes(p.withColumnRenamed("n", "number"), "k", "number").select(F.col("number").alias("n"), F.array_join("keys", ",").alias("keys"), F.col("n").alias("size"))
+
+
+@register("text_search", f"WITH {KEYS_SQL} SELECT k.p_partkey, k.k FROM keys k JOIN part p USING (p_partkey) WHERE contains(k.k, 'RING') OR len(list_filter(string_split(upper(p.p_name), ' '), lambda w: contains(w, 'RING'))) > 0 OR contains(upper(p.p_type), 'RING')")
+def text_search(spark, sf_dir):
+    """Keys, words and types that hold a text, through an index of grams in the shared folder."""
+    words = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("w"), F.col("p_type").alias("f"))
+    rows = part_keys(spark, sf_dir).select("p_partkey", "k").join(words, "p_partkey")
+    folder = shared_folder(spark)
+    search.gram_index(rows, "p_partkey", ["k", "w", "f"]).write.parquet(folder)
+    return search.text_search(rows, spark.read.parquet(folder), "p_partkey", ["k", "w", "f"], "ring").select("p_partkey", "k")
+
+
 @register("facet_search", f"""WITH {METRICS_SQL}, f AS (SELECT l_partkey, list_sort(list(DISTINCT l_returnflag)) AS f FROM lineitem GROUP BY l_partkey)
 SELECT p_partkey, family FROM metrics JOIN f ON p_partkey = l_partkey WHERE family IN ('ブルー', 'グリーン') AND p_size % 2 = 0 AND list_has_any(f, ['N', 'R']) AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22')""")
 def facet_search(spark, sf_dir):
     flags = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("f"))
     c = part_colors(spark, sf_dir).join(flags, F.col("p_partkey") == F.col("l_partkey"))
-    index = c.select("p_partkey", "family", F.col("family").alias("fam"), "f", F.array("p_brand").alias("b"), (F.col("p_size") % 2 == 0).alias("matte")).persist()  # the index is made once, and facets filter it
+    index = c.select("p_partkey", "family", F.col("family").alias("fam"), "f", F.array("p_brand").alias("b"), (F.col("p_size") % 2 == 0).alias("matte"))
     spec = search.SearchSpec(facets={"fam": frozenset({"ブルー", "グリーン"}), "f": frozenset("NR"), "b": frozenset({"Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22"})}, matte_only=True)
-    return index.where(search.predicate(spec)).select("p_partkey", "family")
+    return materialised(index).where(search.predicate(spec)).select("p_partkey", "family")  # the index is made once; a filter folded into its making would make the colours many times
 
 
 @register("code_search", "SELECT o_custkey, list_sort(list(printf('%06d', o_orderkey))) AS codes FROM orders GROUP BY o_custkey HAVING list_contains(list(printf('%06d', o_orderkey)), '000042') OR o_custkey = 42".replace("list_sort(list(printf('%06d', o_orderkey))) AS codes", "array_to_string(list_sort(list(printf('%06d', o_orderkey))), ' ') AS codes"))
@@ -360,6 +378,14 @@ def line_fold(spark, sf_dir):
     return e.select("user_id", F.size(spatial.line_fold(F.col("vs"), 4.5)).alias("lines"))
 
 
+@register("event_lines", """WITH v AS (SELECT user_id, list_sort(list(value)) AS vs FROM events GROUP BY user_id),
+a AS (SELECT user_id, list_reduce(list_prepend([vs[1]], list_transform(vs, lambda x: [x])), lambda a, x: CASE WHEN abs(x[1] - a[len(a)]) <= 4.5 THEN a ELSE list_append(a, x[1]) END) AS anchors FROM v)
+SELECT event_id, list_max(list_filter(anchors, lambda x: x <= value)) AS line FROM events JOIN a USING (user_id)""")
+def event_lines(spark, sf_dir):
+    """The line of each event, by pointers."""
+    return spatial.lines_of(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), ["user_id"], "value").select("event_id", "line")
+
+
 @register("shared_price_fold", """WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber = 1 OR l_linenumber = 4 THEN l_extendedprice END AS price, CASE WHEN l_linenumber <> 1 THEN l_partkey END AS code FROM lineitem),
 f AS (SELECT l_orderkey, count(*) FILTER (price IS NOT NULL AND code IS NULL) AS p, count(*) FILTER (code IS NOT NULL AND price IS NULL) AS c, max(price) FILTER (code IS NULL) AS shared FROM v GROUP BY l_orderkey)
 SELECT l_orderkey, count(*) AS n, count(CASE WHEN p = 1 AND c > 0 AND price IS NULL AND code IS NOT NULL THEN shared ELSE price END) AS priced FROM v JOIN f USING (l_orderkey) WHERE NOT (p = 1 AND c > 0 AND price IS NOT NULL AND code IS NULL) GROUP BY l_orderkey""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from huemill.operators import audit, consensus, merge, pages, search, spatial
 from huemill.plans.catalogue_queries import KEYS_SQL, LAB_SQL, METRICS_SQL, PICKED, RGB_SQL, SYNONYMS, part_colors, part_keys, part_rgb, table
 from huemill.plans.registry import register
+from huemill.session import materialised
 
 
 # -- the browser: text, facets, a picked colour and codes in one search ------------------------
@@ -23,11 +24,11 @@ def browser_results(spark, sf_dir):
     """Number, code or word 46 among six families with two finishes, nearest to a picked colour first."""
     flags = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.collect_set("l_returnflag").alias("f"))
     c = part_colors(spark, sf_dir).join(flags, F.col("p_partkey") == F.col("l_partkey")).join(part_keys(spark, sf_dir).select("p_partkey", "k"), "p_partkey")
-    index = c.select("p_partkey", "k", "hex", "hue", "sat", "val", F.col("family").alias("fam"), "f", F.array("p_brand").alias("w"), F.array(F.col("p_partkey").cast("string")).alias("codes")).persist()
+    named = c.select("p_partkey", F.col("k").alias("key"), "hex", "hue", "sat", "val", "family", F.col("f").alias("finishes"), F.array("p_brand").alias("words"), F.array(F.col("p_partkey").cast("string")).alias("codes"))
+    index = materialised(search.color_index(named, ("p_partkey", "codes")))
     families = frozenset({"ブルー", "グリーン", "パープル", "レッド", "オレンジ", "イエロー"})
     spec = search.SearchSpec(query=" 46 ", facets={"fam": families, "f": frozenset("NR")}).picking(PICKED)
-    found = search.search(index, spec, position="p_partkey", codes="codes")
-    return found.select("p_partkey", "k", search.ordering(spec)[0].alias("distance"))
+    return search.search(index, spec, position="p_partkey", codes="codes").select("p_partkey", "k", "distance")
 
 
 # -- three sources to nested documents ---------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huemill.operators import consensus, raster
+from huemill.operators import consensus, pages, raster
 from huemill.plans.catalogue_queries import table
 from huemill.plans.registry import register
 from huemill.session import shared_folder
@@ -92,3 +92,24 @@ def photo_colors(spark, sf_dir):
 centre AS MATERIALIZED (SELECT img, y - m AS y, x - m AS x, r, g, b FROM px JOIN margins USING (img) WHERE x >= m AND x < w - m AND y >= m AND y < h - m), {resized_sql("centre", "thumb", 32, 32)}, {core_color_sql("thumb", 236, 32)}""")
 def swatch_colors(spark, sf_dir):
     return raster.swatch_colors(document_pixels(spark, sf_dir))
+
+
+@register("trimmed_artwork", """WITH RECURSIVE m AS (SELECT vec_id, (k - 1) // 8 AS y, (k - 1) % 8 AS x, embedding[k] > 0 AS up FROM embeddings, unnest(generate_series(1, 64)) AS g(k)),
+n AS (SELECT vec_id, count(*) FILTER (up) AS ups FROM m GROUP BY vec_id),
+art AS (SELECT vec_id, y, x FROM m JOIN n USING (vec_id) WHERE up = (ups <= 32) AND CASE WHEN ups <= 32 THEN ups ELSE 64 - ups END >= 12),
+c AS (SELECT DISTINCT vec_id, y // 2 AS r, x // 2 AS q, (y // 2) * 4 + x // 2 AS label FROM art),
+reach AS (SELECT vec_id, r, q, label AS top FROM c UNION SELECT a.vec_id, b.r, b.q, a.top FROM reach a JOIN c b ON a.vec_id = b.vec_id AND abs(a.r - b.r) + abs(a.q - b.q) = 1),
+lab AS (SELECT vec_id, r, q, max(top) AS top FROM reach GROUP BY ALL),
+best AS (SELECT vec_id, min(r) * 2 AS r0, max(r) * 2 + 1 AS r1, min(q) * 2 AS c0, max(q) * 2 + 1 AS c1 FROM lab GROUP BY vec_id, top QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, top) = 1),
+box AS (SELECT vec_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM art JOIN best USING (vec_id) WHERE y BETWEEN r0 AND r1 AND x BETWEEN c0 AND c1 GROUP BY vec_id),
+fill AS (SELECT b.vec_id, g.x, (SELECT count(*) FROM art a WHERE a.vec_id = b.vec_id AND a.x = g.x AND a.y BETWEEN b.y0 AND b.y1) / (b.y1 - b.y0 + 1)::DOUBLE AS share FROM box b, unnest(generate_series(b.x0, b.x1)) AS g(x)),
+peeled AS (SELECT vec_id, CASE WHEN count(*) < 5 OR median(share) >= 0.85::DOUBLE OR min(x) FILTER (share < 0.92::DOUBLE) IS NULL THEN min(x) ELSE min(x) FILTER (share < 0.92::DOUBLE) END AS a,
+  CASE WHEN count(*) < 5 OR median(share) >= 0.85::DOUBLE OR min(x) FILTER (share < 0.92::DOUBLE) IS NULL THEN max(x) ELSE max(x) FILTER (share < 0.92::DOUBLE) END AS z FROM fill GROUP BY vec_id)
+SELECT vec_id, greatest(10 + a * 2 - 0.6::DOUBLE, 10) AS x0, greatest(20 + y0 * 3 - 0.6::DOUBLE, 20) AS y0, least(10 + (z + 1) * 2 + 0.6::DOUBLE, 26) AS x1, least(20 + (y1 + 1) * 3 + 0.6::DOUBLE, 44) AS y1 FROM box JOIN peeled USING (vec_id)""")
+def trimmed_artwork(spark, sf_dir):
+    """Embeddings as 8 x 8 pictures in two colours, each in a rectangle of 16 x 24 points that is tightened to its artwork."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "v"))
+    level = F.when(F.col("v") > 0, 200).otherwise(10)
+    pixels = vectors.select(F.col("vec_id").alias("img"), F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).alias("x"), *(level.alias(c) for c in "rgb"))
+    rects = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img"), *(F.lit(x).alias(n) for n, x in {"x0": 10.0, "y0": 20.0, "x1": 26.0, "y1": 44.0}.items()))
+    return pages.trim(pixels, rects, pool=2).withColumnRenamed("img", "vec_id")
