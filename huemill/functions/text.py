@@ -125,3 +125,36 @@ def round_note(categories: Column) -> Column:
 def official_only(official: Column, printed: Column) -> Column:
     """Values of official that aren't empty and neither hold nor are held by a printed one."""
     return F.filter(official, lambda f: (f != "") & ~F.exists(printed, lambda p: p.contains(f) | f.contains(p)))
+
+
+# The sentences of published pages.
+
+
+def scan_title(source: str, brand: str, page: Column, lines: Column) -> Column:
+    """Title of a scanned page: the edition, the page and its first two lines."""
+    head = F.when(F.size(lines) > 0, F.concat(F.lit("｜"), head_list(lines, 2))).otherwise(F.lit(""))
+    return F.concat(F.lit(source.split(" ")[0] + " P."), page, head, F.lit(f" | {brand}"))
+
+
+def scan_description(source: str, page: Column, lines: Column, keys: Column, n_keys: Column) -> Column:
+    """What a scanned page holds: its lines, and its first eight colours of n_keys."""
+    more = F.when(n_keys > 8, F.concat(F.lit("ほか計"), n_keys.cast("string"), F.lit("色"))).otherwise(F.lit(""))
+    listed = F.when(F.size(lines) > 0, F.concat(F.lit("掲載は"), F.array_join(lines, "・"), F.lit("。"))).otherwise(F.lit(""))
+    colors = F.when(F.size(keys) > 0, F.concat(F.lit("カラーNo."), F.array_join(F.slice(keys, 1, 8), "・"), more, F.lit("が載っています。"))).otherwise(F.lit(""))
+    return F.concat(F.lit(f"{source} "), page, F.lit("ページの誌面。"), listed, colors)
+
+
+def guide_description(brand: str, n_finishes: Column, names: Column, groups: Column, n_types: Column) -> Column:
+    """The guide's description: how many finishes and shapes it explains, the first of them by name."""
+    return F.concat(
+        F.lit(f"{brand}の仕上げ加工"), n_finishes.cast("string"), F.lit("種類（"), F.array_join(names, "・"), F.lit("ほか）と、"), F.array_join(groups, "・"), F.lit("など形状"), n_types.cast("string"),
+        F.lit("種のサイズ一覧。丸小と丸大の違いや、カラーNo.末尾に付くL・D・Fなど記号の意味も解説します。"),
+    )
+
+
+def home_description(brand: str, n_colors: Column, n_finishes: Column) -> Column:
+    """The home page's description."""
+    return F.concat(
+        F.lit(f"{brand}のグラスビーズ"), n_colors.cast("string"), F.lit("色のカラーチャート。カラーNo.・品番・仕上げ加工"), n_finishes.cast("string"),
+        F.lit("種・ビーズ種別・色の呼び名で絞り込め、選んだ色に近い順にも並べ替えられます。丸小・丸大・特小のサイズ比較と価格・品番つき。"),
+    )
