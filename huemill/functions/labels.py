@@ -40,16 +40,23 @@ def _read(token: Column, raw: Column) -> Column:
     return F.when(token.rlike(GRAMMAR) & (number != 0), label)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value made once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_label(text: Column) -> Column:
     """struct(raw, size, prefix, number, suffix, key), or null: the first of the plain and the repaired spellings that reads as a label."""
     t = F.upper(F.regexp_replace(F.regexp_replace(text, r"^(?U)\s+|(?U)\s+$", ""), "[．　]", ""))
     t = half_width_digits(F.replace(t, F.lit("Α"), F.lit("α")))
     t = F.regexp_replace(F.trim(F.substring_index(t, "・", 1)), r"^[0O](?=-[0-9]{4}$)", "α")
-    spellings = [t, *(F.translate(t, a, b) for a, b in REPAIRS)]
-    first, *repaired = (_read(s, text) for s in spellings)
-    read = F.coalesce(first, *(F.when(t.rlike("[0-9]"), r) for r in repaired))
-    furniture = (t == "") | t.isin(*NOT_LABELS) | t.rlike(r"[0-9]\s*(?:MM|CM|M|G|KG)$")
-    return F.when(~furniture, read)
+
+    def read(t: Column) -> Column:
+        first, *repaired = (_let(s, lambda s: _read(s, text)) for s in (t, *(F.translate(t, a, b) for a, b in REPAIRS)))
+        furniture = (t == "") | t.isin(*NOT_LABELS) | t.rlike(r"[0-9]\s*(?:MM|CM|M|G|KG)$")
+        return F.when(~furniture, F.coalesce(first, *(F.when(t.rlike("[0-9]"), r) for r in repaired)))
+
+    return _let(t, read)
 
 
 def parse_label_loose(text: Column) -> Column:
