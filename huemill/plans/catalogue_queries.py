@@ -439,13 +439,12 @@ def grid_intervals(spark, sf_dir):
 # -- merging -----------------------------------------------------------------------------------
 
 
-@register("merge_precedence", """WITH s AS (SELECT s_nationkey, max(s_acctbal) AS bal FROM supplier WHERE s_acctbal > 7000 GROUP BY s_nationkey), c AS (SELECT c_nationkey, max(c_acctbal) AS bal FROM customer WHERE c_acctbal > 9800 GROUP BY c_nationkey)
-SELECT c_nationkey AS nationkey, coalesce(s.bal, c.bal) AS bal, s.bal IS NOT NULL AS better FROM c LEFT JOIN s ON c_nationkey = s_nationkey UNION ALL SELECT s_nationkey, bal, true FROM s WHERE s_nationkey NOT IN (SELECT c_nationkey FROM c)""")
+@register("merge_precedence", """SELECT doc_id AS key, coalesce(label, quality) AS value, vec_id IS NOT NULL AS better FROM labels LEFT JOIN embeddings ON vec_id = doc_id UNION ALL SELECT vec_id, label, true FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)""")
 def merge_precedence(spark, sf_dir):
-    """Rich suppliers of a nation go before rich customers; nations with rich suppliers alone are appended."""
-    s = table(spark, sf_dir, "supplier").where("s_acctbal > 7000").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.max("s_acctbal").alias("bal"))
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 9800").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.max("c_acctbal").alias("bal"))
-    return merge.append_missing(merge.override(c, s, "nationkey", ["bal"], "better"), s.withColumn("better", F.lit(True)), "nationkey")
+    """The label of a vector goes before the quality of the document of its number; vectors without one are appended."""
+    base = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("value"))
+    better = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").alias("value"))
+    return merge.append_missing(merge.override(base, better, "key", ["value"], "better"), better.withColumn("better", F.lit(True)), "key")
 
 
 @register("last_wins", "SELECT l_partkey, l_extendedprice, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY o_orderdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) = 1")
@@ -496,17 +495,34 @@ def agreement_check(spark, sf_dir):
     return audit.agreement(mine, theirs, "doc_id", SYNONYMS).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@register("coverage_audit", "SELECT k AS custkey, CASE WHEN e IS NULL THEN 'missing' WHEN c IS NULL THEN 'extra' ELSE 'covered' END AS state FROM (SELECT c_custkey AS k, 1 AS c FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT DISTINCT user_id AS k, 1 AS e FROM events) USING (k)")
+@register("coverage_audit", "SELECT k AS id, CASE WHEN v IS NULL THEN 'missing' WHEN d IS NULL THEN 'extra' ELSE 'covered' END AS state FROM (SELECT DISTINCT doc_id AS k, 1 AS d FROM labels) FULL JOIN (SELECT DISTINCT vec_id AS k, 1 AS v FROM embeddings) USING (k)")
 def coverage_audit(spark, sf_dir):
-    """Customers in credit with and without events, and users of events who are none."""
-    customers = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("custkey"))
-    return audit.coverage(customers, table(spark, sf_dir, "events").select(F.col("user_id").alias("custkey")), "custkey")
-
-
-@register("unknown_keys", "SELECT o_custkey, array_to_string(list_sort(list(printf('%08d', o_orderkey))), ',') AS places, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey")
+    """Labelled documents with and without a vector, and vectors of documents without a label."""
+    return audit.coverage(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), "id")
+
+
+@register("card_check", """WITH card AS (SELECT CASE WHEN p_partkey % 400 = 0 THEN NULL ELSE (p_partkey % 400)::VARCHAR || ['', 'F', 'L'][p_partkey % 3 + 1] END AS key, arg_min((p_partkey % 400)::VARCHAR || ['', 'F', 'L'][p_partkey % 3 + 1], p_partkey) AS printed FROM part GROUP BY key HAVING key IS NOT NULL),
+mine AS (SELECT (l_partkey % 500 + 1)::VARCHAR || ['', 'F', 'L'][l_linenumber % 3 + 1] AS key, bool_or(l_returnflag = 'R' OR l_quantity > 45) AS round FROM lineitem GROUP BY 1)
+SELECT key, printed, CASE WHEN printed IS NULL THEN 'extra' WHEN round IS NULL THEN 'missing' WHEN round THEN 'covered' ELSE 'wrong_type' END AS state, row_number() OVER (ORDER BY length(key), key) AS place FROM card FULL JOIN mine USING (key) WHERE printed IS NOT NULL OR round
+UNION ALL SELECT NULL, '?', 'unparsed', NULL FROM part WHERE p_partkey % 400 = 0""")
+def card_check(spark, sf_dir):
+    """Codes of all parts as a printed card, against colours of all line items; in order of length and text."""
+    p, tail = F.col("p_partkey"), lambda n: F.get(F.array(F.lit(""), F.lit("F"), F.lit("L")), (n % 3).cast("int"))
+    card = table(spark, sf_dir, "part").select(p.alias("pos"), F.when(p % 400 == 0, "?").otherwise(F.concat((p % 400).cast("string"), tail(p))).alias("printed"))
+    item = table(spark, sf_dir, "lineitem")
+    types = F.when(F.col("l_returnflag") == "R", F.array(F.lit("丸小"))).otherwise(F.array(F.lit("x")))
+    colors = item.select(F.concat((F.col("l_partkey") % 500 + 1).cast("string"), tail(F.col("l_linenumber"))).alias("key"), types.alias("types"), F.when(F.col("l_quantity") > 45, F.array(F.lit("丸大ビーズ"))).alias("categories"))
+    told = audit.card_check(card, colors)
+    place = F.row_number().over(Window.orderBy(F.length("key"), "key"))  # over the keys of one card
+    keyed = audit.by_length(told.where("key IS NOT NULL"), "key").withColumn("place", place.cast("long"))
+    return keyed.unionByName(told.where("key IS NULL").withColumn("place", F.lit(None).cast("long")))
+
+
+@register("unknown_keys", "SELECT o_custkey, array_to_string(list_sort(list(printf('%08d', o_orderkey))), ',') AS places, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events) GROUP BY o_custkey")
 def unknown_keys(spark, sf_dir):
+    """Customers with orders that no event knows."""
     rows = table(spark, sf_dir, "orders").select("o_custkey", F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("place"))
-    known = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    known = table(spark, sf_dir, "events").select(F.col("user_id").alias("o_custkey"))
     return audit.unknown_keys(rows, known, "o_custkey", "place").select("o_custkey", F.array_join("places", ",").alias("places"), "n")
 
 
