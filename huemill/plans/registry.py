@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from huemill.plans import catalogue_queries, chart_queries, composite_queries, page_queries, raster_queries, table_queries  # noqa: F401  register on import
+    from huemill.plans import catalogue_queries, chart_queries, composite_queries, file_queries, page_queries, raster_queries, table_queries  # noqa: F401  register on import
 
     return {name: (lambda spark, sf_dir, f=f: f(reachable(spark), sf_dir)) for name, f in _QUERIES.items()}
 
