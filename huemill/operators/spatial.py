@@ -89,16 +89,26 @@ def _bands(lo: Column, hi: Column, height: float) -> Column:
     return F.sequence(F.floor(lo / height), F.floor(hi / height))
 
 
-def nearest(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, within: Column, distance: Column, below: float, left_at: tuple[Column, Column], right_at: tuple[Column, Column], reach: float) -> DataFrame:
+Span = tuple[Column, Column]
+
+
+def nearest(
+    left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, within: Column, distance: Column, below: float, left_at: Span, right_at: Span, reach: float, left_across: Span | None = None, right_across: Span | None = None, across: float = 0.0
+) -> DataFrame:
     """(on, left_id, right_id, distance) of the nearest right row nearer than below; of equals the least right_id; unmatched left rows are absent.
 
     left_at and right_at are the bounds of both on one axis, which must be less than reach apart where the distance is less than
-    below. Rows meet by bands of that axis, not by the whole group; a pair that shares several is weighed again.
+    below; the same holds for left_across, right_across and across on another. Rows meet by bands of these axes, not by the whole
+    group; a pair that shares several is weighed again.
     """
-    at = fresh("band", left, right)
-    one = left.withColumn(at, F.explode(_bands(*left_at, reach)))
-    two = right.withColumn(at, F.explode(_bands(right_at[0] - reach, right_at[1] + reach, reach)))
-    pairs = one.join(two, [*on, at]).where(within).withColumn("distance", distance).where(F.col("distance") < below)
+    bands = [(fresh("band", left, right), left_at, right_at, reach)]
+    if left_across is not None:
+        bands.append((fresh("across", left, right), left_across, right_across, across))
+    one, two = left, right
+    for name, mine, theirs, far in bands:
+        one = one.withColumn(name, F.explode(_bands(*mine, far)))
+        two = two.withColumn(name, F.explode(_bands(theirs[0] - far, theirs[1] + far, far)))
+    pairs = one.join(two, [*on, *(b[0] for b in bands)]).where(within).withColumn("distance", distance).where(F.col("distance") < below)
     best = pairs.groupBy(*on, left_id).agg(F.min_by(F.struct(right_id, "distance"), F.struct("distance", right_id)).alias("best"))
     return best.select(*on, left_id, "best.*")
 
@@ -107,7 +117,7 @@ def tokens_to_cells(tokens: DataFrame, cells: DataFrame) -> tuple[DataFrame, Dat
     """Detail tokens (page, token_id, kind, x0, x1, cy) to cells (page, cell_id, bx0, bx1, by0, by1); and the orphans."""
     band = F.col("cy").between(F.col("by0") - 2, F.col("by1") + 34)
     d = box_distance(*map(F.col, ("x0", "x1", "cy", "cy", "bx0", "bx1", "by0", "by1")), 1.8)
-    met = nearest(tokens, cells, ["page"], "token_id", "cell_id", band, d, 40, (F.col("cy"), F.col("cy")), (F.col("by0"), F.col("by1")), 40.0)
+    met = nearest(tokens, cells, ["page"], "token_id", "cell_id", band, d, 40, (F.col("cy"), F.col("cy")), (F.col("by0"), F.col("by1")), 40.0, (F.col("x0"), F.col("x1")), (F.col("bx0"), F.col("bx1")), 40 / 1.8)
     orphans = tokens.join(met.select("page", "token_id"), ["page", "token_id"], "left_anti").where(F.col("kind").isin("price", "productCode", "quantity", "style"))
     return met, orphans
 
@@ -120,23 +130,26 @@ def photos_to_captions(rects: DataFrame, captions: DataFrame, smallest: float =
     pages = n_rects.join(n_labels, "page").where(F.col("n_rects") >= F.greatest(F.lit(fewest), F.col("n_labels") / 2)).select("page")
     d = box_distance(*map(F.col, ("rx0", "rx1", "ry0", "ry1", "cx0", "cx1", "cy0", "cy1")), 2.2)
     d = d + F.when((F.col("cy0") + F.col("cy1")) / 2 > F.col("ry1"), 0.0).otherwise(14.0)
-    return nearest(large.join(pages, "page", "left_semi"), captions, ["page"], "rect_id", "caption_id", F.lit(True), d, 60, (F.col("ry0"), F.col("ry1")), (F.col("cy0"), F.col("cy1")), 60.0)
+    return nearest(large.join(pages, "page", "left_semi"), captions, ["page"], "rect_id", "caption_id", F.lit(True), d, 60, (F.col("ry0"), F.col("ry1")), (F.col("cy0"), F.col("cy1")), 60.0, (F.col("rx0"), F.col("rx1")), (F.col("cx0"), F.col("cx1")), 60 / 2.2)
 
 
 def overlap_fraction(rects: DataFrame, blocks: DataFrame, band: float = 50.0) -> DataFrame:
     """(page, rect_id, overlap): share of a rectangle that text blocks other than its own label cover, 1 at most.
 
-    Rectangles and blocks meet by bands of x; a pair counts in the first band that both touch.
+    Rectangles and blocks meet by squares of the page; a pair counts in the first square that both touch.
     """
     w = F.greatest(F.lit(0.0), F.least("x1", "bx1") - F.greatest("x0", "bx0"))
     h = F.greatest(F.lit(0.0), F.least("y1", "by1") - F.greatest("y0", "by0"))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     other = ~F.col("block_id").eqNullSafe(F.col("label_id"))
-    at = fresh("band", rects, blocks)
-    one = rects.withColumn(at, F.explode(_bands(F.col("x0"), F.col("x1"), band)))
-    two = blocks.withColumn(at, F.explode(_bands(F.col("bx0"), F.col("bx1"), band)))
-    first = F.col(at) == F.floor(F.greatest("x0", "bx0") / band)
-    met = one.join(two, ["page", at]).where(first & other & (w * h > 0)).groupBy("page", "rect_id").agg(F.sum(w * h / area).alias("s"))
+    across, down = fresh("across", rects, blocks), fresh("down", rects, blocks)
+
+    def squared(df: DataFrame, x0: str, x1: str, y0: str, y1: str) -> DataFrame:
+        return df.withColumn(across, F.explode(_bands(F.col(x0), F.col(x1), band))).withColumn(down, F.explode(_bands(F.col(y0), F.col(y1), band)))
+
+    one, two = squared(rects, "x0", "x1", "y0", "y1"), squared(blocks, "bx0", "bx1", "by0", "by1")
+    first = (F.col(across) == F.floor(F.greatest("x0", "bx0") / band)) & (F.col(down) == F.floor(F.greatest("y0", "by0") / band))
+    met = one.join(two, ["page", across, down]).where(first & other & (w * h > 0)).groupBy("page", "rect_id").agg(F.sum(w * h / area).alias("s"))
     return rects.join(met, ["page", "rect_id"], "left").select("page", "rect_id", F.least(F.lit(1.0), F.coalesce("s", F.lit(0.0))).alias("overlap"))
 
 
