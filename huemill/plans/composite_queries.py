@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from huemill.functions import labels
 from huemill.operators import audit, consensus, merge, pages, search, spatial
 from huemill.plans.catalogue_queries import KEYS_SQL, LAB_SQL, METRICS_SQL, PICKED, RGB_SQL, SYNONYMS, part_colors, part_keys, part_rgb, table
 from huemill.plans.registry import register
@@ -81,7 +82,7 @@ SELECT code, arg_max(page, (pos, page, price)) AS page, arg_max(price, (pos, pag
 def price_seed(spark, sf_dir):
     at = F.struct((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.col("l_suppkey").alias("page"), F.col("l_extendedprice").alias("price"))
     v = table(spark, sf_dir, "lineitem").select(
-        F.lpad(F.col("l_partkey").cast("string"), 6, "0").alias("code"), at.alias("pos"), F.col("l_suppkey").alias("page"), F.col("l_extendedprice").alias("price"), F.col("l_partkey").alias("color_key"),
+        labels.printed_number(F.col("l_partkey"), 6).alias("code"), at.alias("pos"), F.col("l_suppkey").alias("page"), F.col("l_extendedprice").alias("price"), F.col("l_partkey").alias("color_key"),
         F.col("l_returnflag").alias("line"), F.when(F.col("l_linenumber") > 3, "").otherwise(F.col("l_returnflag")).alias("style"), F.col("l_linestatus").alias("sales_style"), F.col("l_quantity").alias("quantity"),
     )
     return merge.price_seed(v).select("code", "page", "price", "style")
@@ -140,10 +141,10 @@ c AS (SELECT p_partkey, 0 AS ord, x1 + 1.5 AS x0, y0 - 3.5 AS y0, coalesce(next_
 SELECT p_partkey, ord, round((x1 - x0)::DOUBLE, 6) AS width, round((y1 - y0)::DOUBLE, 6) AS height FROM c WHERE x1 - x0 >= w AND y1 - y0 >= h AND x1 - x0 >= 4 AND y1 - y0 >= 3""")
 def regions_of_labels(spark, sf_dir):
     p, s, x = table(spark, sf_dir, "part"), F.col("p_size"), F.col("p_retailprice")
-    labels = p.select(
+    placed = p.select(
         F.col("p_brand").alias("page"), F.col("p_partkey").alias("cell_id"), x.alias("x0"), (x + s).alias("x1"), (s * 9.0).alias("y0"), (s * 9.0 + 8).alias("y1"), (x - 1).alias("col"), F.when(s < 40, x + 40).alias("next_col"), (s * 2.0).alias("pitch"), (s * 8.0).alias("ceiling"),
     )
-    out = pages.regions(labels, F.lit(2100.0))
+    out = pages.regions(placed, F.lit(2100.0))
     return out.select(F.col("cell_id").alias("p_partkey"), "ord", F.round(F.col("x1") - F.col("x0"), 6).alias("width"), F.round(F.col("y1") - F.col("y0"), 6).alias("height"))
 
 
