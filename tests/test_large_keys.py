@@ -13,6 +13,7 @@ WIDE = {
     "lineitem": "SELECT * FROM lineitem UNION ALL SELECT * REPLACE (l_orderkey + 1000000 AS l_orderkey, l_partkey + 1000000 AS l_partkey) FROM lineitem",
 }
 NAMES = [
+    "color_pages",
     "codes_by_group",
     "code_search",
     "price_seed",
