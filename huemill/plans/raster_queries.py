@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from huemill.operators import consensus, pages, raster
 from huemill.plans.catalogue_queries import table
 from huemill.plans.registry import register
-from huemill.session import shared_folder
+from huemill.session import materialised, shared_folder
 from huemill.sources import rasters
 
 ACROSS = 48
@@ -26,6 +26,17 @@ def document_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return level.select("img", F.floor(F.col("p") / ACROSS).cast("int").alias("y"), (F.col("p") % ACROSS).alias("x"), F.shiftright("v", 16).alias("r"), (F.shiftright("v", 8) % 256).alias("g"), (F.col("v") % 256).alias("b"))
 
 
+#: Lines of a strip.
+LINES = 2048
+
+
+def document_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same images as strips of whole lines: img, top, lines, width, height, data, three bytes a pixel."""
+    whole = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("img"), F.col("text").cast("binary").alias("bytes"), F.floor(F.octet_length("text") / (3 * ACROSS)).cast("int").alias("height")).where("height > 0")
+    cut = whole.select("*", F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.lit(LINES))).alias("top")).withColumn("lines", F.least(F.lit(LINES), F.col("height") - F.col("top")))
+    return cut.select("img", "top", "lines", F.lit(ACROSS).alias("width"), "height", F.substring("bytes", F.col("top") * 3 * ACROSS + 1, F.col("lines") * 3 * ACROSS).alias("data"))
+
+
 def resized_sql(source: str, name: str, width: int, height: int) -> str:
     """Tables `name` (img, y, x, r, g, b): source resampled by the triangle filter, in plain joins and sums."""
 
@@ -77,7 +88,7 @@ far AS (SELECT lang, doc_id, sum(abs(v - m))::DOUBLE AS distance FROM long JOIN
 SELECT lang, doc_id, distance FROM far QUALIFY row_number() OVER (PARTITION BY lang ORDER BY distance, doc_id) = 1""")
 def fingerprint_consensus(spark, sf_dir):
     """Of each language the document whose thumbnail is nearest to the language's median thumbnail."""
-    prints = raster.fingerprints(document_pixels(spark, sf_dir))
+    prints = materialised(raster.strip_fingerprints(document_strips(spark, sf_dir)))
     of = table(spark, sf_dir, "documents").select("doc_id", "lang")
     both = prints.join(of, F.col("img") == F.col("doc_id").cast("string"))
     return consensus.vector_consensus(both, "lang", "fingerprint", "doc_id").select("lang", "doc_id", "distance")
@@ -85,13 +96,13 @@ def fingerprint_consensus(spark, sf_dir):
 
 @register("photo_colors", f"WITH {PIXELS_SQL}, {resized_sql('px', 'thumb', 48, 16)}, {core_color_sql('thumb', 232, 12)}")
 def photo_colors(spark, sf_dir):
-    return raster.photo_colors(document_pixels(spark, sf_dir))
+    return raster.strip_photo_colors(document_strips(spark, sf_dir))
 
 
 @register("swatch_colors", f"""WITH {PIXELS_SQL}, margins AS (SELECT img, max(x) + 1 AS w, max(y) + 1 AS h, round_even(least(max(x) + 1, max(y) + 1) * 0.2::DOUBLE, 0)::INT AS m FROM px GROUP BY img),
 centre AS MATERIALIZED (SELECT img, y - m AS y, x - m AS x, r, g, b FROM px JOIN margins USING (img) WHERE x >= m AND x < w - m AND y >= m AND y < h - m), {resized_sql("centre", "thumb", 32, 32)}, {core_color_sql("thumb", 236, 32)}""")
 def swatch_colors(spark, sf_dir):
-    return raster.swatch_colors(document_pixels(spark, sf_dir))
+    return raster.strip_swatch_colors(document_strips(spark, sf_dir))
 
 
 @register("trimmed_artwork", """WITH RECURSIVE m AS (SELECT vec_id, (k - 1) // 8 AS y, (k - 1) % 8 AS x, embedding[k] > 0 AS up FROM embeddings, unnest(generate_series(1, 64)) AS g(k)),

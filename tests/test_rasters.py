@@ -203,3 +203,14 @@ def test_pixel_rectangles_are_clamped(spark):
         return a, b, max(a + 1, min(w, round(x1 * s))), max(b + 1, min(h, round(y1 * s)))
 
     assert got == {1: want(-5.0, 0.25, 9.99, 500.0), 2: want(99, 99, 99, 99), 3: want(0.06, 0.18, 0.18, 0.3)}
+
+
+@pytest.mark.parametrize("name", ["photo_colors", "swatch_colors", "fingerprint_consensus"])
+def test_documents_in_many_strips(spark, name, monkeypatch):
+    """Images of several strips give what images of one give."""
+    from huemill.plans import raster_queries, registry
+
+    run = lambda: sorted(map(tuple, registry.queries()[name](spark, "/root/testdata/sf0.001").collect()))
+    whole = run()
+    monkeypatch.setattr(raster_queries, "LINES", 3)
+    assert run() == whole and whole
