@@ -47,7 +47,7 @@ def _appearances(spark, sf_dir) -> DataFrame:
     )
 
 
-def _documents(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _documents(spark, sf_dir, variants: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents of all colours: base names, those of a better source over them, colours that only that source has; and the appearances that quality keeps, and all."""
     seen = _appearances(spark, sf_dir)
     kept = consensus.quality_fallback(seen, ["key"], F.col("good"))
@@ -56,7 +56,8 @@ def _documents(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     better = part.where("p_size > 25 or p_size < 5").select(F.col("p_partkey").alias("key"), F.col("p_type").alias("name"))
     colors = merge.append_missing(merge.override(base, better, "key", ["name"], "official"), better.withColumn("official", F.lit(True)), "key")
     appearances = kept.groupBy("key", "page", "pos").agg(F.min("line").alias("line")).withColumn("printed_as", F.col("line"))
-    return merge.color_documents(colors, appearances, kept.select("key", "page", "pos", "vpos", "style", "price", "code", "quantity")), kept, seen
+    of_each = kept.select("key", "page", "pos", "vpos", "style", "price", "code", "quantity") if variants else None
+    return merge.color_documents(colors, appearances, of_each), kept, seen
 
 
 @register("catalogue_documents", f"""WITH {APPEARANCES_SQL},
@@ -74,7 +75,7 @@ def catalogue_documents(spark, sf_dir):
 SELECT 'colors' AS counter, count(*) AS n FROM colors UNION ALL SELECT 'appearances', count(DISTINCT (key, page, pos)) FROM kept JOIN colors USING (key) UNION ALL SELECT 'dropped', count(*) FILTER (NOT good) FROM seen
 UNION ALL SELECT 'pages', count(DISTINCT page) FROM kept UNION ALL SELECT 'codes', count(DISTINCT code) FROM kept""")
 def catalogue_counters(spark, sf_dir):
-    return pages.counters(*_documents(spark, sf_dir))
+    return pages.counters(*_documents(spark, sf_dir, variants=False))  # which no counter counts
 
 
 @register("price_seed", """WITH v AS (SELECT printf('%06d', l_partkey) AS code, l_orderkey * 8 + l_linenumber AS pos, l_suppkey AS page, l_extendedprice AS price, CASE WHEN l_linenumber > 3 THEN '' ELSE l_returnflag END AS style, l_linestatus AS sales_style FROM lineitem)

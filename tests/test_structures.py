@@ -106,3 +106,13 @@ def test_lab_by_steps_is_oklab(spark):
     both = color.with_lab(df).select("*", color.oklab(*(color.rgb_of(F.col("hex"))[c] for c in "rgb")).alias("o"))
     for x in both.collect():
         assert (x.L, x.a, x.b) == pytest.approx(tuple(x.o), abs=1e-12) and color.lab_of(x.hex) == pytest.approx(tuple(x.o), abs=1e-12) and x.rgb == 1
+
+
+def test_counters_need_no_variants(spark):
+    from huemill.operators import merge, pages
+
+    colors = spark.createDataFrame([("a",), ("b",)], "key string")
+    kept = spark.createDataFrame([("a", 1, 5, "x", True), ("a", 1, 6, "y", True), ("c", 2, 7, "x", True)], "key string, page int, pos int, code string, good boolean")
+    docs = merge.color_documents(colors, kept.select("key", "page", "pos", F.lit("l").alias("line"), F.lit("l").alias("printed_as")))
+    got = dict(map(tuple, pages.counters(docs, kept, kept.withColumn("good", F.col("pos") > 5)).collect()))
+    assert got == {"colors": 2, "appearances": 2, "dropped": 1, "pages": 2, "codes": 2}
