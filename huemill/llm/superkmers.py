@@ -5,7 +5,8 @@ hash of the grams of `gram` symbols in it, so equal windows have equal minimiser
 windows with one minimiser travel as one packed string to the bucket of that minimiser; every
 window is in exactly one string, and all equal windows meet in one bucket.
 
-A task works on slabs of its input of bounded size. In a slab, equal strings are sent once: a later
+There are as many buckets as keep the text of each bounded, however few partitions a session has, and
+a task has one bucket. It works on slabs of its input of bounded size. In a slab, equal strings are sent once: a later
 copy whose windows all have an earlier equal in the slab is decided on the spot. So a passage that
 a third of all documents share reaches its bucket once per slab, not once per document.
 
@@ -22,11 +23,14 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from huemill.llm.common import bytes_of, gather, id_array, ids_of, partitions, ragged, slices
 
 #: Bytes of text hashed at a time, and bytes of text whose strings are exchanged together.
 CHUNK, SLAB = 1 << 20, 12 << 20
+#: Bytes of text whose strings share a bucket, and bytes of texts that are finished together, at most on average.
+STRINGS, TEXTS = 8 << 20, 12 << 20
 #: Windows in one string at most; a longer run is cut.
 LONGEST = 512
 #: Windows, and bytes of their strings, compared at a time in a bucket.
@@ -290,11 +294,17 @@ def text_keys(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(view[a:b]) - 2**63 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], np.int64)
 
 
+def buckets_of(docs: DataFrame) -> tuple[int, int]:
+    """Buckets of strings and of documents: what the session's partitions ask for, or more, so that a bucket's text is bounded."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = partitions(docs.sparkSession)  # strings take about three times the room of their texts
+    return max(2 * n, -(-size // STRINGS)), max(n, -(-size // TEXTS))
+
+
 def removed(docs: DataFrame, symbols: Symbols, compare: Compare, span: int, gram: int, self_repeats: bool) -> DataFrame:
     """Packed ranges (in symbols) of repeated windows, and the texts, by bucket of the document; kinds 1 and 2."""
-    n = partitions(docs.sparkSession)
-    m = 2 * n  # strings take about three times the room of their texts
     docs = docs.select("doc_id", "text")
+    m, n = buckets_of(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[Strings, np.ndarray]] = []
@@ -387,8 +397,8 @@ def removed(docs: DataFrame, symbols: Symbols, compare: Compare, span: int, gram
                 blobs.append(pack(ids[i], keys[i], size[i], gather(data, bounds[:-1][i], size[i])))
             yield _rows(found, 2, blobs)
 
-    met = docs.mapInArrow(send, ROWS).repartition(m, "bucket").mapInArrow(solve, ROWS)
-    return met.unionByName(docs.mapInArrow(texts, ROWS)).repartition(n, "bucket")
+    met = docs.mapInArrow(send, ROWS).repartitionById(m, "bucket").mapInArrow(solve, ROWS)
+    return met.unionByName(docs.mapInArrow(texts, ROWS)).repartitionById(n, "bucket")
 
 
 def finished(packed: DataFrame, schema: str, finish: Callable[[bytes, list[tuple[int, int]]], tuple]) -> DataFrame:

@@ -106,3 +106,17 @@ def test_strings_of_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(sk, "range_hashes", lambda d, a, b: np.zeros(len(a), np.uint64))
     data = np.frombuffer(b"aabbaacc", np.uint8)
     assert sk.classes(data, np.array([2, 2, 2, 2])).tolist() == [0, 1, 0, 3]
+
+
+@pytest.mark.parametrize("find", [lambda df: suffix_dedup.remove_repeats(df, 50), lambda df: passage_dedup.remove_repeats(df, 20)])
+def test_buckets_follow_the_text(spark, monkeypatch, find):
+    """A task's share stays bounded where the session has few partitions for its input, with the same result."""
+    df = spark.createDataFrame(corpus(3), "doc_id long, text string").repartition(5)
+    want = sorted(find(df).collect(), key=str)
+    size = sum(len((t or "").encode()) for _, t in corpus(3))
+    monkeypatch.setattr(sk, "STRINGS", size // 20)
+    monkeypatch.setattr(sk, "TEXTS", size // 30)
+    out = find(df)
+    assert sk.buckets_of(df)[0] >= 20
+    assert out.rdd.getNumPartitions() >= 30
+    assert sorted(out.collect(), key=str) == want
