@@ -45,9 +45,10 @@ def flattened_pages(rects: DataFrame, pages: DataFrame, most: float = 0.85) -> D
     return rects.join(pages, "page").groupBy("page").agg(F.bool_or(area > most * F.col("width") * F.col("height")).alias("flattened"))
 
 
-def product_index(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of {"item": [...]} files with their place."""
-    return whole_files(spark, path, INDEX).select(F.posexplode("doc.item").alias("pos", "r")).select("pos", "r.*")
+def product_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rows of {"item": [...]} documents with their place: a document a file or, with lines, a line, as write_documents writes them. Many documents come as lines, as each file costs a listing and an opening."""
+    docs = spark.read.schema("value string").text(path).select(F.from_json("value", INDEX).alias("doc")) if lines else whole_files(spark, path, INDEX)
+    return docs.select(F.posexplode("doc.item").alias("pos", "r")).select("pos", "r.*")
 
 
 def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
