@@ -64,7 +64,7 @@ SELECT img, count(*) AS n, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIG
 def page_slices(spark, sf_dir):
     """A rectangle of every image file: the rasters are written as files and read back as a slice."""
     folder = shared_folder(spark)
-    rasters.write_pages(document_pixels(spark, sf_dir), folder)
+    rasters.write_strips(document_strips(spark, sf_dir), folder)
     cut = rasters.pages(spark, folder).where("x >= 8 AND x < 40 AND y >= 4 AND y < 20")
     return cut.groupBy("img").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in "rgb"))
 

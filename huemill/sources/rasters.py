@@ -2,7 +2,8 @@
 
     rasters.use(spark)
     spark.read.format("page_images").load(path)        # img, y, x, r, g, b
-    rasters.write_pages(pixels, path)
+    rasters.write_pages(pixels, path)                   # from long pixels
+    rasters.write_strips(strips, path)                  # from strips of whole lines, which is far less work
 
 img is the file's name without its ending, percent-decoded. A file is cut into bands of rows by its size; a
 partition holds bands of about partitionBytes. Equalities on img choose files before any is opened, and
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
 SCHEMA = "img string, y int, x int, r int, g int, b int"
+STRIPS = "img string, top int, width int, height int, data binary"
 ENDING = ".ppm"
 #: Bytes of a partition, and pixels of one batch, at most (a band has one row at least).
 PARTITION_BYTES, BATCH_PIXELS = 16 << 20, 1 << 18
@@ -104,10 +106,19 @@ class PageReader(DataSourceReader):
         return out
 
     def read(self, partition: Bands) -> Iterator[pa.RecordBatch]:
+        """Batches of many small images' bands at once, as each batch has its price."""
         store, _ = _store(self.path)
+        held, rows = [], 0
         for path, img, k, of in partition.files:
             with store.open_input_file(path) as file:
-                yield from self.band(file, img, k, of)
+                for b in self.band(file, img, k, of):
+                    if rows + b.num_rows > BATCH_PIXELS and held:
+                        yield pa.concat_batches(held)
+                        held, rows = [], 0
+                    held.append(b)
+                    rows += b.num_rows
+        if held:
+            yield pa.concat_batches(held)
 
     def band(self, file: pa.NativeFile, img: str, k: int, of: int) -> Iterator[pa.RecordBatch]:
         """Batches of one band's part of the rectangle; nothing else of its pixels is read."""
@@ -138,9 +149,17 @@ class Written(WriterCommitMessage):
 class PageWriter(DataSourceArrowWriter):
     """Rows come sorted by img, all of one image in one task; a task holds one image."""
 
+    columns = ("y", "x", "r", "g", "b")
+
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite = path, overwrite
 
+    def image(self, parts: list[list[np.ndarray]]) -> np.ndarray:
+        y, x, r, g, b = (np.concatenate(c) for c in zip(*parts, strict=True))
+        image = np.full((int(y.max()) + 1, int(x.max()) + 1, 3), 255, np.uint8)
+        image[y, x] = np.stack([r, g, b], axis=1)
+        return image
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = _store(self.path)
         folder, files = f"{root}/_writing-{uuid.uuid4().hex}", []
@@ -148,9 +167,7 @@ class PageWriter(DataSourceArrowWriter):
 
         def flush() -> None:
             if parts:
-                y, x, r, g, b = (np.concatenate(c) for c in zip(*parts, strict=True))
-                image = np.full((int(y.max()) + 1, int(x.max()) + 1, 3), 255, np.uint8)
-                image[y, x] = np.stack([r, g, b], axis=1)
+                image = self.image(parts)
                 if not files:
                     store.create_dir(folder)
                 name = quote(open_img, safe="") + ENDING
@@ -160,7 +177,7 @@ class PageWriter(DataSourceArrowWriter):
 
         for batch in iterator:
             images = batch.column("img").to_pylist()
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "r", "g", "b")]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in self.columns]
             cuts = [0, *(i for i in range(1, len(images)) if images[i] != images[i - 1]), len(images)] if images else []
             for a, z in zip(cuts, cuts[1:], strict=False):
                 if images[a] != open_img:
@@ -190,6 +207,20 @@ class PageWriter(DataSourceArrowWriter):
             store.delete_dir(folder)
 
 
+class StripWriter(PageWriter):
+    """The same of strips of whole lines."""
+
+    columns = ("top", "width", "height", "data")
+
+    def image(self, parts: list[list[np.ndarray]]) -> np.ndarray:
+        top, width, height, data = (np.concatenate(c) for c in zip(*parts, strict=True))
+        image = np.full((int(height.max()), int(width.max()), 3), 255, np.uint8)
+        for t, w, d in zip(top, width, data, strict=True):
+            lines = np.frombuffer(d, np.uint8).reshape(-1, w, 3)
+            image[t : t + len(lines), :w] = lines
+        return image
+
+
 class PageImages(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -205,6 +236,20 @@ class PageImages(DataSource):
         return PageWriter(self.options["path"], overwrite)
 
 
+class PageStrips(PageImages):
+    """Files of the same kind, written as strips of whole lines; they are read as page_images."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "page_strips"
+
+    def schema(self) -> str:
+        return STRIPS
+
+    def writer(self, schema, overwrite: bool) -> StripWriter:
+        return StripWriter(self.options["path"], overwrite)
+
+
 def _store(path: str) -> tuple[fs.FileSystem, str]:
     store, root = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
     return store, root.rstrip("/")
@@ -213,6 +258,7 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 def use(spark: SparkSession) -> SparkSession:
     """Makes the source known to a session, and lets filters reach it."""
     spark.dataSource.register(PageImages)
+    spark.dataSource.register(PageStrips)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark
 
@@ -226,3 +272,10 @@ def write_pages(pixels: DataFrame, path: str) -> None:
     use(pixels.sparkSession)
     cast = pixels.select("img", *(pixels[c].cast("int").alias(c) for c in ("y", "x", "r", "g", "b")))
     cast.repartition("img").sortWithinPartitions("img", "y", "x").write.format("page_images").mode("overwrite").save(path)
+
+
+def write_strips(strips: DataFrame, path: str) -> None:
+    """Strips of whole lines (img, top, width, height, data: three bytes a pixel) as one file an image; images of the folder that was there go."""
+    use(strips.sparkSession)
+    cast = strips.select("img", *(strips[c].cast("int").alias(c) for c in ("top", "width", "height")), "data")
+    cast.repartition("img").sortWithinPartitions("img", "top").write.format("page_strips").mode("overwrite").save(path)

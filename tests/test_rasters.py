@@ -214,3 +214,35 @@ def test_documents_in_many_strips(spark, name, monkeypatch):
     whole = run()
     monkeypatch.setattr(raster_queries, "LINES", 3)
     assert run() == whole and whole
+
+
+def strips_of(spark, images, lines):
+    rows = [(k, t, min(lines, len(a) - t), a.shape[1], len(a), bytearray(a[t : t + lines].tobytes())) for k, a in images.items() for t in range(0, len(a), lines)]
+    return spark.createDataFrame(rows, "img string, top int, lines int, width int, height int, data binary")
+
+
+def test_strips_are_written_as_images(spark, tmp_path):
+    """A row of a file's strips, not of its pixels, reaches the writer."""
+    images = {f"a {k}/ü": image(k, 5 + 9 * k, 3 + 2 * k) for k in range(6)}
+    strips = strips_of(spark, images, 7).orderBy(F.rand(1)).repartition(4)
+    for _ in range(2):  # the second replaces the first
+        rasters.write_strips(strips, str(tmp_path / "out"))
+    want = sorted(r for k, a in images.items() for r in rows_of(a, k))
+    assert sorted(map(tuple, rasters.pages(spark, str(tmp_path / "out")).collect())) == want
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(p.name for p in (tmp_path / "out").glob("*.ppm"))
+    rasters.write_strips(strips.where("img = 'a 1/ü' AND top = 7"), str(tmp_path / "gap"))
+    got = {(r.y, r.x): (r.r, r.g, r.b) for r in rasters.pages(spark, str(tmp_path / "gap")).collect()}
+    a = images["a 1/ü"]
+    assert got == {(y, x): tuple(map(int, a[y, x])) if y >= 7 else (255, 255, 255) for y in range(14) for x in range(5)}
+
+
+@pytest.mark.parametrize("name", ["page_slices"])
+def test_queries_make_no_pixel_rows(spark, name, monkeypatch):
+    from huemill.plans import raster_queries, registry
+
+    def no(*_):
+        raise AssertionError("a row a pixel")
+
+    monkeypatch.setattr(raster_queries, "document_pixels", no)
+    monkeypatch.setattr(raster_queries, "LINES", 3)
+    assert registry.queries()[name](spark, "/root/testdata/sf0.001").count()
