@@ -78,7 +78,7 @@ def page_crops(spark, sf_dir):
         (F.col("l_orderkey") * 8 + line).alias("rect_id"), "l_partkey", "l_suppkey", F.col("l_partkey").cast("string").alias("img"),
         (F.col("l_suppkey") % 40).alias("x0"), (line * 2).alias("y0"), (F.col("l_suppkey") % 40 + F.col("l_quantity").cast("int")).alias("x1"), (line * 3 + 2).alias("y1"),
     )
-    return raster.crops(document_pixels(spark, sf_dir), rects).groupBy("rect_id", "l_partkey", "l_suppkey").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in "rgb"))
+    return raster.crop_sums(document_strips(spark, sf_dir), rects, LINES).groupBy("rect_id", "l_partkey", "l_suppkey").agg(*(F.sum(c).alias(c) for c in ("n", "r", "g", "b")))
 
 
 @register("fingerprint_consensus", f"""WITH {PIXELS_SQL}, {resized_sql("px", "thumb", 12, 4)},

@@ -236,7 +236,23 @@ def test_strips_are_written_as_images(spark, tmp_path):
     assert got == {(y, x): tuple(map(int, a[y, x])) if y >= 7 else (255, 255, 255) for y in range(14) for x in range(5)}
 
 
-@pytest.mark.parametrize("name", ["page_slices"])
+@pytest.mark.parametrize("lines", [3, 64])
+def test_crop_sums(spark, lines, monkeypatch):
+    """Sums of rectangles over one strip and over several, and with strips of several batches."""
+    monkeypatch.setattr(raster, "CUT_BYTES", 500)
+    images = {"a": image(1, 100, 120), "b": image(2, 10, 10)}
+    rects = [("a", 1, 3, 5, 70, 40), ("a", 2, 60, 60, 65, 61), ("b", 1, 0, 0, 10, 10), ("b", 4, -2, -5, 3, 4), ("a", 3, 119, 99, 500, 500), ("zz", 1, 0, 0, 5, 5), ("b", 2, 4, 4, 4, 9), ("b", 3, 10, 10, 12, 12)]
+    df = spark.createDataFrame(rects, "img string, rect_id int, x0 int, y0 int, x1 int, y1 int")
+    found = raster.crop_sums(strips_of(spark, images, lines), df, lines).groupBy("img", "rect_id").agg(*(F.sum(c) for c in ("n", "r", "g", "b")))
+    want = []
+    for img, k, x0, y0, x1, y1 in rects:
+        part = images[img][max(y0, 0) : y1, max(x0, 0) : x1].reshape(-1, 3).astype(int) if img in images else []
+        if len(part):
+            want.append((img, k, len(part), *map(int, part.sum(axis=0))))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["page_slices", "page_crops"])
 def test_queries_make_no_pixel_rows(spark, name, monkeypatch):
     from huemill.plans import raster_queries, registry
 
