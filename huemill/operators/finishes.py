@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from huemill.functions import labels
 from huemill.names import fresh
+from huemill.session import materialised
 
 #: Columns of a finish table, and between which of its vertical bounds each lies.
 COLUMNS = {"kind": 0, "description": 1, "variation": 2, "codes": 3}
@@ -76,21 +77,23 @@ def nested_rows(bounds: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _in_reading_order() -> Column:
     """Texts of a cell's blocks, from the top, then from the left."""
-    order = F.array_sort(F.collect_list(F.struct(F.bround("cy", 1).alias("y"), "cx", "block_id", "text")))
-    return F.transform(order, lambda s: s["text"])
+    order = F.sort_array(F.collect_list(F.struct(F.bround("cy", 1).alias("y"), "cx", "block_id", "text")))  # compiled, which array_sort's comparison isn't
+    return order.getField("text")
 
 
 def cells(blocks: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts of the cells of groups (page, group, kind, description) and of rows (page, group, row, variation, codes): arrays in reading order, null where a cell is empty.
 
-    blocks: page, block_id, text, cx, cy.
+    blocks: page, block_id, text, cx, cy. Rules, bounds and the placed blocks are stored, as several branches read each.
     """
-    frame = table_frame(rules)
-    bounds = table_rows(rules, frame)
+    rules = materialised(rules)
+    frame = materialised(table_frame(rules))
+    bounds = materialised(table_rows(rules, frame))
     placed = elementary(blocks.select("page", "block_id", "text", "cx", "cy"), bounds, ["page"], "cy", "at", "y").where("y >= 0")
     inside = lambda k: (F.col("cx") >= F.get("columns", k)) & (F.col("cx") <= F.get("columns", k + 1))
     sides = F.array_compact(F.array(*(F.when(inside(k), F.lit(c)) for c, k in COLUMNS.items())))
     told = placed.join(frame.select("page", "columns"), "page").select("page", "block_id", "text", "cx", "cy", "y", F.explode(sides).alias("column"))
+    told = materialised(told)
     groups, rows = nested_rows(bounds)
 
     def read(runs: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -1,8 +1,13 @@
 """Work that must not grow with the number of pages, on tables that are wide for their size."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from huemill.plans import file_queries
+from huemill.plans import file_queries, registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_product_indexes_are_few_files(spark, tmp_path, monkeypatch):
@@ -16,3 +21,11 @@ def test_product_indexes_are_few_files(spark, tmp_path, monkeypatch):
     got = {r.key: (r.first, r.words, r.n) for r in file_queries.product_rows(spark, "").collect()}
     assert got == {str(k): (str(500 - k), "A+Ox+R", 4) for k in range(500)}
     assert len([p for p in (tmp_path / "index").rglob("*") if p.name.startswith("part-")]) <= 32
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["finish_rejects", "guide_description", "extract_finishes", "guide_sections"])
+def test_finish_tables_read_blocks_once(spark, name):
+    """The branches of a finish table read stored blocks and bounds; none goes back to the line items."""
+    files = registry.queries()[name](spark, SF).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f]
