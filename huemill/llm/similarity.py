@@ -18,7 +18,7 @@ last in that order: a bounded list of frequent cells, counted over all documents
 A set with D filled cells or fewer could lose a link, and then only with another such set; these go
 on to a next level under another hash, and at the last to a prefix of their least hashes.
 
-The same hashes fill a sketch of parity bits, two to four an element. The Hamming distance of two of
+The same hashes fill a sketch of parity bits, about two an element. The Hamming distance of two of
 these is a lower bound of the symmetric difference too; it rules out most candidate pairs before a
 text is fetched. A longer sketch folds to the length of a shorter one.
 
@@ -40,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huemill.llm import superkmers as sk
@@ -59,6 +59,8 @@ FEW = 16
 LEVELS = 4
 #: Documents of one cell compared at a time with each other, or with as many others.
 BLOCK = 2048
+#: Bits of the map of wanted documents: for each document, and at least and at most as a power of two.
+ROOM, LEAST_BITS, MOST_BITS = 8, 10, 25
 #: Bytes of text in one slab, where sets are exchanged and where cells are counted.
 SLAB, COUNTED = 6 << 20, 6 << 20
 _u64 = np.uint64
@@ -195,7 +197,7 @@ def sketch(flat: np.ndarray, n: np.ndarray, frequent: Frequent, percent: int = P
 
 def bits_of(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parity bits of each set as bytes, one set after the other; and the bytes of each."""
-    size = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(1, 2 * n))).astype(np.int64) >> 3)
+    size = np.maximum(8, 1 << np.rint(np.log2(np.maximum(1, 2 * n))).astype(np.int64) >> 3)
     at = _ranges(8 * size)
     place = np.repeat(at[:-1], n) + (mixed(flat * sk.C2) & np.repeat(8 * size - 1, n).astype(np.uint64)).astype(np.int64)
     return np.packbits(np.bincount(place, minlength=int(at[-1])).astype(np.uint8) & 1, bitorder="little"), size
@@ -299,14 +301,16 @@ def _candidates(docs: DataFrame, listed: np.ndarray, size: int, percent: int) ->
             head = np.append(True, (p[1:] != p[:-1]).any(axis=1))
             lead = order[np.flatnonzero(head)][np.cumsum(head) - 1]
             same = np.stack([ids[lead[~head]], ids[order[~head]]])
-            mine = np.sort(order[head])
+            mine = order[head]
+            mine = mine[np.argsort(ids[mine], kind="stable")]  # steps between ids are small
             (flat, n), ids, prints = _only(flat, n, mine), ids[mine], prints[mine]
             bits, room = bits_of(flat, n)
             bits_at = _ranges(room)
             doc, up, key, weight = sketch(flat, n, frequent, percent, sizes)
             bucket = (key % _u64(n_buckets)).astype(np.int64)
             by = np.argsort((bucket * len(n) + doc) * 2 + up)
-            doc, up, rest, bucket = doc[by], up[by], (key // _u64(n_buckets))[by], bucket[by]
+            # 32 bits of a key beside its bucket: keys that agree in these make a candidate more, never one less
+            doc, up, rest, bucket = doc[by], up[by], (key // _u64(n_buckets)).astype(np.uint32)[by], bucket[by]
             cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
             equal_bucket = (prints[:, 0] % _u64(n_buckets)).astype(np.int64)
             buckets, blobs = [], []
@@ -320,7 +324,7 @@ def _candidates(docs: DataFrame, listed: np.ndarray, size: int, percent: int) ->
                 small = np.uint16 if not len(many) or many.max() < 1 << 16 else np.uint32
                 packed_bits = bits[ragged(bits_at[e], room[e])]
                 buckets.append(k)
-                blobs.append(pack(ids[who], n[who].astype(np.uint32), weight[who].astype(np.uint8), many.astype(small), above.astype(small), rest[i].astype(np.uint32), (rest[i] >> _u64(32)).astype(np.uint8), prints[e, 0], prints[e, 1], ids[e], n[e].astype(np.uint32), room[e], packed_bits, s[0], s[1]))
+                blobs.append(pack(np.diff(ids[who], prepend=0), n[who].astype(np.uint32), weight[who].astype(np.uint8), many.astype(small), above.astype(small), rest[i], prints[e, 0], prints[e, 1], ids[e], n[e].astype(np.uint32), room[e], packed_bits, s[0], s[1]))
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray, m: np.ndarray, bits: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
@@ -332,7 +336,8 @@ def _candidates(docs: DataFrame, listed: np.ndarray, size: int, percent: int) ->
         ids, counts, weights, of, keys, equal, seen = [], [], [], [], [], [], 0
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x, c, w, many, above, low, high, e0, e1, e_ids, e_n, room, bits, s0, s1 = unpack(blob.as_buffer())
+                x, c, w, many, above, low, e0, e1, e_ids, e_n, room, bits, s0, s1 = unpack(blob.as_buffer())
+                x = np.cumsum(x)
                 many, above, at, raw = many.astype(np.int64), above.astype(np.int64), _ranges(room).tolist(), bits.tobytes()
                 ids.append(x)
                 counts.append(c.astype(np.int64))
@@ -341,7 +346,7 @@ def _candidates(docs: DataFrame, listed: np.ndarray, size: int, percent: int) ->
                 seen += len(x)
                 # buckets may share a partition; the last bit is 1 where the document comes from the band below
                 up = np.repeat(np.tile([0, 1], len(x)), np.stack([many - above, above], axis=1).reshape(-1)).astype(np.uint64)
-                keys.append((_u64(bucket) << _u64(41)) + (high.astype(np.uint64) << _u64(33)) + (low.astype(np.uint64) << _u64(1)) + up)
+                keys.append((_u64(bucket) << _u64(33)) + (low.astype(np.uint64) << _u64(1)) + up)
                 equal.append((e0, e1, e_ids))
                 yield from rows(EQUAL, s0, s1, np.zeros(len(s0)))
                 yield from rows(SET, e_ids, np.zeros(len(e_ids)), e_n, [raw[a:b] for a, b in zip(at, at[1:], strict=False)])
@@ -450,6 +455,23 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     return placed.groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _place(name: str, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.col(name)), 64 - bits)
+
+
+def wanted(ids: DataFrame, bits: int) -> DataFrame:
+    """A map of 2**bits bits, in rows of 64-bit words, with one set for each document that the column doc_id of ids names."""
+    place = ids.select(_place("doc_id", bits).alias("place"))
+    return place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("set"))
+
+
+def among(rows: DataFrame, name: str, found: DataFrame, bits: int) -> DataFrame:
+    """The rows whose column of this name is on the map; and some more, as ids share bits."""
+    place = _place(name, bits)
+    on = (F.shiftright(place, 6) == F.col("word")) & (F.expr("shiftright(set, cast(place & 63 as int)) & 1") == 1)
+    return rows.withColumn("place", place).join(F.broadcast(found), on, "left_semi").drop("place")  # 2**MOST_BITS bits at most
+
+
 def zipped(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with the texts compressed, as they are written and shuffled several times."""
 
@@ -497,23 +519,32 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, counts: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(node, component) of each document that is linked with another."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    room = ROOM * counts.where("cell is null").count()
+    bits = min(max(room.bit_length(), LEAST_BITS), MOST_BITS)
+    ends = lambda pairs: pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
     found = shared_checkpoint(_candidates(docs, frequent_cells(counts), size, percent))
     sets = found.where(F.col("kind") == SET).select(F.col("a").alias("doc"), "n", "bits")
     shared = found.where(F.col("kind") == SHARED).select(F.col("a").alias("cell"), F.col("b").alias("doc"))
-    pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = shared_checkpoint(_near(pairs, sets, percent))
-    names = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(shared.select("doc")).distinct()
-    texts = shared_checkpoint(zipped(docs.join(names, "doc_id", "left_semi")))
-    ends = pairs.select("a", "b", "n").union(pairs.select("b", "a", "n"))
-    best = ends.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = shared_checkpoint(found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n")))
+    pairs = shared_checkpoint(_near(pairs, among(sets, "doc", wanted(ends(pairs), bits), bits), percent))
+    # only these texts are compressed and stored, and no text moves for that
+    texts = shared_checkpoint(zipped(among(docs, "doc_id", wanted(ends(pairs).union(shared.select("doc")), bits), bits)))
+
+    def linked(some: DataFrame) -> DataFrame:
+        """Of these pairs the ones that link. Only their texts move, not those of all rounds."""
+        some = shared_checkpoint(some)
+        return verified(some, among(texts, "doc_id", wanted(ends(some), bits), bits), size, percent)
+
+    sides = pairs.select("a", "b", "n").union(pairs.select("b", "a", "n"))
+    best = shared_checkpoint(sides.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     equal = found.where(F.col("kind") == EQUAL).select("a", "b")
-    labels = components(equal.unionByName(verified(best, texts, size, percent)))
+    labels = components(equal.unionByName(linked(best)))
     joined = lambda more: components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
     others = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-    labels = joined(verified(_apart(others, labels), texts, size, percent))
+    labels = joined(linked(_apart(others, labels)))
     rest = _open_pairs(shared, labels, sets, percent).join(pairs, ["a", "b"], "left_anti")
-    return joined(verified(rest, texts, size, percent))
+    return joined(linked(rest))
 
 
 def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

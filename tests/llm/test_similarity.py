@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -101,6 +102,37 @@ def test_chain_of_links(spark, monkeypatch):
         assert sorted(map(tuple, sim.groups(df).collect()), key=str) == want
 
 
+def written(spark):
+    """Bytes that all shuffles so far have written."""
+    time.sleep(0.3)
+    spark.range(1).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_texts_without_candidates_do_not_move(spark):
+    r = random.Random(6)
+    word = lambda: f"{r.getrandbits(160):040x}"
+    texts = [[word() for _ in range(100)] for _ in range(400)]
+    docs = [(d, " ".join(w)) for d, w in enumerate(texts)] + [(400 + d, " ".join([*texts[d], word()])) for d in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).localCheckpoint()
+    before = written(spark)
+    got = {x.doc_id: x.component_id for x in sim.groups(df).collect()}
+    assert got == {d: d - 400 if d >= 400 else d for d, _ in docs}
+    assert written(spark) - before < 0.4 * sum(len(t) for _, t in docs)
+
+
+def test_map_of_wanted_documents(spark):
+    df = spark.createDataFrame([(d if d % 9 else -d, str(d)) for d in range(3000)] + [(None, "")], "doc_id long, text string").repartition(4)
+    for step, bits in ((7, 10), (7, 16), (5000, 10)):
+        named = df.select("doc_id").where(f"doc_id % {step} = 0 or doc_id is null")
+        got = {x.text for x in sim.among(df, "doc_id", sim.wanted(named, bits), bits).collect()}
+        assert got >= {x.text for x in df.where(f"doc_id % {step} = 0 or doc_id is null").collect()}
+        assert len(got) < 500 * (3 if bits == 10 else 1)
+    none = sim.wanted(df.select("doc_id").limit(0), 10)
+    assert sim.among(df, "doc_id", none, 10).count() == 0
+
+
 def test_columns_of_inner_names(spark):
     names = ["node", "component", "cell", "doc", "a", "b", "n", "count", "_node"]
     df = spark.createDataFrame([(1, "a b c d e f", *range(9)), (2, "a b c d e f", *range(9)), (None, "a", *range(9)), (None, "a", *range(9))], f"doc_id long, text string, {', '.join(f'{c} int' for c in names)}")
