@@ -27,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ PLACES = (*range(-WINDOW, 0), *range(1, WINDOW + 1))
 ROWS = 1024
 #: One position in so many is masked in a round of training; rounds, masked words of one step, learning rate.
 MASKED, ROUNDS, STEP, RATE = 6, 1, 4096, 0.2
+#: Up to here the exponentials of float32 are summed as they are.
+STEADY = 80
 #: Class of the places before and after a text.
 BOUND = 0
 #: Words counted by a task before it passes them on; words whose class a task remembers.
@@ -83,6 +86,27 @@ class Classes(dict):
         return ids, np.flatnonzero(ids != BOUND)
 
 
+class Listed(dict):
+    """Places of the most frequent words on their list; for another word the complement of its shared class, counted from the first one. One look for each word of a text."""
+
+    def __init__(self, words: list[str], own: int, size: int = GROUPS * PER, rest: int = REST):
+        super().__init__({w: k for k, w in enumerate(words)})
+        self.first, self.rest = size - rest, rest
+        self.classes = np.array([k + 1 if k < own else self.first + ~self.__missing__(w) for k, w in enumerate(words)] or [0], np.int32)
+
+    def __missing__(self, word: str) -> int:
+        return ~(zlib.crc32(word.encode()) % self.rest)
+
+    def of(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As Classes.of, and the places on the list, negative for the words that aren't on it."""
+        n = np.array([len(words) for words in texts], np.int64)
+        place = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(n.sum()))
+        at = np.arange(len(place)) + np.repeat(WINDOW * np.arange(1, len(n) + 1), n)
+        ids = np.full(len(place) + WINDOW * (len(n) + 1), BOUND, np.int32)
+        ids[at] = np.where(place < 0, self.first + ~place, self.classes[np.maximum(place, 0)])
+        return ids, at, place
+
+
 class Network:
     """Parameters by name: embeddings e, weights s of the places, bias h; groups g, gb; classes o, ob."""
 
@@ -109,12 +133,6 @@ class Network:
             at += x.size
         return self
 
-    def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        total = np.tile(self.p["h"], (len(at), 1))
-        for k, d in enumerate(PLACES):
-            total += self.p["s"][k] * self.p["e"][ids[at + d]]
-        return np.tanh(total)
-
     def _between(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """hidden() of places in order that are close together: by slices of all places between the first and the last."""
         first, n = at[0], at[-1] + 1 - at[0]
@@ -127,51 +145,66 @@ class Network:
 
     def _by_group(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Rows with a class of each group, ROWS at a time."""
-        group = ids // self.per
+        group = _narrow(ids // self.per)
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(self.groups + 1))
         for g in range(self.groups):
             for k in range(cuts[g], cuts[g + 1], ROWS):
                 yield g, order[k : min(k + ROWS, cuts[g + 1])]
 
-    def _output(self, g: int) -> tuple[np.ndarray, np.ndarray]:
-        """Weights and biases of the groups, and below them of the classes of one group."""
-        return np.concatenate([self.p["g"], self.p["o"][g]]), np.concatenate([self.p["gb"], self.p["ob"][g]])
+    def _output(self, g: int) -> np.ndarray:
+        """Weights of the groups, and below them of the classes of one group; the last column has their biases."""
+        w = np.empty((self.groups + self.per, self.width + 1), self.p["o"].dtype)
+        w[: self.groups, :-1], w[: self.groups, -1], w[self.groups :, :-1], w[self.groups :, -1] = self.p["g"], self.p["gb"], self.p["o"][g], self.p["ob"][g]
+        return w
+
+    def _room(self) -> np.ndarray:
+        """Room for the outputs of ROWS places, used again and again: new memory for each would cost as much as the numbers."""
+        return np.empty((self.groups + self.per) * ROWS, self.p["o"].dtype)
+
+    def _steady(self) -> bool:
+        """Whether no output can leave the range STEADY, as hidden values lie between -1 and 1."""
+        return all(float((np.abs(self.p[w]).sum(axis=-1) + np.abs(self.p[b])).max()) < STEADY for w, b in (("g", "gb"), ("o", "ob")))
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log-probability of the class at each of these places, in order, given both sides."""
-        out = np.empty(len(at))
+        out, steady, room, outputs = np.empty(len(at)), self._steady(), self._room(), [self._output(g) for g in range(self.groups)]
         for k in range(0, len(at), 1 << 16):
             here = at[k : k + (1 << 16)]
-            x, classes = np.concatenate([self._between(ids, here[j : j + 4096]) for j in range(0, len(here), 4096)]), ids[here]
+            x, classes = np.ones((len(here), self.width + 1), self.p["o"].dtype), ids[here]
+            for j in range(0, len(here), 4096):
+                x[j : j + 4096, :-1] = self._between(ids, here[j : j + 4096])
             for g, rows in self._by_group(classes):
-                w, bias = self._output(g)
-                z = w @ x[rows].T + bias[:, None]
-                out[k + rows] = _picked(z[: self.groups], g) + _picked(z[self.groups :], classes[rows] % self.per)
+                z = _times(outputs[g], x[rows], room)
+                out[k + rows] = _picked(z[: self.groups], g, steady) + _picked(z[self.groups :], classes[rows] % self.per, steady)
         return out
 
     def gradient(self, ids: np.ndarray, at: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Summed loss at these places and its gradients; that of the embeddings only for the classes that the third result lists."""
-        x, classes = self.hidden(ids, at), ids[at]
-        grad, dx, loss = {k: np.zeros_like(self.p[k]) for k in ("g", "gb", "o", "ob")}, np.empty_like(x), 0.0
+        near, classes, steady = np.stack([ids[at + d] for d in PLACES]), ids[at], self._steady()
+        e, total = self.p["e"][near], np.tile(self.p["h"], (len(at), 1))
+        for k in range(len(PLACES)):
+            total += self.p["s"][k] * e[k]
+        x, room = np.ones((len(at), self.width + 1), total.dtype), self._room()
+        x[:, :-1] = np.tanh(total)
+        grad, dx, loss = {k: np.zeros_like(self.p[k]) for k in ("g", "gb", "o", "ob")}, np.empty_like(total), 0.0
         for g, rows in self._by_group(classes):
-            w, bias = self._output(g)
-            mine = x[rows]
-            z = w @ mine.T + bias[:, None]
-            loss -= (_picked(z[: self.groups], g, True) + _picked(z[self.groups :], classes[rows] % self.per, True)).sum()
-            dx[rows], dw, db = z.T @ w, z @ mine, z.sum(axis=1)
-            grad["g"] += dw[: self.groups]
-            grad["gb"] += db[: self.groups]
-            grad["o"][g] += dw[self.groups :]
-            grad["ob"][g] += db[self.groups :]
-        dx *= 1 - x * x
-        near = np.stack([ids[at + d] for d in PLACES])
+            w, mine = self._output(g), x[rows]
+            z = _times(w, mine, room)
+            loss -= (_picked(z[: self.groups], g, steady, True) + _picked(z[self.groups :], classes[rows] % self.per, steady, True)).sum()
+            dx[rows], dw = z.T @ w[:, :-1], z @ mine
+            grad["g"] += dw[: self.groups, :-1]
+            grad["gb"] += dw[: self.groups, -1]
+            grad["o"][g] += dw[self.groups :, :-1]
+            grad["ob"][g] += dw[self.groups :, -1]
+        dx *= 1 - x[:, :-1] * x[:, :-1]
         grad["h"] = dx.sum(axis=0)
-        grad["s"] = np.stack([(dx * self.p["e"][n]).sum(axis=0) for n in near])
-        order = np.argsort(near.reshape(-1), kind="stable")
-        each = (self.p["s"][:, None, :] * dx).reshape(-1, self.width)[order]
+        grad["s"] = np.stack([np.einsum("ij,ij->j", dx, y) for y in e])
+        order = np.argsort(_narrow(near.reshape(-1)), kind="stable")
+        # a row for each number of an embedding, as sums along rows are faster than down columns
+        each = (self.p["s"].T[:, :, None] * np.ascontiguousarray(dx.T)[:, None, :]).reshape(self.width, -1)[:, order]
         seen, heads = np.unique(near.reshape(-1)[order], return_index=True)
-        grad["e"] = np.add.reduceat(each, heads, axis=0) if len(seen) else each
+        grad["e"] = (np.add.reduceat(each, heads, axis=1) if len(seen) else each).T
         return float(loss), grad, seen
 
     def steps(self, ids: np.ndarray, at: np.ndarray, squares: dict[str, np.ndarray], rate: float) -> None:
@@ -185,13 +218,24 @@ class Network:
                 self.p[name][where] -= rate * g / (np.sqrt(squares[name][where]) + 1e-8)
 
 
-def _picked(z: np.ndarray, which: np.ndarray | int, slope: bool = False) -> np.ndarray:
-    """Log-softmax of the columns of z at one row each; where asked for, z becomes its negative gradient."""
+def _times(w: np.ndarray, x: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """w @ x.T in this room."""
+    return np.matmul(w, x.T, out=room[: len(w) * len(x)].reshape(len(w), len(x)))
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in 16 bits where they fit, which a stable sort takes by their digits."""
+    return x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x
+
+
+def _picked(z: np.ndarray, which: np.ndarray | int, steady: bool, slope: bool = False) -> np.ndarray:
+    """Log-softmax of the columns of z at one row each; where asked for, z becomes its negative gradient. If z isn't steady, the largest number of a column is taken off first."""
     columns = np.arange(z.shape[1])
-    z -= z.max(axis=0)
+    if not steady:
+        z -= z.max(axis=0)
     logs = z[which, columns].astype(np.float64)
     np.exp(z, out=z)
-    total = z.sum(axis=0)
+    total = np.ones(len(z), z.dtype) @ z
     if slope:
         z /= total
         z[which, columns] -= 1
@@ -251,17 +295,18 @@ def class_counts(counted: DataFrame, words: list[str], size: int, rest: int) ->
     return tokens, sizes
 
 
-def trained(docs: DataFrame, network: Network, words: list[str], rest: int, round_: int, rate: float) -> Network:
-    """The average of what the tasks make of the network in one pass over their texts."""
+def trained(docs: DataFrame, network: Network, words: list[str], own: int, rest: int, round_: int, rate: float) -> Network:
+    """The average of what the tasks make of the network in one pass over their texts; the first words of the list have classes of their own."""
     spark = docs.sparkSession
+    listed = spark.sparkContext.broadcast(words)  # those with a class of their own and HEAD more at most
     start = spark.sparkContext.broadcast(network.flat())  # of fixed size
     groups, per, width = network.groups, network.per, network.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Network(groups, per, width).of_flat(start.value.copy())
-        classes, squares, masked = Classes(words, groups * per, rest), {k: np.full_like(x, 1e-4) for k, x in mine.p.items()}, 0
+        classes, squares, masked = Listed(listed.value, own, groups * per, rest), {k: np.full_like(x, 1e-4) for k, x in mine.p.items()}, 0
         for b in slices(batches, 0, sk.CHUNK):
-            ids, at = classes.of([t.lower().split() for t in texts_of(b.column(0))])
+            ids, at, _ = classes.of([t.lower().split() for t in texts_of(b.column(0))])
             at = at[np.random.default_rng([round_, len(at)]).random(len(at)) < 1 / MASKED]
             mine.steps(ids, at, squares, rate)
             masked += len(at)
@@ -296,7 +341,7 @@ def fit(docs: DataFrame, groups: int = GROUPS, per: int = PER, rest: int = REST,
     tokens, sizes = class_counts(counted, words, groups * per, rest)
     network = Network(groups, per).biased(tokens)
     for k in range(rounds):
-        network = trained(docs, network, words, rest, k, rate / (k + 1))
+        network = trained(docs, network, list(table), len(words), rest, k, rate / (k + 1))
     return Model(words, network, rest, counted, table | {w: -table[w] for w in words}, sizes)
 
 
@@ -337,16 +382,15 @@ def _tail(docs: DataFrame, model: Model, head) -> DataFrame:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """A row per row of docs: words, known words, summed and mean log-probability."""
     context = docs.sparkSession.sparkContext
-    network, sizes, words, rest = context.broadcast(model.network), model.sizes, model.words, model.rest  # of fixed size
+    network, sizes, own, rest = context.broadcast(model.network), model.sizes, len(model.words), model.rest  # of fixed size
     head = context.broadcast(model.head)  # HEAD words at most, and those with a class of their own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(words, len(sizes), rest)
+        classes, times = Listed(list(head.value), own, len(sizes), rest), np.array([*head.value.values(), 0], np.int64)
         for b in slices(batches, 2, sk.CHUNK):
             texts = [t.lower().split() for t in texts_of(b.column(2))]
-            ids, at = classes.of(texts)
-            get = head.value.get
-            counts = np.array([get(w, 0) for t in texts for w in t], np.int64)
+            ids, at, place = classes.of(texts)
+            counts = times[np.where(place < 0, -1, place)]
             shares = np.round(np.log(np.maximum(counts, 0) + 1.0) * ONE).astype(np.int64)
             each = network.value.log_probabilities(ids, at) - sizes[ids[at]]
             n = np.array([len(t) for t in texts], np.int64)

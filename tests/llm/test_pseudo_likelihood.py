@@ -94,3 +94,13 @@ def test_empty(spark):
     model = pl.fit(df, 2, 4, 3)
     assert np.allclose(model.network.log_probabilities(np.array([0, 0, 0, 5, 0, 0, 0]), np.array([3])), np.log(1 / 8), atol=0.01)
     assert pl.score(df, model).count() == 0
+
+
+def test_one_look_gives_class_and_place():
+    words = [f"w{k}" for k in range(40)]
+    texts = [["w3", "new", "w39", "w5"], [], ["other", "w0"], ["é", "w7", "w7"]]
+    for own, texts_ in ((5, texts), (0, texts), (40, texts), (5, []), (5, [[]])):
+        ids, at = pl.Classes(words[:own], 64, 16).of(texts_)
+        got, places, place = pl.Listed(words, own, 64, 16).of(texts_)
+        assert got.tolist() == ids.tolist() and places.tolist() == at.tolist()
+        assert [words[k] if k >= 0 else None for k in place.tolist()] == [w if w in words else None for t in texts_ for w in t]
