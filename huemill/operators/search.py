@@ -223,6 +223,15 @@ def tone_siblings(colors: DataFrame, key: str = "k", number: str = "n") -> DataF
     return colors.select(key, number).distinct().join(n, number).select(key, number, (F.col("others") - 1).alias("others"))
 
 
+def sibling_pairs(colors: DataFrame, key: str = "k", numbers: tuple[str, ...] = ("n",)) -> DataFrame:
+    """(key, sibling): each key with every other key of its number, which may be several columns; a null number has no siblings.
+
+    The pairs of a number grow with the square of its keys. They are the output: a task streams them from a sorted merge, which spills, and no list of them is made.
+    """
+    others = colors.select(*numbers, F.col(key).alias("sibling")).hint("merge")
+    return colors.select(*numbers, key).join(others, list(numbers)).where(F.col(key) != F.col("sibling")).select(key, "sibling")
+
+
 def hue_bands(colors: DataFrame, n: int, usable: Column, position: str = "k") -> DataFrame:
     """The most saturated usable colour of each of n equal bands of hue; of a band without usable ones, of all. Hue 360 is in none."""
     banded = colors.withColumn("band", F.floor(F.col("hue") * n / 360).cast("int")).where(F.col("band") < n).withColumn("_poor", (~usable).cast("int"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from huemill.functions import color
 from huemill.operators import audit, graphs, raster, search, spatial
+from huemill.plans import catalogue_queries
 
 
 def fold(values, tolerance):
@@ -101,6 +102,16 @@ def test_siblings_are_classes(spark):
     assert sorted((x[0], x.keys, x[2]) for x in search.tone_classes(df.withColumnRenamed("n", "number"), number="number").collect()) == [(1, ["1", "1F", "1L"], 3), (2, ["2"], 1)]
 
 
+def test_siblings_are_all_pairs(spark, monkeypatch):
+    """Each pair in both directions, as the reference lists them; a null number has none."""
+    rows = [(1, 7, "a"), (2, 7, "a"), (3, 7, "b"), (4, 7, "a"), (5, None, "a"), (6, None, "a")]
+    df = spark.createDataFrame(rows, "p_partkey long, p_size int, p_brand string")
+    monkeypatch.setattr(catalogue_queries, "table", lambda *_: df)
+    got = catalogue_queries.tone_siblings(spark, "")
+    assert got.columns == ["k", "sibling"]
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 4), (2, 1), (2, 4), (4, 1), (4, 2)]
+
+
 def test_lab_by_steps_is_oklab(spark):
     df = spark.range(0, 256**3, 104_729).select(F.concat(F.lit("#"), F.lpad(F.hex("id"), 6, "0")).alias("hex"), F.lit(1).alias("rgb"), F.lit(2).alias("L"))
     both = color.with_lab(df).select("*", color.oklab(*(color.rgb_of(F.col("hex"))[c] for c in "rgb")).alias("o"))
