@@ -5,8 +5,10 @@ hash of the grams of `gram` symbols in it, so equal windows have equal minimiser
 windows with one minimiser travel as one packed string to the bucket of that minimiser; every
 window is in exactly one string, and all equal windows meet in one bucket.
 
-There are as many buckets as keep the text of each bounded, however few partitions a session has, and
-a task has one bucket. It works on slabs of its input of bounded size. In a slab, equal strings are sent once: a later
+There are as many buckets as keep the text of each bounded on average, however few partitions a session has, and
+a task has one bucket. The windows of one frequent gram all meet in one, whatever their number: strings beyond
+HELD bytes wait in a temporary file, and what is too much to compare at once is cut again by the minimisers of
+another order of grams, which equal windows share too. A sending task works on slabs of its input of bounded size. In a slab, equal strings are sent once: a later
 copy whose windows all have an earlier equal in the slab is decided on the spot. So a passage that
 a third of all documents share reaches its bucket once per slab, not once per document.
 
@@ -15,7 +17,8 @@ Strings are compared byte by byte wherever a hash says they are equal; hashes on
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +38,10 @@ STRINGS, TEXTS = 8 << 20, 12 << 20
 LONGEST = 512
 #: Windows, and bytes of their strings, compared at a time in a bucket.
 WINDOWS, BYTES = 600_000, 2 << 20
+#: Bytes of a bucket's strings and occurrences that a task holds, its pieces in a file, and the orders of grams by which windows of one minimiser are told apart.
+HELD, PIECES, ORDERS = 56 << 20, 64, 4
+#: Ranges that are sent on together.
+RANGES = 1 << 19
 
 _u64 = np.uint64
 C1, C2, C3 = _u64(0x9E3779B97F4A7C15), _u64(0xC2B2AE3D27D4EB4F), _u64(0x165667B19E3779F9)
@@ -110,9 +117,9 @@ def runs(grams: np.ndarray, bounds: np.ndarray, span: int, gram: int) -> tuple[n
     return starts, counts, least[starts], np.searchsorted(bounds, starts, side="right") - 1
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 6) -> bytes:
     head = np.array([len(arrays), *(x for a in arrays for x in (len(a), np.dtype(a.dtype).num))], np.int64)
-    return zstandard.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 6)
+    return zstandard.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), level)
 
 
 def steps(values: np.ndarray) -> np.ndarray:
@@ -162,6 +169,18 @@ class Strings:
         mine = np.flatnonzero(new[self.of] >= 0)
         return Strings(data, self.sizes[which], self.counts[which], self.tags[which], new[self.of[mine]], self.doc[mine], self.key[mine], self.at[mine])
 
+    def room(self) -> int:
+        """Bytes that it takes."""
+        return len(self.data) + 24 * len(self.sizes) + 32 * len(self.of)
+
+    def dealt(self, n: int) -> Iterator[tuple[int, Strings]]:
+        """The strings by their tag modulo n."""
+        own = self.tags.astype(np.int64) % n
+        order = np.argsort(own, kind="stable")
+        cuts = np.searchsorted(own[order], np.arange(n + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            yield k, self.take(order[cuts[k] : cuts[k + 1]])
+
 
 def joined(parts: list[Strings]) -> Strings:
     shift = np.cumsum([0, *(len(p.sizes) for p in parts)])
@@ -254,6 +273,123 @@ def run_ranges(flags: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 Compare = Callable[[Strings], list[tuple[np.ndarray, ...]]]
 
+
+
+def recut(s: Strings, symbols: Symbols, span: int, gram: int, order: int) -> Iterator[Strings]:
+    """The same windows as super-k-mers of another order of grams, in blocks; a tag has 8 bits of the new minimiser."""
+    by = np.argsort(s.of, kind="stable")
+    cuts = np.searchsorted(s.of[by], np.arange(len(s.sizes) + 1))
+    ends = np.concatenate([[0], np.cumsum(s.sizes)])
+    i = 0
+    while i < len(s.sizes):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + CHUNK, side="right")) - 1)
+        body, bounds, first, last, grams = symbols(s.data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+        starts, counts, least, owner = runs(mixed(grams + _u64(order) * C3), bounds, span, gram)
+        a, b = first[starts], last[starts + counts + span - 2]
+        n = np.diff(cuts)[i + owner]
+        occ = by[ragged(cuts[i + owner], n)]
+        yield Strings(gather(body, a, b - a), b - a, counts, (mixed(least) & _u64(0xFF)).astype(np.uint8), np.repeat(np.arange(len(starts)), n), s.doc[occ], s.key[occ], s.at[occ] + np.repeat(starts - bounds[owner], n))
+        i = j
+
+
+class Pieces:
+    """Strings by piece in a file without a name, which goes with the task."""
+
+    def __init__(self) -> None:
+        self.file, self.places = tempfile.TemporaryFile(), {}  # noqa: SIM115
+
+    def add(self, name: tuple[int, ...], s: Strings) -> None:
+        blob = pack(s.data, s.sizes.astype(np.uint32), s.counts.astype(np.uint16), s.tags, steps(s.of), s.doc, s.key, steps(s.at), level=1)
+        self.places.setdefault(name, []).append((self.file.seek(0, 2), len(blob), s.room()))
+        self.file.write(blob)
+
+    def room(self, name: tuple[int, ...]) -> int:
+        return sum(r for *_, r in self.places[name])
+
+    def take(self, name: tuple[int, ...]) -> Iterator[Strings]:
+        for at, size, _ in self.places.pop(name):
+            self.file.seek(at)
+            data, sizes, counts, tags, of, doc, key, place = unpack(self.file.read(size))
+            yield Strings(data, sizes.astype(np.int64), counts.astype(np.int64), tags, summed(of), doc, key, summed(place))
+
+
+def _repeats(arriving: Iterator[Strings], symbols: Symbols, compare: Compare, span: int, gram: int, self_repeats: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """Ranges of the repeats among a bucket's strings, whatever their number, in bounded room."""
+    pieces: Pieces | None = None
+
+    def solved(s: Strings, order: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Of strings that fit in a task. Those of too many windows are cut by the next order."""
+        s, gone = settle(s, self_repeats, span)
+        yield gone
+        n = max(-(-int(s.counts.sum()) // WINDOWS), -(-len(s.data) // BYTES))
+        if n <= 2 or order > ORDERS:
+            yield from compare(s)
+            return
+        finer = joined(list(recut(s, symbols, span, gram, order)))
+        del s
+        for _, part in finer.dealt(min(256, 2 * n)):
+            yield from solved(part, order + 1)
+
+    def drained(parts: list[Strings]) -> Iterator[Strings]:
+        while parts:
+            yield parts.pop()
+
+    def together(parts: Iterable[Strings], order: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Of parts that fit, or that no order tells apart: then equal strings are settled whenever the parts have doubled."""
+        held, room, limit = [], 0, HELD
+        for s in parts:
+            held.append(s)
+            room += s.room()
+            if room > limit:
+                s, gone = settle(joined(list(drained(held))), self_repeats, span)
+                yield gone
+                held, room = [s], s.room()
+                limit = max(HELD, 2 * room)
+        if held:
+            s = joined(held)
+            held.clear()
+            n = max(1, -(-int(s.counts.sum()) // WINDOWS), -(-len(s.data) // BYTES))
+            for _, part in s.dealt(min(256, n)):
+                yield from solved(part, order)
+
+    def stored(name: tuple[int, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Of a piece of the file: as it is, if it fits, else cut by the next order into pieces of its own."""
+        if pieces.room(name) <= HELD or len(name) > ORDERS:
+            yield from together(pieces.take(name), len(name))
+            return
+        finer: set[tuple[int, ...]] = set()
+        for s in pieces.take(name):
+            for block in recut(s, symbols, span, gram, len(name)):
+                block, gone = settle(block, self_repeats, span)
+                yield gone
+                for k, part in block.dealt(PIECES):
+                    pieces.add((*name, k), part)
+                    finer.add((*name, k))
+        for part in sorted(finer):
+            yield from stored(part)
+
+    held, room = [], 0
+    for s in arriving:
+        held.append(s)
+        room += s.room()
+        if room > HELD:
+            pieces = pieces or Pieces()
+            s, gone = settle(joined(list(drained(held))), self_repeats, span)
+            yield gone
+            for k, part in s.dealt(PIECES):
+                pieces.add((k,), part)
+            room = 0
+    if pieces is None:
+        yield from together(drained(held), 1)
+        return
+    if held:
+        for k, part in joined(held).dealt(PIECES):
+            pieces.add((k,), part)
+        held.clear()
+    for name in sorted(pieces.places):
+        yield from stored(name)
+
+
 ROWS = "bucket int, kind byte, blob binary"
 
 
@@ -357,30 +493,27 @@ def removed(docs: DataFrame, symbols: Symbols, compare: Compare, span: int, gram
             yield from flush()
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[Strings] = []
-        for batch in batches:
-            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if kind == 1:  # ranges that a slab has decided travel on
-                    doc, key, many, at, size = unpack(blob.as_buffer())
-                    yield from _range_rows([(np.repeat(doc, many), np.repeat(key, many), summed(at), size.astype(np.int64))], n)
-                    continue
-                data, sizes, counts, tags, of, doc, key, place, at = unpack(blob.as_buffer())
-                counts, place = counts.astype(np.int64), summed(place)
-                parts.append(Strings(data, sizes.astype(np.int64) + counts, counts, tags, summed(of), doc[place], key[place], summed(at)))
-        if not parts:
-            return
-        s = joined(parts)
-        parts.clear()
-        pieces = max(1, -(-int(s.counts.sum()) // WINDOWS), -(-len(s.data) // BYTES))
-        ranges = []
-        own = s.tags.astype(np.int64) % pieces
-        order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(pieces + 1))
-        for k in range(pieces):
-            open_strings, gone = settle(s.take(order[cuts[k] : cuts[k + 1]]), self_repeats, span)
-            ranges.append(gone)
-            ranges += compare(open_strings)
+        def strings() -> Iterator[Strings]:
+            for batch in batches:
+                for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    if kind == 1:  # ranges that a slab has decided travel on
+                        doc, key, many, at, size = unpack(blob.as_buffer())
+                        decided.append((np.repeat(doc, many), np.repeat(key, many), summed(at), size.astype(np.int64)))
+                        continue
+                    data, sizes, counts, tags, of, doc, key, place, at = unpack(blob.as_buffer())
+                    counts, place = counts.astype(np.int64), summed(place)
+                    yield Strings(data, sizes.astype(np.int64) + counts, counts, tags, summed(of), doc[place], key[place], summed(at))
+
+        decided: list[tuple[np.ndarray, ...]] = []
+        ranges, many = [], 0
+        for found in _repeats(strings(), symbols, compare, span, gram, self_repeats):
+            ranges.append(found)
+            many += len(found[0])
+            if many >= RANGES:
+                yield from _range_rows(ranges, n)
+                ranges, many = [], 0
         yield from _range_rows(ranges, n)
+        yield from _range_rows(decided, n)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, SLAB):

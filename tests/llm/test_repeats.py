@@ -120,3 +120,39 @@ def test_buckets_follow_the_text(spark, monkeypatch, find):
     assert sk.buckets_of(df)[0] >= 20
     assert out.rdd.getNumPartitions() >= 30
     assert sorted(out.collect(), key=str) == want
+
+
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+@pytest.mark.parametrize("held", [1 << 30, 20_000, 1])
+def test_windows_of_one_gram_are_told_apart(monkeypatch, kind, held):
+    """A bucket of one minimiser is compared in bounded parts, and only what fits is held, with the repeats of the definition."""
+    r = random.Random(5)
+    symbols, compare, span, gram, own = (suffix_dedup._bytes, suffix_dedup._compare(50), 50, 8, False) if kind == "bytes" else (passage_dedup._words, passage_dedup._compare(20), 20, 3, True)
+    words = [f"{r.choice('bcdf')}{r.choice('aeiou')}{i}" for i in range(300)]
+    texts = [" ".join([*r.choices(words, k=14), "one very common line", *r.choices(words, k=14)]) for _ in range(150)]
+    texts += [r.choice(texts)[r.randint(0, 40) :] for _ in range(60)] + ["zz " * 60] * 2
+    r.shuffle(texts)
+    parts = []
+    for at in range(0, len(texts), 10):
+        data = [t.encode() for t in texts[at : at + 10]]
+        body, bounds, first, last, grams = symbols(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        starts, counts, _, owner = sk.runs(grams * np.uint64(0), bounds, span, gram)  # all grams count as one
+        a, b = first[starts], last[starts + counts + span - 2]
+        parts.append(sk.Strings(sk.gather(body, a, b - a), b - a, counts, np.zeros(len(a), np.uint8), np.arange(len(a)), at + owner, at + owner, starts - bounds[owner]))
+    monkeypatch.setattr(sk, "WINDOWS", limit := 2_000 if kind == "bytes" else 500)
+    monkeypatch.setattr(sk, "BYTES", 20_000)
+    monkeypatch.setattr(sk, "CHUNK", 5_000)
+    monkeypatch.setattr(sk, "HELD", held)
+    most = []
+
+    def bounded(s):
+        most.append(int(s.counts.sum()))
+        return compare(s)
+
+    gone = {}
+    for doc, _, place, n in sk._repeats(iter(parts), symbols, bounded, span, gram, own):
+        for d, p, k in zip(doc.tolist(), place.tolist(), n.tolist(), strict=True):
+            gone.setdefault(d, set()).update(range(p, p + k))
+    want = brute(list(enumerate(texts)), lambda t: t.encode() if kind == "bytes" else t.encode().split(), span, own)
+    assert gone == {d: x for d, _, x in want if x}
+    assert sum(most) > 2 * max(most) and max(most) <= 2 * limit
