@@ -13,3 +13,14 @@ def test_stored_rows_take_little_room(spark):
     assert out.inputFiles() and size < 8 * 50_000
     assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in df.schema]
     assert sorted(out.collect()) == sorted(df.collect())
+
+
+def test_many_stored_rows_are_not_broadcast(spark):
+    """Rows that take few bytes as Parquet may take much of a driver's memory: they are joined by sorting, few rows as Spark likes."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    many, few = (materialised(spark.range(n).select(F.expr("id div 1000").alias("k"), F.lit(1).alias("v"))) for n in (200_000, 1_000))
+    other = spark.range(10_000_000).select(F.col("id").alias("k"))
+    for kept in (many, many.where("v = 1").select("k"), many.groupBy("k").agg(F.max("v"))):
+        assert "BroadcastHashJoin" not in plan(other.join(kept, "k")) and "SortMergeJoin" in plan(other.join(kept, "k"))
+    assert "BroadcastHashJoin" in plan(other.join(few, "k"))
+    assert many.join(few, "k").count() == 200_000 // 200 * 1_000
