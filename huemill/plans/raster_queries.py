@@ -62,9 +62,9 @@ SELECT img, (sum(r) // count(*))::INT AS r, (sum(g) // count(*))::INT AS g, (sum
 @register("page_slices", f"""WITH {PIXELS_SQL}
 SELECT img, count(*) AS n, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b FROM px WHERE x BETWEEN 8 AND 39 AND y BETWEEN 4 AND 19 GROUP BY img""")
 def page_slices(spark, sf_dir):
-    """A rectangle of every image file: the rasters are written as files and read back as a slice."""
+    """A rectangle of every image: the rasters are written as packs of image files and read back as a slice."""
     folder = shared_folder(spark)
-    rasters.write_strips(document_strips(spark, sf_dir), folder)
+    rasters.write_packs(document_strips(spark, sf_dir), folder)
     cut = rasters.pages(spark, folder).where("x >= 8 AND x < 40 AND y >= 4 AND y < 20")
     return cut.groupBy("img").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in "rgb"))
 

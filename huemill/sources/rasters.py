@@ -4,11 +4,13 @@
     spark.read.format("page_images").load(path)        # img, y, x, r, g, b
     rasters.write_pages(pixels, path)                   # from long pixels
     rasters.write_strips(strips, path)                  # from strips of whole lines, which is far less work
+    rasters.write_packs(strips, path)                   # the same as packs, for many images
 
-img is the file's name without its ending, percent-decoded. A file is cut into bands of rows by its size; a
+img is the file's name without its ending, percent-decoded. A pack (.ppms) has one image after the other, each with
+its name as a comment, so that a driver lists and moves as many files as there are PARTITION_BYTES of them. A file is cut into bands of rows by its size; a
 partition holds bands of about partitionBytes. Equalities on img choose files before any is opened, and
 bounds on x and y become a rectangle: of each band only the rows in it are read, and of wide pages only the
-columns. Files are read at offsets through Arrow's file systems, so that any store that these open will do.
+columns; a pack is gone through from header to header. Files are read at offsets through Arrow's file systems, so that any store that these open will do.
 
 Images without pixels have no rows. A writer's pixel that is absent is white; of several at one place the
 last in order counts. A file appears under its name once all tasks have written.
@@ -30,7 +32,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 SCHEMA = "img string, y int, x int, r int, g int, b int"
 STRIPS = "img string, top int, width int, height int, data binary"
-ENDING = ".ppm"
+ENDING, PACK = ".ppm", ".ppms"
 #: Bytes of a partition, and pixels of one batch, at most (a band has one row at least).
 PARTITION_BYTES, BATCH_PIXELS = 16 << 20, 1 << 18
 FARTHEST = 1 << 31
@@ -51,6 +53,15 @@ def parse_header(start: bytes) -> Header:
     return Header(int(found[1]), int(found[2]), found.end())
 
 
+def header_at(file: pa.NativeFile, at: int) -> tuple[Header, str]:
+    """The header of the image that starts there, its offset in the file, and the name that its first comment gives."""
+    start = file.read_at(256, at)
+    if start.startswith(b"P6\n#") and start.find(b"\n255\n") < 0:  # a long name
+        start = file.read_at(1 << 16, at)
+    head, name = parse_header(start), re.match(rb"P6\n#([^\n]*)\n", start)
+    return Header(head.width, head.height, at + head.offset), unquote(name[1].decode()) if name else ""
+
+
 class Rectangle:
     """Bounds on y and x, both ends included, and the images that are asked for (None: all)."""
 
@@ -77,9 +88,9 @@ class Rectangle:
 
 @dataclass
 class Bands(InputPartition):
-    """(path, img, number of the band, bands of the file)."""
+    """(path, img or None for a pack, number of the band, bands of the file)."""
 
-    files: list[tuple[str, str, int, int]]
+    files: list[tuple[str, str | None, int, int]]
 
 
 class PageReader(DataSourceReader):
@@ -93,8 +104,8 @@ class PageReader(DataSourceReader):
         store, root = _store(self.path)
         out, held = [Bands([])], 0
         for info in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda i: i.path):
-            img = unquote(info.base_name.removesuffix(ENDING))
-            if info.type != fs.FileType.File or not info.base_name.endswith(ENDING) or self.wanted.images is not None and img not in self.wanted.images:
+            img = None if info.base_name.endswith(PACK) else unquote(info.base_name.removesuffix(ENDING))
+            if info.type != fs.FileType.File or not info.base_name.endswith((ENDING, PACK)) or img is not None and not self.asked(img):
                 continue
             of = -(-info.size // self.partition_bytes)
             for k in range(of):
@@ -105,13 +116,28 @@ class PageReader(DataSourceReader):
                 held += info.size // of
         return out
 
+    def asked(self, img: str) -> bool:
+        return self.wanted.images is None or img in self.wanted.images
+
+    def images(self, file: pa.NativeFile, img: str | None) -> Iterator[tuple[str, Header]]:
+        """The image of a file, or those of a pack that are asked for."""
+        if img is not None:
+            yield img, header_at(file, 0)[0]
+            return
+        at, end = 0, file.size()
+        while at < end:
+            head, name = header_at(file, at)
+            if self.asked(name):
+                yield name, head
+            at = head.offset + head.width * head.height * 3
+
     def read(self, partition: Bands) -> Iterator[pa.RecordBatch]:
         """Batches of many small images' bands at once, as each batch has its price."""
         store, _ = _store(self.path)
         held, rows = [], 0
-        for path, img, k, of in partition.files:
+        for path, of_file, k, of in partition.files:
             with store.open_input_file(path) as file:
-                for b in self.band(file, img, k, of):
+                for b in (b for img, head in self.images(file, of_file) for b in self.band(file, img, head, k, of)):
                     if rows + b.num_rows > BATCH_PIXELS and held:
                         yield pa.concat_batches(held)
                         held, rows = [], 0
@@ -120,9 +146,8 @@ class PageReader(DataSourceReader):
         if held:
             yield pa.concat_batches(held)
 
-    def band(self, file: pa.NativeFile, img: str, k: int, of: int) -> Iterator[pa.RecordBatch]:
+    def band(self, file: pa.NativeFile, img: str, head: Header, k: int, of: int) -> Iterator[pa.RecordBatch]:
         """Batches of one band's part of the rectangle; nothing else of its pixels is read."""
-        head = parse_header(file.read_at(256, 0))
         low, high = self.wanted.low, self.wanted.high
         y0, y1 = max(head.height * k // of, low["y"]), min(head.height * (k + 1) // of, high["y"] + 1)
         x0, x1 = max(0, low["x"]), min(head.width, high["x"] + 1)
@@ -149,7 +174,7 @@ class Written(WriterCommitMessage):
 class PageWriter(DataSourceArrowWriter):
     """Rows come sorted by img, all of one image in one task; a task holds one image."""
 
-    columns = ("y", "x", "r", "g", "b")
+    columns, packs = ("y", "x", "r", "g", "b"), False
 
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite = path, overwrite
@@ -163,17 +188,31 @@ class PageWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = _store(self.path)
         folder, files = f"{root}/_writing-{uuid.uuid4().hex}", []
-        open_img, parts = None, []
+        open_img, parts, pack, room = None, [], None, 0
+
+        def started(name: str) -> pa.NativeFile:
+            if not files:
+                store.create_dir(folder)
+            files.append((f"{folder}/{name}", f"{root}/{name}"))
+            return store.open_output_stream(f"{folder}/{name}")
 
         def flush() -> None:
-            if parts:
-                image = self.image(parts)
-                if not files:
-                    store.create_dir(folder)
-                name = quote(open_img, safe="") + ENDING
-                with store.open_output_stream(f"{folder}/{name}") as out:
-                    out.write(f"P6\n{image.shape[1]} {image.shape[0]}\n255\n".encode() + image.tobytes())
-                files.append((f"{folder}/{name}", f"{root}/{name}"))
+            nonlocal pack, room
+            if not parts:
+                return
+            image, name = self.image(parts), quote(open_img, safe="")
+            size = f"{image.shape[1]} {image.shape[0]}\n255\n"
+            if not self.packs:
+                with started(name + ENDING) as out:
+                    out.write(f"P6\n{size}".encode() + image.tobytes())
+                return
+            data = f"P6\n#{name}\n{size}".encode() + image.tobytes()
+            if pack is None or room + len(data) > PARTITION_BYTES:
+                if pack is not None:
+                    pack.close()
+                pack, room = started(uuid.uuid4().hex + PACK), 0
+            pack.write(data)
+            room += len(data)
 
         for batch in iterator:
             images = batch.column("img").to_pylist()
@@ -185,6 +224,8 @@ class PageWriter(DataSourceArrowWriter):
                     open_img, parts = images[a], []
                 parts.append([c[a:z] for c in columns])
         flush()
+        if pack is not None:
+            pack.close()
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -192,7 +233,7 @@ class PageWriter(DataSourceArrowWriter):
         store.create_dir(root)
         if self.overwrite:
             for info in store.get_file_info(fs.FileSelector(root)):
-                if info.base_name.endswith(ENDING):
+                if info.base_name.endswith((ENDING, PACK)):
                     store.delete_file(info.path)
         for written, name in (pair for m in messages if m for pair in m.files):
             store.move(written, name)
@@ -221,6 +262,12 @@ class StripWriter(PageWriter):
         return image
 
 
+class PackWriter(StripWriter):
+    """Strips as packs, each of PARTITION_BYTES at most or of one image."""
+
+    packs = True
+
+
 class PageImages(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -250,6 +297,17 @@ class PageStrips(PageImages):
         return StripWriter(self.options["path"], overwrite)
 
 
+class PagePacks(PageStrips):
+    """Packs of images, written as strips of whole lines; they are read as page_images."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "page_packs"
+
+    def writer(self, schema, overwrite: bool) -> PackWriter:
+        return PackWriter(self.options["path"], overwrite)
+
+
 def _store(path: str) -> tuple[fs.FileSystem, str]:
     store, root = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
     return store, root.rstrip("/")
@@ -259,6 +317,7 @@ def use(spark: SparkSession) -> SparkSession:
     """Makes the source known to a session, and lets filters reach it."""
     spark.dataSource.register(PageImages)
     spark.dataSource.register(PageStrips)
+    spark.dataSource.register(PagePacks)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark
 
@@ -274,8 +333,17 @@ def write_pages(pixels: DataFrame, path: str) -> None:
     cast.repartition("img").sortWithinPartitions("img", "y", "x").write.format("page_images").mode("overwrite").save(path)
 
 
-def write_strips(strips: DataFrame, path: str) -> None:
-    """Strips of whole lines (img, top, width, height, data: three bytes a pixel) as one file an image; images of the folder that was there go."""
+def _write(strips: DataFrame, path: str, kind: str) -> None:
     use(strips.sparkSession)
     cast = strips.select("img", *(strips[c].cast("int").alias(c) for c in ("top", "width", "height")), "data")
-    cast.repartition("img").sortWithinPartitions("img", "top").write.format("page_strips").mode("overwrite").save(path)
+    cast.repartition("img").sortWithinPartitions("img", "top").write.format(kind).mode("overwrite").save(path)
+
+
+def write_strips(strips: DataFrame, path: str) -> None:
+    """Strips of whole lines (img, top, width, height, data: three bytes a pixel) as one file an image; images of the folder that was there go."""
+    _write(strips, path, "page_strips")
+
+
+def write_packs(strips: DataFrame, path: str) -> None:
+    """The same as packs of many images: files are as many as PARTITION_BYTES of pixels, and a few a task, whatever the number of images."""
+    _write(strips, path, "page_packs")

@@ -262,3 +262,30 @@ def test_queries_make_no_pixel_rows(spark, name, monkeypatch):
     monkeypatch.setattr(raster_queries, "document_pixels", no)
     monkeypatch.setattr(raster_queries, "LINES", 3)
     assert registry.queries()[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_packs_hold_many_images(spark, tmp_path, monkeypatch):
+    """Files are as few as their bytes ask for, not one an image, and are read as images are, by name, by rectangle and by band."""
+    images = {f"a {k}/ü": image(k, 5 + k % 9, 3 + k % 7) for k in range(80)} | {"n" * 400: image(1, 6, 5)}
+    strips = strips_of(spark, images, 4).orderBy(F.rand(1)).repartition(4)
+    for _ in range(2):  # the second replaces the first
+        rasters.write_packs(strips, str(tmp_path / "out"))
+    files = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert files and all(f.endswith(".ppms") for f in files) and len(files) <= 8
+    want = sorted(r for k, a in images.items() for r in rows_of(a, k))
+    pages = rasters.pages(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, pages.collect())) == want
+    inside = lambda r: r[0] in ("a 3/ü", "a 8/ü", "n" * 400) and r[1] >= 2 and r[2] < 3
+    assert sorted(map(tuple, pages.where(F.col("img").isin("a 3/ü", "a 8/ü", "n" * 400, "zz") & (F.col("y") >= 2) & (F.col("x") < 3)).collect())) == list(filter(inside, want))
+    banded = rasters.use(spark).read.format("page_images").option("partitionBytes", 300).load(str(tmp_path / "out"))
+    assert banded.rdd.getNumPartitions() > len(files) and sorted(map(tuple, banded.collect())) == want
+
+
+def test_slices_need_no_file_an_image(spark, tmp_path, monkeypatch):
+    from huemill.plans import raster_queries
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abc"), 48 * 6).alias("text"))
+    monkeypatch.setattr(raster_queries, "table", lambda *_: docs)
+    monkeypatch.setattr(raster_queries, "shared_folder", lambda _: str(tmp_path / "packs"))
+    assert {tuple(r) for r in raster_queries.page_slices(spark, "").select("n", "r", "g", "b").collect()} == {(64, 64 * 97, 64 * 98, 64 * 99)}
+    assert len(list((tmp_path / "packs").iterdir())) <= 8
