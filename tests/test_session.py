@@ -2,7 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from huemill.session import materialised
+from huemill.session import materialised, stored_alone
 
 
 def test_stored_rows_take_little_room(spark):
@@ -24,3 +24,19 @@ def test_many_stored_rows_are_not_broadcast(spark):
         assert "BroadcastHashJoin" not in plan(other.join(kept, "k")) and "SortMergeJoin" in plan(other.join(kept, "k"))
     assert "BroadcastHashJoin" in plan(other.join(few, "k"))
     assert many.join(few, "k").count() == 200_000 // 200 * 1_000
+
+
+def test_steps_are_removed_and_the_result_stays(spark):
+    made = []
+
+    def make():
+        made.append(materialised(spark.range(1000).repartition(5, "id")))
+        made.append(stored_alone(spark, lambda: materialised(made[0].where("id < 500")).where("id < 200")))
+        return made[1].groupBy((F.col("id") % 10).alias("k")).count()
+
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    out = stored_alone(spark, make)
+    here = lambda df: [f for f in df.inputFiles() if os.path.exists(f.removeprefix("file:").replace("//", "/"))]
+    assert len(here(out)) == len(out.inputFiles()) > 0 and not here(made[0]) and not here(made[1])
+    assert sorted(map(tuple, out.collect())) == [(k, 20) for k in range(10)]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
