@@ -137,7 +137,7 @@ class PageReader(DataSourceReader):
         held, rows = [], 0
         for path, of_file, k, of in partition.files:
             with store.open_input_file(path) as file:
-                for b in (b for img, head in self.images(file, of_file) for b in self.band(file, img, head, k, of)):
+                for b in (b for img, head in self.images(file, of_file) for b in self.band(file, img, k, of, head)):
                     if rows + b.num_rows > BATCH_PIXELS and held:
                         yield pa.concat_batches(held)
                         held, rows = [], 0
@@ -146,8 +146,9 @@ class PageReader(DataSourceReader):
         if held:
             yield pa.concat_batches(held)
 
-    def band(self, file: pa.NativeFile, img: str, head: Header, k: int, of: int) -> Iterator[pa.RecordBatch]:
-        """Batches of one band's part of the rectangle; nothing else of its pixels is read."""
+    def band(self, file: pa.NativeFile, img: str, k: int, of: int, head: Header | None = None) -> Iterator[pa.RecordBatch]:
+        """Batches of one band's part of the rectangle; nothing else of its pixels is read. head: of an image that isn't the file's first."""
+        head = head or header_at(file, 0)[0]
         low, high = self.wanted.low, self.wanted.high
         y0, y1 = max(head.height * k // of, low["y"]), min(head.height * (k + 1) // of, high["y"] + 1)
         x0, x1 = max(0, low["x"]), min(head.width, high["x"] + 1)
